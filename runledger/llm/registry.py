@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import packing, quality, sharding
-from runledger.llm.common import crc32_of, table
+from runledger.llm import langid, packing, quality, sharding, toxicity
+from runledger.llm.common import crc32_of, fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -122,3 +122,30 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 ids."""
     return packing.packed_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
+
+
+#: Documents whose label counts as toxic from this score on.
+TOXIC_FROM = 0.3
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Learned from the labelled documents outside fold 2 of 4."""
+    labels = table(spark, sf_dir, "labels").where(fold_of(F.col("doc_id"), 4) != 2).select("doc_id", "toxic")
+    return toxicity.fit(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "text")
+    out = toxicity.scored(docs, toxicity_model(spark, sf_dir))
+    return out.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of(F.col("doc_id"), 3) == 1
+    model = langid.fit(docs, ~held_out)
+    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
