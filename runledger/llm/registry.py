@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import langid, packing, quality, sharding, toxicity
+from runledger.llm import chat, decontam, langid, packing, quality, sharding, toxicity
 from runledger.llm.common import crc32_of, fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,55 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold_of(F.col("doc_id"), 3) == 1
     model = langid.fit(docs, ~held_out)
     return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+
+
+@query("op4_chat")
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, formatted and read back."""
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digests(chat.format_messages(rows.withColumn("parts", chat.text_part(F.col("text"))).drop("text")))
+
+
+_UNITS = ", ".join(f"'{u}'" for u in decontam.UNITS)
+_PUNCTUATION = decontam.PUNCTUATION.replace("'", "''")
+
+
+def _template_sql(table_name: str, key: str) -> str:
+    number = lambda x: f"regexp_matches(trim({x}, '{_PUNCTUATION}'), '{decontam.NUMBER}')"
+    name = decontam.NAME.replace("'", "''")
+    return rf"""SELECT {key}, i, lower(trim(lower(w), '{_PUNCTUATION}')) AS v,
+        CASE WHEN {number("w")} THEN '<num>'
+             WHEN i > 0 AND regexp_matches(w, '{name}') AND NOT regexp_matches(p, '[.!?:]$') THEN '<name>'
+             WHEN trim(lower(w), '{_PUNCTUATION}') IN ({_UNITS}) AND coalesce({number("p")}, false) THEN '<unit>'
+             ELSE trim(lower(w), '{_PUNCTUATION}') END AS t
+      FROM (SELECT {key}, CAST(i AS BIGINT) AS i, ws[i + 1] AS w, CASE WHEN i > 0 THEN ws[i] END AS p
+        FROM (SELECT {key}, ws, unnest(range(len(ws))) AS i
+          FROM (SELECT {key}, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM {table_name})))"""
+
+
+@query(
+    "op10_decontamination",
+    f"""
+WITH dt AS MATERIALIZED ({_template_sql("documents", "doc_id")}), bt AS MATERIALIZED ({_template_sql("benchmark", "item_id")}),
+w8 AS (SELECT *, string_agg(t, ' ') OVER x AS h, count(*) OVER x AS n, sum(CASE WHEN t IN ('<num>', '<unit>', '<name>') THEN 0 ELSE 1 END) OVER x AS lits
+       FROM bt WINDOW x AS (PARTITION BY item_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {decontam.WINDOW - 1} FOLLOWING)),
+bw AS (SELECT item_id, i, h FROM w8 WHERE n = {decontam.WINDOW} AND lits >= {decontam.LEAST_LITERALS}),
+d8 AS (SELECT doc_id, i, string_agg(t, ' ') OVER x AS h, count(*) OVER x AS n
+       FROM dt WINDOW x AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {decontam.WINDOW - 1} FOLLOWING)),
+m AS (SELECT doc_id, item_id, d8.i - bw.i AS shift, bw.i AS item_at FROM d8 JOIN bw USING (h) WHERE n = {decontam.WINDOW}),
+s AS (SELECT DISTINCT doc_id, m.item_id, shift, bt.v AS bv, dt.v AS dv
+      FROM m JOIN bt ON bt.item_id = m.item_id AND bt.i BETWEEN item_at AND item_at + {decontam.WINDOW - 1} AND bt.t IN ('<num>', '<unit>', '<name>')
+      JOIN dt USING (doc_id) WHERE dt.i = bt.i + shift),
+c AS (SELECT doc_id, item_id, shift, count(*) AS pairs, count(DISTINCT bv) AS nb, count(DISTINCT dv) AS nd, bool_and(bv = dv) AS same FROM s GROUP BY ALL),
+a AS (SELECT doc_id, item_id, shift, count(DISTINCT item_at) AS n FROM m GROUP BY ALL),
+g AS (SELECT a.doc_id, a.item_id, CAST(sum(n) AS BIGINT) AS n_windows, CAST(max(coalesce(pairs, 0)) AS BIGINT) AS n_slots, bool_and(coalesce(same, true)) AS same_values
+      FROM a LEFT JOIN c USING (doc_id, item_id, shift) WHERE coalesce(pairs = nb AND pairs = nd, true) GROUP BY ALL),
+k AS (SELECT item_id, CAST(count(*) - {decontam.WINDOW - 1} AS BIGINT) AS n_item_windows FROM bt GROUP BY item_id)
+SELECT doc_id, item_id, n_windows, n_item_windows, n_slots, same_values FROM g JOIN k USING (item_id)
+WHERE n_windows >= least({decontam.LEAST_WINDOWS}, n_item_windows)""",
+)
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain benchmark items, with the items."""
+    return decontam.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
