@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import chat, decontam, langid, packing, quality, sharding, toxicity
+from runledger.llm import chat, decontam, langid, lm, packing, quality, sharding, toxicity
 from runledger.llm.common import crc32_of, fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,3 +201,9 @@ WHERE n_windows >= least({decontam.LEAST_WINDOWS}, n_item_windows)""",
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain benchmark items, with the items."""
     return decontam.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+@query("op5_lm_scoring")
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents, learned from those outside fold 2 of 7."""
+    return lm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), fold_of(F.col("doc_id"), 7) != 2)

@@ -88,3 +88,65 @@ def lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return at, keys[at] == wanted
+
+
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+class Words:
+    """The words `[^\\x20\\x09-\\x0D]+` of texts with A-Z in lower case: `start`, `size` and `doc` in the bytes `data`."""
+
+    def __init__(self, texts: list[str | None]):
+        parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        self.n_docs = len(parts)
+        data = np.frombuffer(b"\n".join(parts) + b"\n" + bytes(8), np.uint8)  # eight bytes more, so that words can be read by eights
+        self.data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+        at = np.zeros(self.n_docs + 1, np.int64)
+        np.cumsum([len(p) + 1 for p in parts], out=at[1:])
+        inside = ~_WHITE[self.data[:-8]]
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if len(inside) and inside[0]:
+            edges = np.concatenate(([0], edges))
+        self.start = edges[::2]
+        self.size = edges[1::2] - self.start
+        self.doc = np.searchsorted(at, self.start, "right") - 1
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash for each word."""
+        eights = np.ndarray(len(self.data) - 7, np.uint64, self.data, strides=(1,))
+        h = mix(self.size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        live, k = np.arange(len(self.start)), 0
+        while len(live):
+            left = self.size[live] - k
+            h[live] = mix(h[live] ^ (eights[self.start[live] + k] & _MASKS[np.minimum(left, 8)]))
+            live = live[left > 8]
+            k += 8
+        return h
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted unsigned 64-bit keys as the byte planes of their differences, which compress well."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts as the byte planes of unsigned 64-bit numbers."""
+    return counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint64).ravel().astype(np.int64)
+
+
+def part_bounds(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """Where the sorted keys of `bits` bits are cut into `parts` equal ranges: parts + 1 places."""
+    edges = [(p << bits) // parts for p in range(1, parts)]
+    return np.concatenate(([0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)])).astype(np.int64)
