@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import chat, decontam, langid, lm, packing, quality, sharding, toxicity
+from runledger.llm import chat, decontam, langid, lm, ngram_join, packing, quality, sharding, toxicity
 from runledger.llm.common import crc32_of, fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,3 +207,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents, learned from those outside fold 2 of 7."""
     return lm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), fold_of(F.col("doc_id"), 7) != 2)
+
+
+@query("op3_ngram_jaccard_join")
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 at least."""
+    return ngram_join.similar_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
