@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import chat, decontam, langid, lm, ngram_join, packing, quality, sharding, toxicity
+from runledger.llm import chat, decontam, langid, lm, ngram_join, packing, quality, sharding, suffix_dedup, toxicity
 from runledger.llm.common import crc32_of, fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,3 +213,11 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 at least."""
     return ngram_join.similar_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op7_suffix_dedup")
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of all documents without 50-byte strings that a document with a smaller doc_id holds."""
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
