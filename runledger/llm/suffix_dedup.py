@@ -31,6 +31,8 @@ from runledger.llm.common import materialised, shared_folder
 LENGTH, ANCHOR = 50, 24
 #: Bytes of text in a group, and bits of a minimizer.
 GROUP_BYTES, MINIMIZER_BITS = 4_000_000, 48
+#: Windows that are hashed at a time.
+SLICE = 1 << 16
 NO_KEY = np.iinfo(np.int64).max
 
 _BLOCK = "part int, grp int, mu binary, n binary, size binary, data binary"
@@ -76,7 +78,7 @@ def _sorted_suffixes(symbol: np.ndarray, length: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(known):
         key = (key << 9) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     while known < length:
         rank = np.empty(n, np.int64)
         ranked = key[order]
@@ -85,11 +87,46 @@ def _sorted_suffixes(symbol: np.ndarray, length: int) -> np.ndarray:
         further = np.zeros(n, np.int64)
         further[: n - step] = rank[step:] + 1 if n > step else 0
         key = rank * (n + 2) + further
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         known += step
     return order
 
 
+def _minimizer_runs(text: bytes, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first window, minimizer) of the runs of all windows of a text; a run also begins at each of `breaks`.
+
+    The text is read in slices that fit a processor's cache; only runs are kept.
+    """
+    data = np.frombuffer(text + bytes(8), np.uint8)
+    eights = np.ndarray(len(data) - 7, np.uint64, data, strides=(1,))
+    n, width = len(text) - LENGTH + 1, LENGTH - ANCHOR + 1
+    forced = np.zeros(n, bool)
+    forced[breaks] = True
+    firsts, mus, before = [], [], None
+    for at in range(0, n, SLICE):
+        size = min(SLICE, n - at)
+        many = size + width - 1  # strings of ANCHOR bytes in these windows
+        h = tb.mix(eights[at : at + many])
+        for k in range(8, ANCHOR, 8):
+            h ^= eights[at + k : at + k + many]
+            h = tb.mix(h)
+        h >>= np.uint64(64 - MINIMIZER_BITS)
+        step = 1
+        while 2 * step <= width:
+            h = np.minimum(h[:-step], h[step:])
+            step *= 2
+        if width > step:
+            h = np.minimum(h[: step - width], h[width - step :])
+        change = forced[at : at + size]
+        change[1:] |= h[1:] != h[:-1]
+        change[0] |= before is None or h[0] != before
+        before = h[-1]
+        own = np.flatnonzero(change)
+        firsts.append(own + at)
+        mus.append(tb.mix(h[own]) >> np.uint64(64 - MINIMIZER_BITS))  # least hashes are small numbers; hashed again they spread evenly
+    return np.concatenate(firsts), np.concatenate(mus)
+
+
 class Group:
     """The runs of a group of documents: text, and for each run its minimizer, first window, windows and document."""
 
@@ -103,30 +140,14 @@ class Group:
         self.mu, self.first, self.windows, self.doc = none.astype(np.uint64), none, none, none
         if n < 1:
             return
-        data = np.frombuffer(self.text + bytes(8), np.uint8)
-        eights = np.ndarray(len(data) - 7, np.uint64, data, strides=(1,))
-        h = np.zeros(len(self.text) - ANCHOR + 1, np.uint64)
-        for k in range(0, ANCHOR, 8):
-            h = tb.mix(h ^ eights[k : k + len(h)])
-        h >>= np.uint64(64 - MINIMIZER_BITS)
-        width = LENGTH - ANCHOR + 1
-        step = 1
-        while 2 * step <= width:
-            h = np.minimum(h[:-step], h[step:])
-            step *= 2
-        if width > step:
-            h = np.minimum(h[: step - width], h[width - step :])
         last = np.maximum(self.sizes - LENGTH + 1, 0)  # windows of each document
-        change = np.ones(n, bool)
-        change[1:] = h[1:] != h[:-1]
-        change[self.at[(self.at < n) & (self.sizes > 0)]] = True
-        first = np.flatnonzero(change)
+        first, mu = _minimizer_runs(self.text, self.at[(self.at < n) & (self.sizes > 0)])
         windows = np.diff(first, append=n)
         doc = np.searchsorted(self.at + self.sizes, first, "right")
         windows = np.minimum(windows, self.at[doc] + last[doc] - first)  # windows that leave the document don't count
         keep = windows > 0
         self.first, self.windows, self.doc = first[keep], windows[keep], doc[keep]
-        self.mu = h[self.first]
+        self.mu = mu[keep]
 
     def blocks(self, parts: int) -> Iterator[tuple[int, bytes, bytes]]:
         """(part, minimizers, documents that have each, two at most), by range of the minimizers."""
@@ -152,13 +173,14 @@ class Group:
         """(shared runs, distinct (minimizer, bytes) in order, number of each shared run, least key of each distinct run)."""
         runs = self.shared_runs(flags, parts)
         text, found = self.text, {}
-        pairs = [(m, text[a:b]) for m, a, b in zip(self.mu[runs].tolist(), self.first[runs].tolist(), (self.first[runs] + self.windows[runs] + LENGTH - 1).tolist(), strict=True)]
-        for pair in pairs:
-            found[pair] = 0
-        distinct = sorted(found)
-        for i, pair in enumerate(distinct):
-            found[pair] = i
-        number = np.fromiter(map(found.__getitem__, pairs), np.int64, len(pairs))
+        strings = [text[a:b] for a, b in zip(self.first[runs].tolist(), (self.first[runs] + self.windows[runs] + LENGTH - 1).tolist(), strict=True)]
+        for string, m in zip(strings, self.mu[runs].tolist(), strict=True):
+            found[string] = m  # a string has one minimizer
+        in_order = sorted(found)
+        by_mu = np.argsort(np.fromiter(map(found.__getitem__, in_order), np.uint64, len(in_order)), kind="stable")
+        distinct = [(found[in_order[i]], in_order[i]) for i in by_mu.tolist()]
+        place = {string: i for i, (_, string) in enumerate(distinct)}
+        number = np.fromiter(map(place.__getitem__, strings), np.int64, len(strings))
         least = np.full(len(distinct), NO_KEY)
         np.minimum.at(least, number, self.keys[self.doc[runs]])
         return runs, distinct, number, least
@@ -263,7 +285,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", gro
     own = docs.select(F.col(key).cast("long").alias("_key"), body, F.struct(F.lit(None).cast("int").alias("_"), *rest).alias("_rest"))
     size = own.agg(F.sum(F.octet_length("_text")).alias("b")).first()["b"] or 0
     groups = max(8, -(-size // group_bytes))
-    parts = max(32, groups // 8)
+    parts = max(32, groups // 16)
     grp = F.pmod(F.xxhash64("_key"), F.lit(groups)).cast("int")
 
     # equal texts: all but those of the smallest key go whole, if they hold a window at all
