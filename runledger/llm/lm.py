@@ -26,7 +26,7 @@ from runledger.llm.common import materialised
 
 ORDER, SPREAD = 2, 0.95
 #: Bytes of text in a group of documents, and bits of the hashes of n-grams (words have 64).
-GROUP_BYTES, GRAM_BITS = 16_000_000, 48
+GROUP_BYTES, GRAM_BITS = 8_000_000, 44
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 BLOCK = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("group", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType())])
@@ -129,7 +129,7 @@ def score_documents(docs: DataFrame, train: F.Column, key: str = "doc_id", text:
     own = docs.select(F.col(key).alias("_key"), F.coalesce(train, F.lit(False)).alias("_train"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     size = own.agg(F.sum(F.octet_length("_text") + 1).alias("b"), F.count(F.when(F.col("_train"), 1)).alias("docs")).first()
     groups = max(8, -(-(size["b"] or 0) // group_bytes))
-    parts = max(32, groups // 2)
+    parts = max(32, groups // 8)
     dealt = own.withColumn("_group", F.pmod(F.xxhash64("_key", "_text"), F.lit(groups)).cast("int"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
