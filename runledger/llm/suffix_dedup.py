@@ -190,29 +190,32 @@ def _parts_of(distinct: list[tuple[int, bytes]], parts: int) -> np.ndarray:
     return tb.part_bounds(np.fromiter((m for m, _ in distinct), np.uint64, len(distinct)), MINIMIZER_BITS, parts)
 
 
-def decide_runs(runs: list[tuple[int, bytes]], least: np.ndarray) -> tuple[dict[tuple[int, bytes], int], dict[tuple[int, bytes], bytes]]:
-    """For (minimizer, bytes) with keys: the least key of each, and where a window also starts under a smaller key, a byte for each window."""
-    owner: dict[tuple[int, bytes], int] = {}
-    for run, key in zip(runs, least.tolist(), strict=True):
-        owner[run] = min(key, owner.get(run, key))
-    kinds: dict[int, int] = {}
-    for mu, _ in owner:
-        kinds[mu] = kinds.get(mu, 0) + 1
-    mixed = [run for run in owner if kinds[run[0]] > 1]
-    masks: dict[tuple[int, bytes], bytes] = {}
-    if mixed:
-        classes, start = equal_windows([s for _, s in mixed])
-        size = np.fromiter((len(s) for _, s in mixed), np.int64, len(mixed)) - LENGTH + 1
-        of = np.repeat(np.arange(len(mixed)), size)
+def decide_runs(strings: list[bytes], mus: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, bytes]]:
+    """For runs with their minimizers and keys: the number of each run's text, the least key of each text, and by number a byte
+    for each window where a window also starts under a smaller key."""
+    place: dict[bytes, int] = {}
+    number = np.fromiter((place.setdefault(s, len(place)) for s in strings), np.int64, len(strings))
+    texts = list(place)
+    owner, mu = np.full(len(texts), NO_KEY), np.empty(len(texts), np.uint64)
+    np.minimum.at(owner, number, keys)
+    mu[number] = mus
+    _, kind, kinds = np.unique(mu, return_inverse=True, return_counts=True)
+    mixed = np.flatnonzero(kinds[kind] > 1)  # minimizers with different runs
+    masks: dict[int, bytes] = {}
+    if len(mixed):
+        some = [texts[i] for i in mixed.tolist()]
+        classes, start = equal_windows(some)
+        size = np.fromiter(map(len, some), np.int64, len(some)) - LENGTH + 1
+        of = np.repeat(np.arange(len(some)), size)
         at = start[of] + np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
-        keys = np.fromiter((owner[r] for r in mixed), np.int64, len(mixed))[of]
+        own = owner[mixed][of]
         smallest = np.full(int(classes.max()) + 1, NO_KEY)
-        np.minimum.at(smallest, classes[at], keys)
-        gone = smallest[classes[at]] < keys
+        np.minimum.at(smallest, classes[at], own)
+        gone = smallest[classes[at]] < own
         ends = np.cumsum(size)
-        for i in np.unique(of[gone]):
-            masks[mixed[i]] = gone[ends[i] - size[i] : ends[i]].astype(np.uint8).tobytes()
-    return owner, masks
+        for i in np.unique(of[gone]).tolist():
+            masks[int(mixed[i])] = gone[ends[i] - size[i] : ends[i]].astype(np.uint8).tobytes()
+    return number, owner, masks
 
 
 def _answers(kind: int, blocks: pa.Table, states: list[bytes], masks: list[bytes | None]) -> pa.Table:
@@ -231,19 +234,22 @@ def _flag_minimizers(blocks: pa.Table) -> pa.Table:
 
 def _decide_blocks(blocks: pa.Table) -> pa.Table:
     """For the blocks of a part: a state for each run (1: under a smaller key elsewhere, 2: a mask follows) and the masks."""
-    each, every, keys = [], [], []
+    strings, mus, keys, counts = [], [], [], []
     for mu, n, size, data in zip(*(blocks[c].to_pylist() for c in ("mu", "n", "size", "data")), strict=True):
-        least, ends = tb.unpack_counts(n), np.cumsum(tb.unpack_counts(size)).tolist()
-        runs = [(m, data[a:b]) for m, a, b in zip(tb.unpack_sorted(mu).tolist(), [0, *ends], ends, strict=False)]
-        each.append((runs, least))
-        every += runs
-        keys.append(least)
-    owner, masks = decide_runs(every, np.concatenate(keys))
-    states, out = [], []
-    for runs, least in each:
-        own = [owner[r] for r in runs]
-        states.append(bytes(1 if o < k else 2 if r in masks else 0 for o, k, r in zip(own, least.tolist(), runs, strict=True)))
-        out.append(b"".join(masks[r] for r, o, k in zip(runs, own, least.tolist(), strict=True) if o == k and r in masks))
+        ends = np.cumsum(tb.unpack_counts(size)).tolist()
+        strings += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        mus.append(tb.unpack_sorted(mu))
+        keys.append(tb.unpack_counts(n))
+        counts.append(len(ends))
+    number, owner, masks = decide_runs(strings, np.concatenate(mus), np.concatenate(keys))
+    masked = np.zeros(len(owner), bool)
+    masked[list(masks)] = True
+    states, out, end = [], [], 0
+    for least, n in zip(keys, counts, strict=True):
+        own, end = number[end : end + n], end + n
+        state = np.where(owner[own] < least, 1, np.where(masked[own], 2, 0)).astype(np.uint8)
+        states.append(state.tobytes())
+        out.append(b"".join(masks[i] for i in own[state == 2].tolist()))
     return _answers(1, blocks, states, out)
 
 
@@ -285,7 +291,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", gro
     own = docs.select(F.col(key).cast("long").alias("_key"), body, F.struct(F.lit(None).cast("int").alias("_"), *rest).alias("_rest"))
     size = own.agg(F.sum(F.octet_length("_text")).alias("b")).first()["b"] or 0
     groups = max(8, -(-size // group_bytes))
-    parts = max(32, groups // 16)
+    parts = max(128, groups // 8)
     grp = F.pmod(F.xxhash64("_key"), F.lit(groups)).cast("int")
 
     # equal texts: all but those of the smallest key go whole, if they hold a window at all
