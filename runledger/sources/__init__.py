@@ -1 +1 @@
-
+"""Trace sources: files, framing, and a projector for each runtime."""

@@ -1,0 +1,91 @@
+"""Scalar functions, the SQL runner, and every driver query against DuckDB."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from runledger.functions import classify, terms, text, times
+from runledger.plans import registry, runner
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize(
+    ("given", "ms"),
+    [
+        ("1970-01-02T00:00:00Z", 86_400_000),
+        ("2024-02-29t12:00:00.9999+01:00", 1_709_204_400_999),
+        ("2016-12-31 23:59:60Z", 1_483_228_799_000),
+        ("2026-02-29T00:00:00Z", None),
+        ("2026-09-07T13:40:00+24:00", None),
+        ("2026-09-07T13:40:00.Z", None),
+        ("2026-09-07", None),
+    ],
+)
+def test_instants(spark, given, ms):
+    assert times.instant_ms(given) == ms
+    assert spark.range(1).select(times.instant_ms_column(F.lit(given))).first()[0] == ms
+
+
+def test_terms_and_queries():
+    assert terms.terms("parseTimestampMs") == ["parsetimestampms", "parse", "timestamp", "ms"]
+    assert terms.terms("HTTPServer") == ["httpserver", "http", "server"]
+    assert terms.terms("智能体使用 x") == ["智能", "能体", "体使", "使用"]
+    assert terms.search_query("SQLite 索引 src/schema_v4.rs") == [["sqlite"], ["索引"], ["src"], ["schema_v4"], ["rs"]]
+    with pytest.raises(ValueError):
+        terms.search_query(" -> ")
+    with pytest.raises(ValueError):
+        text.trigram_query("ab")
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 4, 5, 7])
+def test_bounded_prefix_ends_with_a_whole_character(spark, most):
+    given = ["", "a", "é", "aé", "漢字", "😀b", "ab😀"]
+    rows = spark.createDataFrame([(t,) for t in given], "t string").select("t", text.bounded_prefix(F.col("t"), most).alias("p")).collect()
+    assert {r["t"]: r["p"] for r in rows} == {t: t.encode()[:most].decode("utf-8", "ignore") for t in given}
+
+
+def test_injections(spark):
+    for given, role in [("<permissions instructions>x", "runtime.permissions"), ("  ## Memory", "runtime.memory"), ("<nothing>", "runtime.unknown"), ("Network rule saved: a", "runtime.permissions"), ("plain", "runtime.unknown"), ("<image", "runtime.unknown")]:
+        assert classify.injection(given)[0] == role
+        assert spark.range(1).select(classify.injection_column(F.lit(given))).first()[0] == role
+    assert classify.strength("origin_kind+tag_prefix") == "heuristic"
+
+
+@pytest.mark.parametrize("sql", ["DROP TABLE x", "INSERT INTO x SELECT 1", "SELECT * FROM json.`/etc/passwd`", "SELECT reflect('java.lang.System', 'getenv')", "SET a=b", "SELECT 1; SELECT 2", "", "SELECT * FROM (SELECT * FROM parquet.`/x`)", "WITH a AS (SELECT * FROM csv.`/x`) SELECT * FROM a", "SELECT (SELECT max(a) FROM text.`/x`)", "CACHE TABLE t", "ADD JAR x"])
+def test_runner_refuses(spark, sql):
+    with pytest.raises(runner.QueryError):
+        runner.prepare(spark, sql)
+
+
+def test_runner_budgets(spark):
+    report = runner.run(spark, "SELECT id, repeat('é', 10) AS t, CAST('ab' AS BINARY) AS b FROM range(10)", row_limit=3, cell_bytes=5)
+    assert (len(report.rows), report.complete, report.limit_reason, report.cells_truncated) == (3, False, "row_limit", 3)
+    assert report.rows[0]["t"] == "éé" and report.rows[0]["b"] == {"type": "blob", "bytes": 2, "hex": "6162"}
+    assert runner.run(spark, "SELECT id FROM range(3)", row_limit=3).complete
+    assert runner.run(spark, "SELECT repeat('x', 50) AS t FROM range(9)", output_bytes=150).limit_reason == "output_budget"
+    with pytest.raises(runner.QueryError):
+        runner.prepare(spark, "SELECT 1 AS a, 2 AS a")
+    assert runner.run(spark, "WITH c AS MATERIALIZED (SELECT 1 AS x) SELECT x, ' AS MATERIALIZED ' AS q FROM c").rows == [{"x": 1, "q": " AS MATERIALIZED "}]
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for at in glob.glob(f"{DATA}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(at)[:-8]} AS SELECT * FROM '{at}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_query_equals_duckdb(spark, duck, name):
+    df = registry.QUERIES[name](spark, DATA)
+    columns = sorted(df.columns)
+    theirs = duck.sql(registry.ORACLE_SQL[name])
+    assert sorted(theirs.columns) == columns
+    own = sorted(map(repr, (tuple(r[c] for c in columns) for r in df.collect())))
+    at = [theirs.columns.index(c) for c in columns]
+    assert own == sorted(map(repr, (tuple(r[i] for i in at) for r in theirs.fetchall())))
