@@ -38,30 +38,43 @@ def _compress(chain: np.ndarray, words: np.ndarray, counter: np.ndarray, size: n
     return v[:8] ^ v[8:]
 
 
-def _words(data: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(data.ljust(-(-max(1, len(data)) // width) * width, b"\0"), "<u4").reshape(-1, 16).T.astype(np.uint32)
-
-
-def blake3_hex(data: bytes) -> str:
-    """The 256-bit hash as lower-case hexadecimal digits."""
-    chunks = max(1, -(-len(data) // _CHUNK))
-    sizes = np.full(chunks, _CHUNK, np.int64)
-    sizes[-1] = len(data) - _CHUNK * (chunks - 1)
+def blake3_all(messages: list[bytes]) -> list[str]:
+    """The 256-bit hashes of messages as lower-case hexadecimal digits; the chunks of all messages are mixed together."""
+    if not messages:
+        return []
+    lengths = np.array([len(m) for m in messages], np.int64)
+    counts = np.maximum(1, -(-lengths // _CHUNK))
+    of = np.repeat(np.arange(len(messages)), counts)
+    counter = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    sizes = np.minimum(_CHUNK, lengths[of] - counter * _CHUNK)
     blocks = np.maximum(1, -(-sizes // _BLOCK))
-    padded = np.frombuffer(data.ljust(chunks * _CHUNK, b"\0"), "<u4").reshape(chunks, 16, 16).astype(np.uint32)
-    chain = np.repeat(_IV[:, None], chunks, 1)
-    counter = np.arange(chunks, dtype=np.int64)
-    for b in range(16):
+    data = b"".join(m.ljust(int(n) * _CHUNK, b"\0") for m, n in zip(messages, counts, strict=True))
+    padded = np.frombuffer(data, "<u4").reshape(len(of), 16, 16)
+    chain = np.repeat(_IV[:, None], len(of), 1)
+    root = np.where(counts[of] == 1, _ROOT, 0)
+    for b in range(int(blocks.max())):
         live = np.flatnonzero(blocks > b)
-        if not len(live):
-            break
-        flags = np.where(b == 0, _START, 0) + np.where(blocks[live] == b + 1, _END, 0) + (_ROOT if chunks == 1 else 0) * (blocks[live] == b + 1)
+        last = blocks[live] == b + 1
+        flags = (_START if b == 0 else 0) + np.where(last, _END + root[live], 0)
         size = np.clip(sizes[live] - b * _BLOCK, 0, _BLOCK)
-        chain[:, live] = _compress(chain[:, live], padded[live, b].T, counter[live], size.astype(np.uint32), flags.astype(np.uint32))
-    while (n := chain.shape[1]) > 1:  # pairs from the left; a value left over goes up unchanged
-        pairs = n // 2
-        words = np.concatenate((chain[:, 0 : 2 * pairs : 2], chain[:, 1 : 2 * pairs : 2]))
-        flags = np.full(pairs, _PARENT | (_ROOT if n == 2 else 0), np.uint32)
-        up = _compress(np.repeat(_IV[:, None], pairs, 1), words, np.zeros(pairs, np.int64), np.full(pairs, _BLOCK, np.uint32), flags)
-        chain = np.concatenate((up, chain[:, 2 * pairs :]), 1)
-    return chain[:, 0].astype("<u4").tobytes().hex()
+        chain[:, live] = _compress(chain[:, live], padded[live, b].T.astype(np.uint32), counter[live], size.astype(np.uint32), flags.astype(np.uint32))
+    while (counts > 1).any():  # pairs from the left; a value left over goes up unchanged
+        start, pairs, up = np.cumsum(counts) - counts, counts // 2, -(-counts // 2)
+        of = np.repeat(np.arange(len(counts)), pairs)
+        left = start[of] + 2 * (np.arange(len(of)) - np.repeat(np.cumsum(pairs) - pairs, pairs))
+        flags = np.where(counts[of] == 2, _PARENT | _ROOT, _PARENT).astype(np.uint32)
+        words = np.concatenate((chain[:, left], chain[:, left + 1]))
+        n = len(left)
+        mixed = _compress(np.repeat(_IV[:, None], n, 1), words, np.zeros(n, np.int64), np.full(n, _BLOCK, np.uint32), flags)
+        above = np.empty((8, int(up.sum())), np.uint32)
+        at = np.cumsum(up) - up
+        above[:, at[of] + (left - start[of]) // 2] = mixed
+        odd = np.flatnonzero(counts % 2)
+        above[:, at[odd] + up[odd] - 1] = chain[:, start[odd] + counts[odd] - 1]
+        chain, counts = above, up
+    return [c.tobytes().hex() for c in np.ascontiguousarray(chain.T.astype("<u4"))]
+
+
+def blake3_hex(data: bytes) -> str:
+    """The hash of one message."""
+    return blake3_all([data])[0]

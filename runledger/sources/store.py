@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runledger import ship
-from runledger.functions.blake3 import blake3_hex
+from runledger.functions.blake3 import blake3_all, blake3_hex
 from runledger.functions.times import instant_ms
 from runledger.sources import framing
 from runledger.sources.model import MOST_TEXT_BYTES, publish
@@ -88,8 +88,8 @@ def _rows(batches: Iterator, limits: dict[str, int]) -> Iterator:
                 session = project(row.runtime, row.path, records)
                 if not session.confirmed:
                     raise LookupError("the trace doesn't say which session it belongs to")
-                for r in records:
-                    body = {"source_position": r.position, "start": r.start, "end": r.end, "fingerprint": r.fingerprint, "status": r.status}
+                for r, name in zip(records, blake3_all([r.data for r in records]), strict=True):
+                    body = {"source_position": r.position, "start": r.start, "end": r.end, "fingerprint": name, "status": r.status}
                     body |= {"occurred_at": instant_ms((r.value or {}).get("timestamp") or (r.value or {}).get("created_at")), "native_type": framing.native_type(row.runtime, r.value)}
                     out.append(("records", json.dumps(body, ensure_ascii=False), None))
                 for relation, bodies in publish(session, limits["text_bytes"]).items():
