@@ -11,10 +11,48 @@ from runledger.plans import runner
 from runledger.sources import evidence, metadata, store, views
 
 
+def _config_path() -> str:
+    return os.environ.get("RUNLEDGER_CONFIG", os.path.expanduser("~/.config/runledger.json"))
+
+
+def _checked(settings: dict[str, tuple[object, str]]) -> list[dict[str, object]]:
+    """What would keep a sync or query from working: a row for each root and for the index."""
+    out = [{"check": f"root {r}", "ok": os.path.isdir(r) or os.path.isfile(r)} for r in settings["roots"][0]]
+    index = settings["index"][0]
+    out.append({"check": f"index {index}", "ok": not os.path.exists(index) or os.access(index, os.W_OK)})
+    try:
+        out.append({"check": "index format", "ok": store.load(index).number >= 0})
+    except ValueError as error:
+        out.append({"check": "index format", "ok": False, "error": str(error)})
+    return out
+
+
+#: Short texts on what the commands are about, by topic.
+TOPICS = {
+    "evidence": "Every item names the records it rests on. record verify compares a record's bytes with its fingerprint; record inspect shows it with long values as references; asset extract follows record#/pointer.",
+    "query": "query run takes one SELECT over the public relations (schema list). Results stop at the row and output limits; complete=false says so, with a hint. MATERIALIZED is accepted.",
+    "search": "item_search holds trigrams and item_search_terms holds terms with positions. Both give candidates: confirm literals with instr on blobs.text.",
+    "sync": "index sync reads new and changed traces. A source is unchanged, indexed, appended, rebuilt, skipped or failed; a failed one keeps its last state.",
+    "usage": "loops.usage has input with cached parts, and output with reasoning. A missing part is unknown, not zero.",
+}
+
+
+def _docs(args) -> object:
+    """Topics, one topic, or the topics that hold all words, in any case."""
+    if args.verb == "list":
+        return sorted(TOPICS)
+    if args.verb == "get":
+        if args.topic_name not in TOPICS:
+            raise KeyError(f"no topic {args.topic_name}")
+        return {"topic": args.topic_name, "text": TOPICS[args.topic_name]}
+    words = args.words.lower().split()
+    return [{"topic": t, "text": x} for t, x in sorted(TOPICS.items()) if all(w in f"{t} {x}".lower() for w in words)]
+
+
 def _settings(args: argparse.Namespace) -> dict[str, tuple[object, str]]:
     """(value, where it comes from) by name: flag, environment, file, default."""
     given: dict = {}
-    path = os.environ.get("RUNLEDGER_CONFIG", os.path.expanduser("~/.config/runledger.json"))
+    path = _config_path()
     if os.path.exists(path):
         with open(path, encoding="utf-8") as f:
             given = json.load(f)
@@ -47,6 +85,7 @@ def parser() -> argparse.ArgumentParser:
     index = sub("index", "sync", "status")
     index["sync"].add_argument("roots", nargs="*")
     index["sync"].add_argument("--rebuild", action="store_true")
+    index["sync"].add_argument("--progress", choices=("off", "human", "ndjson"), default="off")
     schema = sub("schema", "list", "get")
     schema["get"].add_argument("relation")
     query = sub("query", "run")["run"]
@@ -74,7 +113,11 @@ def parser() -> argparse.ArgumentParser:
             m.add_argument("document")
         if verb != "get":
             m.add_argument("--expected-version", type=int)
-    sub("config", "show")
+    config = sub("config", "show", "init", "check")
+    config["init"].add_argument("--force", action="store_true")
+    docs = sub("docs", "list", "get", "search")
+    docs["get"].add_argument("topic_name")
+    docs["search"].add_argument("words")
     return p
 
 
@@ -92,6 +135,15 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         return 1
 
 
+def _reporter(kind: str):
+    """What a sync calls with (phase, sources, seconds): nothing, a line to read, or a line of JSON on standard error."""
+    if kind == "off":
+        return None
+    if kind == "human":
+        return lambda phase, sources, seconds: print(f"{phase}: {sources} sources, {seconds:.1f} s", file=sys.stderr)
+    return lambda phase, sources, seconds: print(json.dumps({"phase": phase, "sources": sources, "seconds": round(seconds, 3)}), file=sys.stderr)
+
+
 def _session():
     from pyspark.sql import SparkSession
 
@@ -99,6 +151,14 @@ def _session():
 
 
 def _run(args, settings, index: str, meta: str, spark):
+    if args.topic == "docs":
+        return _docs(args)
+    if args.topic == "config" and args.verb == "init":
+        body = json.dumps({name: v for name, (v, _) in settings.items()}, indent=2) + "\n"
+        os.makedirs(os.path.dirname(_config_path()) or ".", exist_ok=True)
+        return {"path": _config_path(), "bytes": evidence.write_private(_config_path(), body.encode(), args.force)}
+    if args.topic == "config" and args.verb == "check":
+        return _checked(settings)
     if args.topic == "config":
         return {name: {"value": v, "from": origin} for name, (v, origin) in settings.items()}
     if args.topic == "schema":
@@ -114,7 +174,7 @@ def _run(args, settings, index: str, meta: str, spark):
         return {"version": metadata.put(*change, args.document, args.expected_version) if args.verb == "set" else metadata.delete(*change, args.expected_version)}
     spark = spark or _session()
     if args.topic == "index" and args.verb == "sync":
-        return store.sync(spark, index, args.roots or settings["roots"][0], args.rebuild)
+        return store.sync(spark, index, args.roots or settings["roots"][0], args.rebuild, progress=_reporter(args.progress))
     views.register(spark, index, meta)
     if args.topic == "index":
         return views.status(spark, index)

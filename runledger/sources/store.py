@@ -10,8 +10,9 @@ from __future__ import annotations
 import glob
 import json
 import os
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -102,11 +103,13 @@ def _rows(batches: Iterator, limits: dict[str, int]) -> Iterator:
                 yield pd.DataFrame([(row.source_id, *o) for o in out[at : at + 5000]], columns=["source_id", "relation", "body", "error"])
 
 
-def sync(spark: SparkSession, index: str, roots: list[str], rebuild: bool = False, record_bytes: int = framing.MOST_RECORD_BYTES, text_bytes: int = MOST_TEXT_BYTES) -> list[dict[str, Any]]:
+def sync(spark: SparkSession, index: str, roots: list[str], rebuild: bool = False, record_bytes: int = framing.MOST_RECORD_BYTES, text_bytes: int = MOST_TEXT_BYTES, progress: Callable[[str, int, float], None] | None = None) -> list[dict[str, Any]]:
     """Brings an index up to date; returns a row (locator, action, error) for each source.
 
     Actions are indexed, appended, rebuilt, unchanged, skipped and failed. The limits can't change while sources exist.
     """
+    began = time.monotonic()
+    tell = progress or (lambda phase, sources, seconds: None)
     os.makedirs(index, mode=0o700, exist_ok=True)
     manifest, limits = load(index), {"record_bytes": record_bytes, "text_bytes": text_bytes}
     if manifest.sources and manifest.policy != limits:
@@ -150,6 +153,7 @@ def sync(spark: SparkSession, index: str, roots: list[str], rebuild: bool = Fals
         source_id = old["source_id"] if old else max(ids, default=0) + 1
         ids.add(source_id)
         work.append((path, known_as, source_id, action, entry))
+    tell("compared", len(work) + len(report), time.monotonic() - began)
     if work:
         generation = uuid.uuid4().hex
         outcome = _write(spark, index, generation, work, limits)
@@ -160,8 +164,10 @@ def sync(spark: SparkSession, index: str, roots: list[str], rebuild: bool = Fals
                     manifest.sources.pop(known_as, None)
                 manifest.sources[path] = entry | {"source_id": source_id, "generation": generation}
             report.append({"locator": path, "action": action if error is None else relation, "error": error})
+        tell("projected", len(work), time.monotonic() - began)
     if work or moved:
         _commit(index, manifest)
+        tell("published", len(manifest.sources), time.monotonic() - began)
     return sorted(report, key=lambda r: r["locator"])
 
 
