@@ -7,7 +7,6 @@ training documents, which bounds the model that is sent to the executors; all te
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
