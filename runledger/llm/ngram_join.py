@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,9 +28,10 @@ from runledger.llm.components import components
 
 SHINGLE, PERCENT = 3, 90
 #: Counters of the sketch (a power of two), in chunks; rounds with one leader for each bucket.
-SKETCH_BITS, CHUNK, ROUNDS = 18, 4096, 4
+SKETCH_BITS, CHUNK, ROUNDS = 18, 4096, 2
 #: Bits of the filter of texts to compare, ranges of the suffix filter, and bits of a shingle in the sets that are compared.
-FILTER_BITS, RANGES, SET_BITS = 24, 64, 40
+FILTER_BITS, RANGE_BITS, SET_BITS = 24, 6, 40
+RANGES, RANGES_ARROW = 1 << RANGE_BITS, pa.list_(pa.int8())
 
 
 def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> tuple[list[np.ndarray], list[bytes]]:
@@ -63,14 +64,13 @@ def similar(inter: int, a: int, b: int, percent: int = PERCENT) -> bool:
     return 100 * inter >= percent * (a + b - inter)
 
 
+def range_counts(shingles: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit shingles lie in each of RANGES equal ranges of their values, up to 127."""
+    return np.bincount((shingles >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=RANGES).clip(max=127).astype(np.int8)
+
+
 def compare(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    """True if two sorted sets are similar; the suffix filter comes before the intersection."""
-    least = -(-percent * (len(a) + len(b)) // (100 + percent))
-    most_different = len(a) + len(b) - 2 * least
-    edges = np.arange(1, RANGES, dtype=np.uint64) << np.uint64(SET_BITS - 6)
-    sizes = [np.diff(np.searchsorted(x, edges), prepend=0, append=len(x)) for x in (a, b)]
-    if np.abs(sizes[0] - sizes[1]).sum() > most_different:
-        return False
+    """True if two sorted sets are similar."""
     return similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), percent)
 
 
@@ -80,7 +80,7 @@ def _as_set(shingles: np.ndarray) -> np.ndarray:
 
 def _describe(docs: DataFrame) -> DataFrame:
     """Rows of kind 0: key, class name, set size; of kind 1: a chunk of a partition's sketch."""
-    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("_key", docs.schema["_key"].dataType), T.StructField("name", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("_key", docs.schema["_key"].dataType), T.StructField("name", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("ranges", T.ArrayType(T.ByteType())), T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, kind = np.zeros(1 << SKETCH_BITS, np.int64), None
@@ -91,14 +91,14 @@ def _describe(docs: DataFrame) -> DataFrame:
                 sketch += np.bincount(np.concatenate([np.zeros(0, np.uint64), *sets]) >> np.uint64(64 - SKETCH_BITS), minlength=len(sketch))
                 n = len(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([0] * n, pa.int32()), batch.column(0).slice(at, n), pa.array(names, pa.binary()), pa.array(map(len, sets), pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                    [pa.array([0] * n, pa.int32()), batch.column(0).slice(at, n), pa.array(names, pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array([range_counts(x) for x in sets], RANGES_ARROW), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
                     schema.fieldNames(),
                 )
         if kind is not None:
             n = len(sketch) // CHUNK
             counts = [tb.pack_counts(c) for c in sketch.reshape(n, CHUNK)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([1] * n, pa.int32()), pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(counts, pa.binary())],
+                [pa.array([1] * n, pa.int32()), pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, RANGES_ARROW), pa.array(range(n), pa.int32()), pa.array(counts, pa.binary())],
                 schema.fieldNames(),
             )
 
@@ -181,10 +181,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _may_link(percent: int) -> F.Column:
-    """Length and positional filters of postings x and y of one token."""
-    least = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / (100 + percent))
+    """Length, positional and suffix filters of postings x and y of one token.
+
+    The suffix filter cuts the order of shingles into ranges: sets that differ by d in the counts of the ranges differ in d
+    shingles at least.
+    """
+    both = F.col("x.n") + F.col("y.n")
+    least = F.ceil(F.lit(percent) * both / (100 + percent))
     lengths = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    return lengths & (1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) - 1 >= least)
+    positions = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= least
+    apart = F.aggregate(F.zip_with("x.ranges", "y.ranges", lambda p, q: F.abs(p.cast("int") - q)), F.lit(0), lambda total, d: total + d)
+    return lengths & positions & (apart <= both - 2 * least)
 
 
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
@@ -202,30 +209,38 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     sketch = np.zeros((1 << SKETCH_BITS) // CHUNK * CHUNK, np.int64)
     for r in chunks:
         sketch[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = tb.unpack_counts(bytes(r["counts"]))
-    classes = materialised(rows.where("n > 0").groupBy("name").agg(F.min("_key").alias("_key"), F.first("n").alias("n")), "classes")
+    classes = materialised(described.where("kind = 0 AND n > 0").groupBy("name").agg(F.min("_key").alias("_key"), F.first("n").alias("n"), F.first("ranges").alias("ranges")), "classes")
 
     postings = materialised(_postings(own, sketch, percent), "postings")
     common = postings.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("token")
     # a class is known by the first eight bytes of its name here; classes that agree in them all get the posting
-    by_class = classes.where("_key IS NOT NULL").select("_key", _little_endian("name").alias("class"))
-    shared = materialised(postings.join(common, "token").distinct().join(by_class, "class").select("token", "_key", "n", "place"), "shared")
-    sets = materialised(_sets(own, _bits(shared.select("_key").distinct())), "sets").dropDuplicates(["_key"])
+    by_class = classes.where("_key IS NOT NULL").select("_key", "ranges", _little_endian("name").alias("class"))
+    # of a bucket, only members with a neighbour in the order of sizes that passes the length filter
+    by_size = Window.partitionBy("token").orderBy("n", "class")
+    near = F.coalesce(100 * F.lag("n").over(by_size) >= percent * F.col("n"), F.lit(False)) | F.coalesce(100 * F.col("n") >= percent * F.lead("n").over(by_size), F.lit(False))
+    members = postings.join(common, "token").dropDuplicates(["token", "class"]).withColumn("_near", near).where("_near")
+    shared = materialised(members.join(by_class, "class").select("token", "_key", "n", "place", "ranges"), "shared")
 
     links = spark.createDataFrame([], T.StructType([T.StructField("a", docs.schema[key].dataType), T.StructField("b", docs.schema[key].dataType)]))
     rooted, open_ = None, shared.withColumn("root", F.col("_key"))
     for r in range(rounds + 1):
-        mixed = open_.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("_key", "n", "place", "root"), F.xxhash64("_key", F.lit(r))).alias("leader")).where("lo <> hi")
+        mixed = open_.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("_key", "n", "place", "ranges", "root"), F.xxhash64("_key", F.lit(r))).alias("leader")).where("lo <> hi")
         open_ = materialised(open_.join(mixed.select("token", "leader"), "token"), "open")
         if open_.isEmpty():
             break
         members = open_.drop("leader")
-        leaders = open_.select("token", "leader.*").distinct() if r < rounds else members
+        leaders = mixed.select("token", "leader.*") if r < rounds else members
         x, y = leaders.alias("x"), members.alias("y")
         across = (F.col("x.root") != F.col("y.root")) & _may_link(percent)
         if r == rounds:
             across &= F.col("x.root") < F.col("y.root")
-        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & across).select(F.least("x._key", "y._key").alias("a"), F.greatest("x._key", "y._key").alias("b")).distinct()
-        links = materialised(_verified(pairs, sets, percent), "links").union(links if rooted is None else rooted.select(F.col("v").alias("a"), F.col("root").alias("b")))
+        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & across).select(F.least("x._key", "y._key").alias("a"), F.greatest("x._key", "y._key").alias("b"))
+        pairs = materialised(pairs.distinct(), "pairs")
+        if pairs.isEmpty():
+            open_ = members
+            continue
+        sets = _sets(own, _bits(pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct()))
+        links = materialised(_verified(pairs, materialised(sets, "sets"), percent), "links").union(links if rooted is None else rooted.select(F.col("v").alias("a"), F.col("root").alias("b")))
         rooted = components(links)
         open_ = members.drop("root").join(rooted.withColumnRenamed("v", "_key"), "_key", "left").withColumn("root", F.coalesce("root", "_key"))
     if rooted is None:
