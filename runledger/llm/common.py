@@ -57,8 +57,3 @@ def materialised(df: DataFrame, name: str = "part") -> DataFrame:
     at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
-
-
-def shuffle_width(df: DataFrame, least: int = 12) -> int:
-    """A count of parts that follows the input: the partitions that reading makes, or spark.sql.shuffle.partitions if more."""
-    return max(least, df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

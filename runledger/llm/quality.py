@@ -116,21 +116,21 @@ def ablations(rows: DataFrame) -> DataFrame:
 
     The ledger is first counted by failure bits: a group for each pattern of the rules, 128 at most.
     """
-    spark = rows.sparkSession
     patterns = rows.groupBy("failure_bits").agg(F.count("*").alias("n"))
-    cases = spark.createDataFrame(
-        [(v, r, mask_of(rules), 1 << RULES.index(r)) for v, rules in POLICIES.items() for r in rules],
-        "policy string, rule string, policy_bits long, rule_bit long",
-    )
-    hit = F.col("failure_bits").bitwiseAND(F.col("policy_bits"))
+    cases = [
+        F.struct(F.lit(v).alias("policy"), F.lit(r).alias("rule"), F.lit(mask_of(rules)).cast("long").alias("policy_bits"), F.lit(mask_of((r,))).cast("long").alias("rule_bit"))
+        for v, rules in POLICIES.items()
+        for r in rules
+    ]
+    hit = F.col("failure_bits").bitwiseAND(F.col("case.policy_bits"))
+    total = lambda kept: F.coalesce(F.sum(F.when(kept, F.col("n"))), F.lit(0))
     return (
-        F.broadcast(cases)
-        .join(patterns, F.col("policy_bits") > 0, "left")
-        .groupBy("policy", "rule")
+        patterns.withColumn("case", F.explode(F.array(*cases)))
+        .groupBy("case.policy", "case.rule")
         .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
-            F.coalesce(F.sum(F.when(hit == 0, F.col("n"))), F.lit(0)).alias("n_kept"),
-            F.coalesce(F.sum(F.when(hit.bitwiseAND(F.bitwise_not("rule_bit")) == 0, F.col("n"))), F.lit(0)).alias("n_kept_without"),
-            F.coalesce(F.sum(F.when(hit == F.col("rule_bit"), F.col("n"))), F.lit(0)).alias("n_only_this"),
+            F.sum("n").alias("n_rows"),
+            total(hit == 0).alias("n_kept"),
+            total(hit.bitwiseAND(F.bitwise_not("case.rule_bit")) == 0).alias("n_kept_without"),
+            total(hit == F.col("case.rule_bit")).alias("n_only_this"),
         )
     )
