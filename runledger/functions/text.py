@@ -71,6 +71,12 @@ def tagged_value(text: Column, tag: str) -> Column:
     return F.when(text.rlike(f"(?s)<{re.escape(tag)}>.*?</{re.escape(tag)}>"), F.trim(value))
 
 
+def path_of_uri(uri: Column) -> Column:
+    """The path of a local `file:` URI with its percent codes decoded; null for anything else."""
+    path = F.regexp_extract(uri, r"^file:(?://(?:localhost)?)?(/.*)$", 1)
+    return F.when(path != "", F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))))
+
+
 def complete_or_null(text: Column, most: int) -> Column:
     """Arguments are kept whole as a VARIANT, or left out: too long or invalid JSON gives null."""
     return F.when(F.octet_length(text) <= most, F.try_parse_json(text))

@@ -13,6 +13,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from runledger.sources.dialect import rewrite
+
 MOST_SQL_BYTES = 1 << 20
 ROW_LIMIT, CELL_BYTES, OUTPUT_BYTES, TIMEOUT_S = 1000, 65_536, 65_536, 30.0
 #: Functions that reach outside the data.
@@ -49,16 +51,6 @@ class Report:
         return json.dumps({"data": body}, ensure_ascii=False, separators=(",", ":"))
 
 
-def rewrite(sql: str) -> str:
-    """SQL that Spark parses: the keyword MATERIALIZED goes, outside quotes and comments."""
-    out, at = [], 0
-    for m in re.finditer(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|\bAS\s+(?:NOT\s+)?MATERIALIZED\b", sql, re.I | re.S):
-        out.append(sql[at : m.start()])
-        out.append("AS" if m[0][:2].upper() == "AS" else m[0])
-        at = m.end()
-    return "".join(out) + sql[at:]
-
-
 def _nodes(plan) -> list:
     """All logical nodes of a parsed plan, with those inside subqueries and common table expressions."""
     todo, out = [plan], []
@@ -88,7 +80,10 @@ def admit(spark: SparkSession, sql: str, relations: set[str] | None = None) -> s
     """
     if len(sql.encode()) > MOST_SQL_BYTES:
         raise QueryError("the statement is longer than 1 MiB", "send a shorter statement")
-    text = rewrite(sql).strip().rstrip(";")
+    try:
+        text = rewrite(sql).strip().rstrip(";")
+    except ValueError as error:
+        raise QueryError(str(error), "give a longer literal, or filter blobs.text with instr") from None
     if not text:
         raise QueryError("no statement", "send one SELECT")
     try:

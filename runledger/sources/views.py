@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from runledger import ship
 from runledger.functions import terms as terms_of
 from runledger.operators import links, search
-from runledger.sources import metadata, store
+from runledger.sources import dialect, metadata, store
 
 #: Relations in the order of their declaration, with columns as (name, type, nullable).
 PUBLIC = {
@@ -97,6 +97,7 @@ def register(spark: SparkSession, index: str, metadata_path: str | None = None)
     }
     for name, df in views.items():
         df.createOrReplaceTempView(name)
+    dialect.register(spark)
     return manifest
 
 

@@ -155,6 +155,19 @@ def test_index_life(spark, tmp_path):
     assert linked == [{"same": True}]
     assert runner.run(spark, "SELECT DISTINCT item_id FROM item_search_terms WHERE term = 'bug'", set(views.PUBLIC)).rows[0]["item_id"] > 0
 
+    ask = lambda sql: runner.run(spark, sql, set(views.PUBLIC)).rows
+    assert len(ask("SELECT rowid FROM item_search(trigram_query('the bug'))")) == 1
+    (hit,) = ask("WITH c AS MATERIALIZED (SELECT rowid AS item_id, bm25(item_search_terms) AS score FROM item_search_terms(search_query('bug find')) ORDER BY score LIMIT 5) SELECT json_extract(i.semantic, '$.role') AS role, score < 0 AS better FROM c JOIN items i USING (item_id)")
+    assert hit == {"role": "human.request", "better": True}
+    assert ask("SELECT rowid FROM item_search_terms(search_query('absent'))") == []
+    witnesses = ask("SELECT i.item_id, w.value FROM items i JOIN json_each(i.record_ids) AS w WHERE json_extract(i.semantic, '$.role') = 'human.request'")
+    assert len(witnesses) == 2
+    (facts,) = ask("SELECT SUM(failed IS NOT NULL) AS known, SUM(failed = 1) AS failures, length(CAST(max(t) AS BLOB)) AS n FROM (SELECT json_extract(semantic, '$.value.failed') AS failed, 'é' AS t FROM items)")
+    assert facts == {"known": 1, "failures": 0, "n": 2}
+    assert ask("SELECT strftime('%Y-%m-%d %H:%M', unixepoch('2026-09-07T13:40:00Z'), 'unixepoch', '+08:00') AS t") == [{"t": "2026-09-07 21:40"}]
+    with pytest.raises(runner.QueryError):
+        ask("SELECT * FROM item_search(trigram_query('ab'))")
+
     record_id = runner.run(spark, "SELECT min(record_id) AS r FROM records").rows[0]["r"]
     record = evidence.locate(spark, record_id)
     assert evidence.verify(record) == "verified"
