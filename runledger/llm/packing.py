@@ -26,7 +26,7 @@ WINDOW, GRAIN, DEPTH = 4096, 16, 3
 #: Words whose ids a Python worker remembers; the memory is emptied beyond it.
 CACHE_WORDS = 400_000
 #: Pieces that are numbered in one sorted group.
-GROUP_ROWS = 100_000
+GROUP_ROWS = 2_000
 
 
 #: Marks the end of a word where merges are looked up; tokenizers with word ends have tokens that carry it.
