@@ -31,7 +31,8 @@ from runledger.llm.common import materialised, shared_folder
 LENGTH, ANCHOR = 50, 24
 #: Bytes of text in a group, and bits of a minimizer.
 GROUP_BYTES, MINIMIZER_BITS = 4_000_000, 48
-#: Windows that are hashed at a time.
+#: Bytes of a composed backward step, and windows that are hashed at a time.
+STRIDE = 7
 SLICE = 1 << 16
 NO_KEY = np.iinfo(np.int64).max
 
@@ -53,19 +54,24 @@ def equal_windows(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray,
     order = _sorted_suffixes(symbol, length)
     n = len(order)
     transform = symbol[order - 1]  # the symbol before each suffix in order
-    back = np.argsort(transform.astype(np.int16), kind="stable").astype(np.int32)  # place j holds c X where place back[j] holds X
+    back = np.argsort(transform.astype(np.int16), kind="stable")  # place j holds c X where place back[j] holds X
     first = symbol[order]
     divided = np.ones(n, bool)
     divided[1:] = first[1:] != first[:-1]
-    by_symbol, count = divided, int(divided.sum())
-    for _ in range(length - 1):
+    # Every step extends all intervals backward: a border between two places stays undivided as long as the places that they
+    # came from lie in one interval. The first steps are of one byte; seven of them composed make the strides that follow.
+    stride_back = back
+    for _ in range(STRIDE - 1):
+        stride_back = back[stride_back]
+    border, reached = np.flatnonzero(~divided), 1
+    while reached < length and len(border):
+        stride = STRIDE if STRIDE <= reached and reached + STRIDE <= length else 1
+        origin = stride_back if stride > 1 else back
         interval = np.cumsum(divided, dtype=np.int32)
-        extended = interval[back]
-        divided = by_symbol.copy()
-        divided[1:] |= extended[1:] != extended[:-1]
-        if (now := int(divided.sum())) == count:
-            break  # no interval was split, so none will be
-        count = now
+        apart = interval[origin[border - 1]] != interval[origin[border]]
+        divided[border[apart]] = True
+        border = border[~apart]
+        reached += stride
     classes = np.empty(n, np.int32)
     classes[order] = np.cumsum(divided, dtype=np.int32) - 1
     return classes, start
@@ -169,25 +175,24 @@ class Group:
         flagged = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(flags[p], np.uint8))[: bounds[p + 1] - bounds[p]].astype(bool) for p in range(parts) if bounds[p] < bounds[p + 1])])
         return np.flatnonzero(flagged[np.searchsorted(unique, self.mu)]) if len(unique) else np.zeros(0, np.int64)
 
-    def distinct_runs(self, flags: dict[int, bytes], parts: int) -> tuple[np.ndarray, list[tuple[int, bytes]], np.ndarray, np.ndarray]:
-        """(shared runs, distinct (minimizer, bytes) in order, number of each shared run, least key of each distinct run)."""
+    def distinct_runs(self, flags: dict[int, bytes], parts: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+        """(shared runs, minimizers and texts of the distinct runs by minimizer, number of each shared run, least key of each distinct run).
+
+        Runs with one minimizer stand in the order in which they occur, so the same documents in the same order give the same numbers.
+        """
         runs = self.shared_runs(flags, parts)
         text, found = self.text, {}
-        strings = [text[a:b] for a, b in zip(self.first[runs].tolist(), (self.first[runs] + self.windows[runs] + LENGTH - 1).tolist(), strict=True)]
-        for string, m in zip(strings, self.mu[runs].tolist(), strict=True):
-            found[string] = m  # a string has one minimizer
-        in_order = sorted(found)
-        by_mu = np.argsort(np.fromiter(map(found.__getitem__, in_order), np.uint64, len(in_order)), kind="stable")
-        distinct = [(found[in_order[i]], in_order[i]) for i in by_mu.tolist()]
-        place = {string: i for i, (_, string) in enumerate(distinct)}
-        number = np.fromiter(map(place.__getitem__, strings), np.int64, len(strings))
-        least = np.full(len(distinct), NO_KEY)
-        np.minimum.at(least, number, self.keys[self.doc[runs]])
-        return runs, distinct, number, least
-
-
-def _parts_of(distinct: list[tuple[int, bytes]], parts: int) -> np.ndarray:
-    return tb.part_bounds(np.fromiter((m for m, _ in distinct), np.uint64, len(distinct)), MINIMIZER_BITS, parts)
+        spans = zip(self.first[runs].tolist(), (self.first[runs] + self.windows[runs] + LENGTH - 1).tolist(), strict=True)
+        number = np.fromiter((found.setdefault(text[a:b], len(found)) for a, b in spans), np.int64, len(runs))
+        mu = np.empty(len(found), np.uint64)
+        mu[number] = self.mu[runs]  # a text has one minimizer
+        order = np.argsort(mu, kind="stable")
+        rank = np.empty(len(found), np.int64)
+        rank[order] = np.arange(len(found))
+        texts = list(found)
+        least = np.full(len(found), NO_KEY)
+        np.minimum.at(least, rank[number], self.keys[self.doc[runs]])
+        return runs, mu[order], [texts[i] for i in order.tolist()], rank[number], least
 
 
 def decide_runs(strings: list[bytes], mus: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, bytes]]:
@@ -256,23 +261,24 @@ def _decide_blocks(blocks: pa.Table) -> pa.Table:
 def _removed(group: Group, flags: dict[int, bytes], answers: dict[int, tuple[bytes, bytes]], parts: int) -> np.ndarray:
     """True for each byte of the group's text that goes."""
     change = np.zeros(len(group.text) + 1, np.int32)
-    runs, distinct, number, least = group.distinct_runs(flags, parts)
+    runs, mu, texts, number, least = group.distinct_runs(flags, parts)
     if len(runs):
-        bounds = _parts_of(distinct, parts)
+        bounds = tb.part_bounds(mu, MINIMIZER_BITS, parts)
         state = np.concatenate([np.frombuffer(answers[p][0], np.uint8) for p in range(parts) if bounds[p] < bounds[p + 1]])
         whole = (state[number] == 1) | (group.keys[group.doc[runs]] > least[number])
         np.add.at(change, group.first[runs[whole]], 1)
         np.add.at(change, group.first[runs[whole]] + group.windows[runs[whole]] + LENGTH - 1, -1)
         masks, at = b"".join(answers[p][1] for p in range(parts) if p in answers), 0
-        mask_at = {}
+        mask_at, some = {}, [np.zeros(0, np.int64)]
         for i in np.flatnonzero(state == 2).tolist():
             mask_at[i] = at
-            at += len(distinct[i][1]) - LENGTH + 1
+            at += len(texts[i]) - LENGTH + 1
         for r, i in zip(runs[~whole].tolist(), number[~whole].tolist(), strict=True):
             if i in mask_at:
-                gone = group.first[r] + np.flatnonzero(np.frombuffer(masks, np.uint8, int(group.windows[r]), mask_at[i]))
-                np.add.at(change, gone, 1)
-                np.add.at(change, gone + LENGTH, -1)
+                some.append(group.first[r] + np.flatnonzero(np.frombuffer(masks, np.uint8, int(group.windows[r]), mask_at[i])))
+        gone = np.concatenate(some)
+        np.add.at(change, gone, 1)
+        np.add.at(change, gone + LENGTH, -1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -316,10 +322,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", gro
     table = spark.table(name)
 
     def group_of(rows: pa.Table) -> Group:
-        """The group without copies and null keys."""
+        """The group without copies and null keys; `rows` are `in_order`, so that every pass numbers its runs alike."""
         rows = rows.filter(pc.and_(pc.invert(rows["copy"]), pc.is_valid(rows["_key"])))
         return Group(rows["_text"].to_pylist(), rows["_key"].to_numpy().astype(np.int64))
 
+    def in_order(rows: pa.Table) -> pa.Table:
+        return rows.sort_by([("_key", "ascending"), ("_text", "ascending")])
+
     def rows_of(number: int, rows: list[tuple]) -> pa.Table:
         columns = list(zip(*rows, strict=True)) or [()] * 5
         kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
@@ -338,13 +347,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", gro
     def gather(rows: pa.Table, side: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return rows_of(0, [])
-        _, distinct, _, least = group_of(rows).distinct_runs({p: s for p, (s, _) in flags_in(side).items()}, parts)
-        bounds, out = _parts_of(distinct, parts), []
+        rows = in_order(rows)
+        _, mu, texts, _, least = group_of(rows).distinct_runs({p: s for p, (s, _) in flags_in(side).items()}, parts)
+        bounds, out = tb.part_bounds(mu, MINIMIZER_BITS, parts), []
         for p in range(parts):
-            if some := distinct[bounds[p] : bounds[p + 1]]:
-                mu = np.fromiter((m for m, _ in some), np.uint64, len(some))
-                sizes = np.fromiter((len(s) for _, s in some), np.int64, len(some))
-                out.append((p, tb.pack_sorted(mu), tb.pack_counts(least[bounds[p] : bounds[p + 1]]), tb.pack_counts(sizes), b"".join(s for _, s in some)))
+            own = slice(bounds[p], bounds[p + 1])
+            if own.start < own.stop:
+                sizes = np.fromiter(map(len, texts[own]), np.int64, own.stop - own.start)
+                out.append((p, tb.pack_sorted(mu[own]), tb.pack_counts(least[own]), tb.pack_counts(sizes), b"".join(texts[own])))
         return rows_of(rows["grp"][0].as_py(), out)
 
     gathered = table.select("_key", "_text", "copy", "grp").groupBy("grp").cogroup(flags.groupBy("grp")).applyInArrow(gather, _BLOCK)
@@ -353,6 +363,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", gro
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def apply(rows: pa.Table, side: pa.Table) -> pa.Table:
+        rows = in_order(rows)
         group = group_of(rows)
         gone = _removed(group, {p: s for p, (s, _) in flags_in(side).items()}, flags_in(side, 1), parts)
         texts = rows["_text"].to_pylist()
