@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import json
 import os
 import re
@@ -44,8 +43,14 @@ def decode(path: str, data: bytes) -> bytes:
         return data
     import zstandard
 
-    with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True) as f:
-        return f.read()
+    out = []
+    while data:
+        frame_ = zstandard.ZstdDecompressor().decompressobj()
+        out.append(frame_.decompress(data))
+        if not frame_.eof:
+            raise ValueError("the archive ends inside a frame")
+        data = frame_.unused_data
+    return b"".join(out)
 
 
 @dataclass

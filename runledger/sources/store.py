@@ -10,6 +10,7 @@ from __future__ import annotations
 import glob
 import json
 import os
+import re
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -118,28 +119,29 @@ def sync(spark: SparkSession, index: str, roots: list[str], rebuild: bool = Fals
     report, work, moved = [], [], {}
     ids = {c["source_id"] for c in manifest.sources.values()}
     by_stem = {_stem(p): p for p in manifest.sources}
+    changed = []
     for path in framing.discover(roots):
         stat = os.stat(path)
         known_as = path if path in manifest.sources else by_stem.get(_stem(path))
         old = manifest.sources.get(known_as) if known_as else None
         if old and not rebuild and known_as == path and (old["file_size"], old["modified_ns"]) == (stat.st_size, stat.st_mtime_ns) and old["complete"]:
             report.append({"locator": path, "action": "unchanged", "error": None})
+        else:
+            changed.append((path, known_as, stat.st_size, stat.st_mtime_ns))
+    found = _compare(spark, [(path, manifest.sources[known]["indexed_bytes"] if known else 0) for path, known, _, _ in changed])
+    for path, known_as, size, modified in changed:
+        state, old = found.get(path, {"error": "no result"}), manifest.sources.get(known_as) if known_as else None
+        if state["error"]:
+            report.append({"locator": path, "action": "failed", "error": state["error"]})
             continue
-        try:
-            data = framing.read_source(path)
-        except Exception as error:
-            report.append({"locator": path, "action": "failed", "error": f"{type(error).__name__}: {error}"[:500]})
-            continue
-        length = framing.complete_prefix(data)
-        first = next(framing.frame(data[:length]), None)
-        runtime = framing.runtime_of(path, first.value if first else None)
+        runtime, length = state["runtime"], state["length"]
         if runtime not in PROJECTORS or (path.endswith(".zst") and runtime != "codex"):
             report.append({"locator": path, "action": "skipped", "error": "not a known trace"})
             continue
-        entry = {"runtime": runtime, "file_size": stat.st_size, "modified_ns": stat.st_mtime_ns, "indexed_bytes": length, "fingerprint": framing.prefix_fingerprint(data, length), "complete": length == len(data)}
+        entry = {"runtime": runtime, "file_size": size, "modified_ns": modified, "indexed_bytes": length, "fingerprint": state["fingerprint"], "complete": state["complete"]}
         action = "indexed"
         if old:
-            kept = old["runtime"] == runtime and length >= old["indexed_bytes"] and framing.prefix_fingerprint(data, old["indexed_bytes"]) == old["fingerprint"]
+            kept = old["runtime"] == runtime and length >= old["indexed_bytes"] and state["old_fingerprint"] == old["fingerprint"]
             if kept and length == old["indexed_bytes"] and not rebuild:
                 manifest.sources.pop(known_as)
                 manifest.sources[path] = old | entry
@@ -171,6 +173,43 @@ def sync(spark: SparkSession, index: str, roots: list[str], rebuild: bool = Fals
     return sorted(report, key=lambda r: r["locator"])
 
 
+_STATE = "path string, error string, runtime string, length long, complete boolean, fingerprint string, old_fingerprint string"
+
+
+def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(uri, content) of local trace files, read where tasks run."""
+    literal = [re.sub(r"([\\{}\[\]*?,])", r"\\\1", p) for p in paths]  # file names aren't patterns
+    uri = F.regexp_replace("path", "^file:/+", "file:/")
+    return spark.read.format("binaryFile").load([f"file://{p}" for p in literal]).select(uri.alias("uri"), "content")
+
+
+def _compare(spark: SparkSession, sources: list[tuple[str, int]]) -> dict[str, dict[str, Any]]:
+    """What changed files hold, by path, found by tasks: runtime, complete bytes, and fingerprints of all and of the known prefix."""
+    if not sources:
+        return {}
+    ship(spark)
+
+    def look(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for path, content, known in batch.itertuples(index=False):
+                try:
+                    data = framing.decode(path, bytes(content))
+                    length = framing.complete_prefix(data)
+                    first = next(framing.frame(data[: data.find(b"\n") + 1]), None)
+                    whole, old = framing.prefix_fingerprint(data, length), framing.prefix_fingerprint(data, known) if known <= length else None
+                    rows.append((path, None, framing.runtime_of(path, first.value if first else None), length, length == len(data), whole, old))
+                except Exception as error:  # a damaged archive
+                    rows.append((path, f"{type(error).__name__}: {error}"[:500], None, None, None, None, None))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _STATE.split(", ")])
+
+    wanted = spark.createDataFrame([(f"file:{p}", p, n) for p, n in sources], "uri string, path string, known long")
+    files = _files(spark, [p for p, _ in sources]).join(F.broadcast(wanted), "uri").select("path", "content", "known")
+    return {r["path"]: r.asDict() for r in files.mapInPandas(look, _STATE).collect()}
+
+
 def _stem(path: str) -> str:
     return path.removesuffix(".zst").replace("transcript_full.jsonl", "transcript.jsonl")
 
@@ -179,7 +218,7 @@ def _write(spark: SparkSession, index: str, generation: str, work: list[tuple],
     """Writes the rows of changed sources as one generation; (relation, error) by source id."""
     ship(spark)
     facts = spark.createDataFrame([(f"file:{p}", p, s, e["runtime"], e["indexed_bytes"]) for p, _, s, _, e in work], "uri string, locator string, source_id long, runtime string, length long")
-    files = spark.read.format("binaryFile").load([p for p, *_ in work]).select(F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/").alias("uri"), "content")
+    files = _files(spark, [p for p, *_ in work])
     joined = files.join(F.broadcast(facts), "uri").select("source_id", F.col("locator").alias("path"), "runtime", "length", "content")
     at = os.path.join(index, f"raw-{generation}")
     parallel = min(len(work), max(1, spark.sparkContext.defaultParallelism * 4))

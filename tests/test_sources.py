@@ -215,3 +215,52 @@ def test_metadata_versions(tmp_path):
         metadata.put(path, "codex", "s", "{}", expected=0)
     assert metadata.delete(path, "codex", "s", expected=1) == 2
     assert metadata.get(path, "codex", "s")["metadata"] is None and metadata.put(path, "codex", "s", '{"a": 1.0}', expected=2) == 3
+
+
+def test_compressed_source_replaces_the_plain_one(spark, tmp_path):
+    import zstandard
+
+    index, root = str(tmp_path / "index"), tmp_path / "with space 100% [a]"
+    path = write(root / "one.jsonl", codex_records())
+    store.sync(spark, index, [str(root)])
+    before = store.load(index).sources[path]
+    packed = zstandard.ZstdCompressor().compress(open(path, "rb").read())
+    os.remove(path)
+    (root / "one.jsonl.zst").write_bytes(packed[:40])
+    assert [r["action"] for r in store.sync(spark, index, [str(root)])] == ["failed"]
+    assert store.load(index).sources[path]["source_id"] == before["source_id"]
+    (root / "one.jsonl.zst").write_bytes(packed)
+    assert [r["action"] for r in store.sync(spark, index, [str(root)])] == ["unchanged"]
+    (moved,) = store.load(index).sources.items()
+    assert moved[0] == path + ".zst" and moved[1]["source_id"] == before["source_id"]
+    views.register(spark, index)
+    record = evidence.locate(spark, spark.sql("SELECT max(record_id) AS r FROM records").first()["r"])
+    assert evidence.verify(record) == "verified"
+    write(root / "one.jsonl", codex_records()[:4])
+    assert [r["action"] for r in store.sync(spark, index, [str(root)])] == ["skipped"]
+    assert [r["action"] for r in store.sync(spark, index, [str(root)], rebuild=True)] == ["rebuilt"]
+    assert store.prune(index)
+    views.register(spark, index)
+    assert spark.table("records").count() == 4
+
+
+def test_two_sources_of_one_session_and_a_fork(spark, tmp_path):
+    def trace(name, start, ident, parent=None):
+        meta = {"id": ident, "timestamp": AT.format(start), "cwd": "/w"} | ({"forked_from_id": parent} if parent else {})
+        body = [("session_meta", meta), ("event_msg", {"type": "task_started", "turn_id": f"{name}-t"}), ("event_msg", {"type": "user_message", "message": f"ask {name}"})]
+        write(tmp_path / "t" / f"{name}.jsonl", [{"type": k, "payload": p, "timestamp": AT.format(start)} for k, p in body])
+
+    index = str(tmp_path / "index")
+    trace("child", 5, "c", "p")
+    store.sync(spark, index, [str(tmp_path / "t")])
+    views.register(spark, index)
+    assert spark.sql("SELECT forked_from FROM sessions").first()[0] is None  # the parent isn't known yet
+    trace("a", 3, "p")
+    trace("b", 1, "p")
+    store.sync(spark, index, [str(tmp_path / "t")])
+    views.register(spark, index)
+    rows = {r["native_id"]: r for r in spark.sql("SELECT * FROM sessions").collect()}
+    assert len(json.loads(rows["p"]["source_ids"])) == 2
+    assert json.loads(rows["c"]["forked_from"])["session_id"] == rows["p"]["session_id"]
+    spine = spark.sql(f"SELECT session_position, native_id FROM loops WHERE session_id = {rows['p']['session_id']} ORDER BY session_position").collect()
+    assert [(r["session_position"], r["native_id"]) for r in spine] == [(0, "b-t"), (1, "a-t")]
