@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import shutil
 import tempfile
 import uuid
 
@@ -19,10 +23,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release_memory() -> None:
+    """Gives freed memory of this process back to the system, where the C library can: Python workers live on between tasks."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def in_python(df: DataFrame, f, schema) -> DataFrame:
     """`df.mapInArrow(f, schema)`, with this package at hand on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches):
+        yield from f(batches)
+        release_memory()
+
+    return df.mapInArrow(run, schema)
+
+
+def of_group(f):
+    """`f` of one group's table, for applyInArrow; memory is released after each group."""
+
+    def run(table):
+        out = f(table)
+        release_memory()
+        return out
+
+    return run
+
+
+def of_groups(f):
+    """`f` of two cogrouped tables, for applyInArrow; memory is released after each group."""
+
+    def run(left, right):
+        out = f(left, right)
+        release_memory()
+        return out
+
+    return run
 
 
 def words_of(text: Column) -> Column:
@@ -46,7 +83,9 @@ def shared_folder(spark: SparkSession) -> str:
     if at is None:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="shared-")
+        own = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = f"file://{own}"
         spark.sparkContext.setCheckpointDir(at)
     return at
 

@@ -20,9 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runledger import ship
 from runledger.llm import textblocks as tb
-from runledger.llm.common import materialised
+from runledger.llm.common import in_python, materialised, of_group, of_groups
 
 ORDER, SPREAD = 2, 0.95
 #: Bytes of text in a group of documents, and bits of the hashes of n-grams (words have 64).
@@ -124,8 +123,6 @@ def score_documents(docs: DataFrame, train: F.Column, key: str = "doc_id", text:
     """
     if order not in (2, 3):
         raise ValueError("order must be 2 or 3")
-    spark = docs.sparkSession
-    ship(spark)
     own = docs.select(F.col(key).alias("_key"), F.coalesce(train, F.lit(False)).alias("_train"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     size = own.agg(F.sum(F.octet_length("_text") + 1).alias("b"), F.count(F.when(F.col("_train"), 1)).alias("docs")).first()
     groups = max(8, -(-(size["b"] or 0) // group_bytes))
@@ -140,8 +137,8 @@ def score_documents(docs: DataFrame, train: F.Column, key: str = "doc_id", text:
                 for level, part, keys, counts in group_blocks(some["_text"].to_pylist(), some["_train"].to_numpy(zero_copy_only=False), order, parts):
                     yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([part], pa.int32()), pa.array([int(group)], pa.int32()), pa.array([keys], pa.binary()), pa.array([counts], pa.binary())], BLOCK.fieldNames())
 
-    blocks = dealt.select("_train", "_text", "_group").repartitionById(groups, "_group").mapInArrow(count, BLOCK)
-    totals = materialised(blocks.groupBy("level", "part").applyInArrow(sum_blocks, TOTAL), "counts")
+    blocks = in_python(dealt.select("_train", "_text", "_group").repartitionById(groups, "_group"), count, BLOCK)
+    totals = materialised(blocks.groupBy("level", "part").applyInArrow(of_group(sum_blocks), TOTAL), "counts")
     sums = totals.where("level = 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
     n, v, train_docs = int(sums["n"]), int(sums["v"]), int(size["docs"])
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
@@ -165,4 +162,4 @@ def score_documents(docs: DataFrame, train: F.Column, key: str = "doc_id", text:
             }
         )
 
-    return dealt.groupBy("_group").cogroup(totals.groupBy("group")).applyInArrow(score, schema)
+    return dealt.groupBy("_group").cogroup(totals.groupBy("group")).applyInArrow(of_groups(score), schema)

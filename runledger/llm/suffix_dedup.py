@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from runledger import ship
 from runledger.llm import textblocks as tb
-from runledger.llm.common import materialised, shared_folder
+from runledger.llm.common import materialised, of_group, of_groups, shared_folder
 
 LENGTH, ANCHOR = 50, 24
 #: Bytes of text in a group, and bits of a minimizer.
@@ -303,7 +303,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", gro
     # equal texts: all but those of the smallest key go whole, if they hold a window at all
     long_ = own.where((F.octet_length("_text") >= LENGTH) & F.col("_key").isNotNull()).select("_key", F.md5(F.col("_text").cast("binary")).alias("_name"))
     named = long_.groupBy("_name").agg(F.min("_key").alias("_least"), F.max("_key").alias("_most")).where("_least < _most")
-    copies = materialised(long_.join(named.select("_name", "_least"), "_name").where("_key > _least").select(F.col("_key"), "_name").distinct().withColumn("grp", grp), "copies")
+    copies = materialised(long_.join(named.select("_name", "_least"), "_name").where("_key > _least").select(F.col("_key"), "_name").withColumn("grp", grp), "copies")
 
     kept_types = T.StructType([T.StructField(f.name, f.dataType) for f in own.schema["_rest"].dataType])
     inner = T.StructType([T.StructField("_key", T.LongType()), T.StructField("_text", T.StringType()), T.StructField("_rest", kept_types), T.StructField("copy", T.BooleanType()), T.StructField("grp", T.IntegerType())])
@@ -316,7 +316,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", gro
         copy = [k in keys and (k, hashlib.md5((t or "").encode("utf-8", "surrogatepass")).hexdigest()) in names for k, t in zip(rows["_key"].to_pylist(), rows["_text"].to_pylist(), strict=True)]
         return rows.append_column("copy", pa.array(copy, pa.bool_())).select(["_key", "_text", "_rest", "copy", "grp"])
 
-    dealt = own.withColumn("grp", grp).groupBy("grp").cogroup(copies.groupBy("grp")).applyInArrow(mark, inner)
+    dealt = own.withColumn("grp", grp).groupBy("grp").cogroup(copies.groupBy("grp")).applyInArrow(of_groups(mark), inner)
     name = f"repeats_{uuid.uuid4().hex}"
     dealt.write.format("parquet").bucketBy(groups, "grp").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     table = spark.table(name)
@@ -338,7 +338,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", gro
     def count(rows: pa.Table) -> pa.Table:
         return rows_of(rows["grp"][0].as_py(), [(p, mu, n, None, None) for p, mu, n in group_of(rows).blocks(parts)])
 
-    flags = materialised(table.select("_key", "_text", "copy", "grp").groupBy("grp").applyInArrow(count, _BLOCK).groupBy("part").applyInArrow(_flag_minimizers, _ANSWER), "flags")
+    flags = materialised(table.select("_key", "_text", "copy", "grp").groupBy("grp").applyInArrow(of_group(count), _BLOCK).groupBy("part").applyInArrow(of_group(_flag_minimizers), _ANSWER), "flags")
 
     def flags_in(side: pa.Table, kind: int = 0) -> dict[int, tuple[bytes, bytes]]:
         side = side.filter(pc.equal(side["kind"], kind))
@@ -357,8 +357,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", gro
                 out.append((p, tb.pack_sorted(mu[own]), tb.pack_counts(least[own]), tb.pack_counts(sizes), b"".join(texts[own])))
         return rows_of(rows["grp"][0].as_py(), out)
 
-    gathered = table.select("_key", "_text", "copy", "grp").groupBy("grp").cogroup(flags.groupBy("grp")).applyInArrow(gather, _BLOCK)
-    answers = materialised(gathered.groupBy("part").applyInArrow(_decide_blocks, _ANSWER), "answers")
+    gathered = table.select("_key", "_text", "copy", "grp").groupBy("grp").cogroup(flags.groupBy("grp")).applyInArrow(of_groups(gather), _BLOCK)
+    answers = materialised(gathered.groupBy("part").applyInArrow(of_group(_decide_blocks), _ANSWER), "answers")
     result = T.StructType([T.StructField("_key", T.LongType()), T.StructField("_rest", kept_types), T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.StringType() if decoded else T.BinaryType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -384,5 +384,5 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", gro
         return pa.table({"_key": rows["_key"], "_rest": rows["_rest"], "n_bytes": pa.array(sizes, pa.int64()), "kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if decoded else pa.array(kept, pa.binary()), "spans": pa.array(spans, span_type)})
 
     side = flags.unionByName(answers)
-    out = table.groupBy("grp").cogroup(side.groupBy("grp")).applyInArrow(apply, result)
+    out = table.groupBy("grp").cogroup(side.groupBy("grp")).applyInArrow(of_groups(apply), result)
     return out.select(F.col("_key").cast(docs.schema[key].dataType).alias(key), *[F.col(f"_rest.{c}").alias(c) for c in rest], "n_bytes", "kept", "spans")

@@ -11,7 +11,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK_CHARS = 3_000_000
+BLOCK_CHARS = 2_000_000
 
 
 def blocks(batch: pa.RecordBatch, column: int, most: int = BLOCK_CHARS) -> Iterator[tuple[int, list[str | None]]]:
