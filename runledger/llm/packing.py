@@ -180,7 +180,7 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         while True:
             at = np.flatnonzero(passive)
             own = a[:, at]
-            z = np.linalg.lstsq(own.T @ own, own.T @ b, rcond=None)[0]
+            z = np.linalg.solve(own.T @ own + 1e-9 * np.eye(len(at)), own.T @ b)  # columns may depend on each other
             if (z > 0).all():
                 x[:] = 0
                 x[at] = z
