@@ -3,7 +3,8 @@
 Words become templates: numbers, names and units are replaced by typed placeholders, the rest is lower-cased and stripped of
 punctuation. Windows of template words of documents and of benchmark items meet in a hash join. Along each alignment (the
 distance between the places in document and item) the slot values must map one to one between item and document, so a
-re-parameterised question counts and a chance mixture does not. Native DataFrame code.
+re-parameterised question counts and a chance mixture does not. Windows of the bare words meet too, so a copy word for word
+counts where a word's case or neighbour gives it another type than in the item. Native DataFrame code.
 """
 
 from __future__ import annotations
@@ -62,59 +63,101 @@ def _templates(df: DataFrame, key: str, text: str) -> DataFrame:
     return own.withColumn("slot_value", F.transform("slot_at", lambda i: F.btrim(F.lower(F.get("words", i)), F.lit(PUNCTUATION))))
 
 
+def _literal() -> Column:
+    """The bare words of a text with a template: what a placeholder stands for is put back."""
+    bare = lambda i: F.btrim(F.lower(F.get("words", i)), F.lit(PUNCTUATION))
+    return F.when(F.size("slot_at") == 0, F.col("template")).otherwise(F.transform("template", lambda t, i: F.when(is_slot(t), bare(i)).otherwise(t)))
+
+
+def _hashes(size: int) -> Column:
+    """The hashes of all windows of `size` template words, then those of the literal words (null where they are the same)."""
+    last = F.size("_t") - size
+    each = lambda of: F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(of, i + 1, size)))
+    literal = F.transform(F.sequence(F.lit(0), last), lambda i: F.when(F.slice("_w", i + 1, size) != F.slice("_t", i + 1, size), F.xxhash64(F.slice("_w", i + 1, size))))
+    return F.when(last < 0, None).when(F.size("slot_at") == 0, each("_t")).otherwise(F.concat(each("_t"), literal))
+
+
 def _windows(own: DataFrame, key: str, size: int, prefix: str) -> DataFrame:
-    """A row (hash, place) for each window of `size` template words, with the slots of the whole text."""
-    n = F.size("template") - size
-    hashes = F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(F.slice("template", i + 1, size))))
-    return own.select(F.col(key), "slot_at", "slot_value", F.posexplode(hashes).alias(f"{prefix}_at", "hash"))
+    """A row (hash, place, typed, literal) for each window of `size` words, with the slots of the whole text.
+
+    `typed` rows hash the template, `literal` rows the bare words; a window without placeholders has one row that is both.
+    """
+    hashed = own.select(F.col(key), "slot_at", "slot_value", F.transform("template", lambda w: F.xxhash64(w)).alias("_t"), F.transform(_literal(), lambda w: F.xxhash64(w)).alias("_w"))
+    n = F.size("_t") - size + 1
+    rows = hashed.select(F.col(key), "slot_at", "slot_value", n.alias("_n"), F.posexplode(_hashes(size)).alias("_pos", "hash"))
+    at = F.when(F.col("_pos") < F.col("_n"), F.col("_pos")).otherwise(F.col("_pos") - F.col("_n"))
+    return rows.select(F.col(key), "slot_at", "slot_value", at.alias(f"{prefix}_at"), (F.col("_pos") < F.col("_n")).alias(f"{prefix}_typed"), "hash")
+
+
+def _inside(at: Column, first: Column, size: int) -> Column:
+    return (at >= first) & (at < first + size)
 
 
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", item_text: str = "text") -> DataFrame:
     """(key, item, n_windows, n_item_windows, n_slots, same_values) for each document that contains an item.
 
-    An item is contained if LEAST_WINDOWS of its windows (or all, where it has fewer) lie on alignments with consistent slots;
-    `same_values` is true if all slots there have the item's own values. Items of fewer than WINDOW words are one window of
-    their length; items with too few literal words never match. Null and empty texts match nothing; repeated rows with one
-    key count as one document.
+    An item is contained if LEAST_WINDOWS of its windows (or all that can match, where it has fewer) lie on alignments with
+    consistent slots, or if all its words stand in the document in a row, whatever their case and type; `same_values` is true if
+    all slots there have the item's own values. Items of fewer than WINDOW words are one window of their length; windows with
+    too few literal words match only word for word. Null and empty texts match nothing; repeated rows with one key count as one
+    document.
     """
     item_rows = items.where(F.col(item_text).isNotNull()).select(F.col(item).alias("_item"), F.col(item_text).alias("_text"))
     of_items = _templates(item_rows, "_item", "_text").withColumn("_size", F.least(F.size("template"), F.lit(WINDOW))).where("_size > 0")
     doc_rows = _templates(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_key", "_text")
     sizes = sorted(r[0] for r in of_items.select("_size").distinct().collect()) or [WINDOW]  # 1..WINDOW
     found = []
+    able = None
     for size in sizes:
         literals = F.size(F.filter(F.slice("template", F.col("item_at") + 1, size), lambda w: ~is_slot(w)))
         least = min(LEAST_LITERALS, size)
         templates = of_items.where(F.col("_size") == size)
-        windows = _windows(templates, "_item", size, "item").join(templates.select("_item", "template"), "_item").where(literals >= least)
-        windows = windows.select("_item", "hash", "item_at", F.col("slot_at").alias("item_slot_at"), F.col("slot_value").alias("item_slot_value"))
+        windows = _windows(templates, "_item", size, "item").where("hash IS NOT NULL").join(templates.select("_item", "template"), "_item")
+        windows = windows.withColumn("item_literal", ~F.col("item_typed") | ~F.exists("slot_at", lambda at: _inside(at, F.col("item_at"), size)))
+        windows = windows.withColumn("item_typed", F.col("item_typed") & (literals >= least)).where("item_typed OR item_literal")
+        windows = windows.select("_item", "hash", "item_at", "item_typed", "item_literal", F.col("slot_at").alias("item_slot_at"), F.col("slot_value").alias("item_slot_value"))
         small = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+        typed = windows.where("item_typed").groupBy("_item").agg(F.count_distinct("item_at").alias("n_able"))
+        able = typed if able is None else able.unionByName(typed)
         both = _windows(doc_rows, "_key", size, "doc").join(F.broadcast(windows) if small else windows, "hash")
-        inside = lambda at, first, size=size: (at >= first) & (at < first + size)
-        pairs = F.transform(
-            F.filter(F.arrays_zip(F.col("item_slot_at").alias("at"), F.col("item_slot_value").alias("value")), lambda s: inside(s["at"], F.col("item_at"))),
-            lambda s: F.struct(s["value"].alias("item"), F.element_at("slot_value", F.array_position("slot_at", s["at"] - F.col("item_at") + F.col("doc_at")).cast("int")).alias("doc")),
+        slots = F.filter(
+            F.arrays_zip(F.col("item_slot_at").alias("at"), F.col("item_slot_value").alias("value")), lambda s: _inside(s["at"], F.col("item_at"), size)
         )
-        found.append(both.select("_key", "_item", (F.col("doc_at") - F.col("item_at")).alias("shift"), "item_at", pairs.alias("pairs")))
+        there = lambda s: F.get("slot_value", (F.array_position("slot_at", s["at"] - F.col("item_at") + F.col("doc_at")) - 1).cast("int"))
+        pairs = F.transform(slots, lambda s: F.struct(s["value"].alias("item"), F.when(F.col("item_literal"), s["value"]).otherwise(there(s)).alias("doc")))
+        typed_too = (F.col("item_typed") & F.col("doc_typed")).alias("typed")
+        found.append(both.select("_key", "_item", (F.col("doc_at") - F.col("item_at")).alias("shift"), "item_at", typed_too, "item_literal", pairs.alias("pairs")))
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)
-    aligned = rows.groupBy("_key", "_item", "shift").agg(
-        F.count_distinct("item_at").alias("n"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
-    )
+    literal = F.col("item_literal") | F.forall("pairs", lambda p: p["item"] == p["doc"])
+    window = F.struct("item_at", "typed", literal.alias("literal"), "pairs")
+    aligned = rows.groupBy("_key", "_item", "shift").agg(F.collect_set(window).alias("windows"))
+    places = lambda keep: F.size(F.array_distinct(F.transform(F.filter("windows", keep), lambda w: w["item_at"])))
+    pairs_of = lambda keep: F.array_distinct(F.flatten(F.transform(F.filter("windows", keep), lambda w: w["pairs"])))
+    aligned = aligned.select(
+        "_key", "_item", places(lambda w: w["typed"]).alias("n"), places(lambda w: w["literal"]).alias("n_literal"),
+        pairs_of(lambda w: w["typed"]).alias("pairs"), F.size(pairs_of(lambda w: w["literal"])).alias("literal_slots"),
+    )
     sides = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    consistent = (sides("item") == F.size("pairs")) & (sides("doc") == F.size("pairs"))
+    consistent = (F.col("n") > 0) & (sides("item") == F.size("pairs")) & (sides("doc") == F.size("pairs"))
     counts = of_items.select("_item", F.greatest(F.size("template") - F.col("_size") + 1, F.lit(1)).alias("n_item")).groupBy("_item").agg(F.max("n_item").alias("n_item"))
-    total = (
-        aligned.where(consistent)
-        .groupBy("_key", "_item")
-        .agg(F.sum("n").alias("n"), F.max(F.size("pairs")).alias("n_slots"), F.min(F.forall("pairs", lambda p: p["item"] == p["doc"])).alias("same"))
+    counts = counts.join(able.groupBy("_item").agg(F.max("n_able").alias("n_able")), "_item", "left")
+    total = aligned.groupBy("_key", "_item").agg(
+        F.sum(F.when(consistent, F.col("n"))).alias("n"),
+        F.max(F.when(consistent, F.size("pairs"))).alias("n_slots"),
+        F.min(F.when(consistent, F.forall("pairs", lambda p: p["item"] == p["doc"]))).alias("same"),
+        F.max_by(F.struct("n_literal", "literal_slots"), F.struct("n_literal", "literal_slots")).alias("copy"),
     )
+    by_template = F.coalesce(F.col("n") >= F.least(F.lit(LEAST_WINDOWS), F.col("n_able")), F.lit(False))
+    in_full = F.col("copy.n_literal") >= F.col("n_item")
+    either = lambda a, b: F.when(by_template, a).otherwise(b)
     return (
         total.join(counts, "_item")
-        .where(F.col("n") >= F.least(F.lit(LEAST_WINDOWS), F.col("n_item")))
+        .where(by_template | in_full)
         .select(
-            F.col("_key").alias(key), F.col("_item").alias(item), F.col("n").cast("long").alias("n_windows"), F.col("n_item").cast("long").alias("n_item_windows"),
-            F.col("n_slots").cast("long").alias("n_slots"), F.col("same").alias("same_values"),
+            F.col("_key").alias(key), F.col("_item").alias(item), either(F.col("n"), F.col("copy.n_literal")).cast("long").alias("n_windows"),
+            F.col("n_item").cast("long").alias("n_item_windows"), either(F.col("n_slots"), F.col("copy.literal_slots")).cast("long").alias("n_slots"),
+            either(F.col("same"), F.lit(True)).alias("same_values"),
         )
     )

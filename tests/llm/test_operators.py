@@ -352,6 +352,14 @@ def test_decontamination(spark, nothing):
     assert decontam.matches(docs.unionByName(docs), items).count() == 4
 
 
+def test_short_items_word_for_word(spark):
+    items = ["What colour is the old bridge near the mill today?", "Which river?", "Barack Obama met Angela Merkel in Berlin Germany", "What of 5 6 7 8 boxes on the wide shelf"]
+    texts = ["Question 7 " + items[0] + " end", "Heading Which river? end", "so barack obama met angela merkel in berlin germany then", "What of 1 2 3 4 boxes on the wide shelf", "Nothing of it here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontam.matches(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): r["same_values"] for r in got} == {(0, 0): True, (1, 1): True, (2, 2): True, (3, 3): False}
+
+
 def test_queries_are_registered():
     assert {n.partition("_")[0] for n in registry.QUERIES if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
 
