@@ -15,6 +15,10 @@ from runledger.llm import decontam, ngram_join, packing, registry, suffix_dedup,
 from runledger.llm.common import materialised, table
 
 
+#: Words of a shingle and percent of Jaccard similarity that make near copies (the query op3 has its own: 3 and 90).
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score rejects go; null and empty texts have no hits and stay."""
     model = registry.toxicity_model(spark, sf_dir)
@@ -24,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each component of similar documents stays; texts without words stay."""
-    found = ngram_join.similar_components(docs.select("doc_id", "text"))
+    found = ngram_join.similar_components(docs.select("doc_id", "text"), percent=NEAR_PERCENT, size=NEAR_SHINGLE)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -78,7 +78,7 @@ def _as_set(shingles: np.ndarray) -> np.ndarray:
     return np.unique(shingles >> np.uint64(64 - SET_BITS))
 
 
-def _describe(docs: DataFrame) -> DataFrame:
+def _describe(docs: DataFrame, size: int) -> DataFrame:
     """Rows of kind 0: key, class name, set size; of kind 1: a chunk of a partition's sketch."""
     schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("_key", docs.schema["_key"].dataType), T.StructField("name", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("ranges", T.ArrayType(T.ByteType())), T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 
@@ -87,7 +87,7 @@ def _describe(docs: DataFrame) -> DataFrame:
         for batch in batches:
             kind = batch.schema.field(0).type
             for at, texts in tb.blocks(batch, 1):
-                sets, names = shingle_sets(texts)
+                sets, names = shingle_sets(texts, size)
                 sketch += np.bincount(np.concatenate([np.zeros(0, np.uint64), *sets]) >> np.uint64(64 - SKETCH_BITS), minlength=len(sketch))
                 n = len(texts)
                 yield pa.RecordBatch.from_arrays(
@@ -110,7 +110,7 @@ def _sum_chunks(chunks: pa.Table) -> pa.Table:
     return pa.table({"chunk": chunks["chunk"][:1], "counts": pa.array([tb.pack_counts(total)], pa.binary())})
 
 
-def _postings(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
+def _postings(docs: DataFrame, sketch: np.ndarray, percent: int, size: int) -> DataFrame:
     """(token, class, n, place) for the prefix of every class, once for each partition that has the class."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
@@ -119,7 +119,7 @@ def _postings(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
         for batch in batches:
             for _, texts in tb.blocks(batch, 0):
                 token, of, n, place = [], [], [], []
-                for own, name in zip(*shingle_sets(texts), strict=True):
+                for own, name in zip(*shingle_sets(texts, size), strict=True):
                     if len(own) and name not in seen:
                         seen.add(name)
                         p = prefix_length(len(own), percent)
@@ -137,7 +137,7 @@ def _postings(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
     return in_python(docs.select("_text"), run, "token long, class long, n int, place int")
 
 
-def _sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+def _sets(docs: DataFrame, wanted: np.ndarray, size: int) -> DataFrame:
     """(key, set) of the texts whose hashed key is in the filter `wanted` (a bit for each hash value)."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
     schema = T.StructType([T.StructField("_key", docs.schema["_key"].dataType), T.StructField("set", T.BinaryType())])
@@ -147,7 +147,7 @@ def _sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
             slot = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((shared.value[slot >> 3] >> (slot & 7)) & 1 == 1))
             for at, texts in tb.blocks(batch, 1):
-                sets = [tb.pack_sorted(_as_set(s)) for s in shingle_sets(texts)[0]]
+                sets = [tb.pack_sorted(_as_set(s)) for s in shingle_sets(texts, size)[0]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sets, pa.binary())], schema.fieldNames())
 
     slot = F.pmod(F.xxhash64("_key"), F.lit(1 << FILTER_BITS)).cast("long").alias("slot")
@@ -194,16 +194,18 @@ def _may_link(percent: int) -> F.Column:
     return lengths & positions & (apart <= both - 2 * least)
 
 
-def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, rounds: int = ROUNDS, size: int = SHINGLE) -> DataFrame:
     """(key, n_shingles, component_id) for every row; component_id is the smallest key reachable by links, itself included.
 
+    Texts are linked if their sets of `size`-word shingles have a Jaccard similarity of `percent` percent at least.
+
     Null and empty texts and texts without words have no shingles and no links. Rows with one key are one vertex. A row with a
     null key takes part with its words, but a component is named by a key that isn't null where there is one.
     """
     spark = docs.sparkSession
     ship(spark)
     own = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    described = materialised(_describe(own), "described")
+    described = materialised(_describe(own, size), "described")
     rows = described.where("kind = 0").select("_key", "name", "n")
     chunks = described.where("kind = 1").select("chunk", "counts").groupBy("chunk").applyInArrow(_sum_chunks, "chunk int, counts binary").collect()
     sketch = np.zeros((1 << SKETCH_BITS) // CHUNK * CHUNK, np.int64)
@@ -211,7 +213,7 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         sketch[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = tb.unpack_counts(bytes(r["counts"]))
     classes = materialised(described.where("kind = 0 AND n > 0").groupBy("name").agg(F.min("_key").alias("_key"), F.first("n").alias("n"), F.first("ranges").alias("ranges")), "classes")
 
-    postings = materialised(_postings(own, sketch, percent), "postings")
+    postings = materialised(_postings(own, sketch, percent, size), "postings")
     common = postings.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("token")
     # a class is known by the first eight bytes of its name here; classes that agree in them all get the posting
     by_class = classes.where("_key IS NOT NULL").select("_key", "ranges", _little_endian("name").alias("class"))
@@ -239,7 +241,7 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         if pairs.isEmpty():
             open_ = members
             continue
-        sets = _sets(own, _bits(pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct()))
+        sets = _sets(own, _bits(pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct()), size)
         links = materialised(_verified(pairs, materialised(sets, "sets"), percent), "links").union(links if rooted is None else rooted.select(F.col("v").alias("a"), F.col("root").alias("b")))
         rooted = components(links)
         open_ = members.drop("root").join(rooted.withColumnRenamed("v", "_key"), "_key", "left").withColumn("root", F.coalesce("root", "_key"))

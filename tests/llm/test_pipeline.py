@@ -86,6 +86,14 @@ def test_stages(spark, folder):
     assert key(whole) == key(pieces)
 
 
+def test_near_copies_with_scattered_changes(spark):
+    words = [f"w{i}" for i in range(200)]
+    changed = [w + "x" if i in (30, 80, 120, 170) else w for i, w in enumerate(words)]  # 5-word Jaccard 176 / 216, 3-word 186 / 210
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(words[:172])), (4, " ".join(words[:140]) + " end" * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {1, 4}
+
+
 def test_stages_take_empty_tables_and_nulls(spark, folder):
     at, *_ = folder
     docs = spark.read.parquet(f"{at}/documents.parquet")
