@@ -264,3 +264,16 @@ def test_two_sources_of_one_session_and_a_fork(spark, tmp_path):
     assert json.loads(rows["c"]["forked_from"])["session_id"] == rows["p"]["session_id"]
     spine = spark.sql(f"SELECT session_position, native_id FROM loops WHERE session_id = {rows['p']['session_id']} ORDER BY session_position").collect()
     assert [(r["session_position"], r["native_id"]) for r in spine] == [(0, "b-t"), (1, "a-t")]
+
+
+def test_output_facts_of_every_line_and_nested_result():
+    from runledger.sources.codex import output_facts
+
+    late = "a\nb\nc\nd\n" + '[{"chunk": {"exit_code": 3, "wall_time_seconds": 0.25, "original_token_count": 7}}]'
+    assert output_facts(late) == {"exit_code": 3, "failed": True, "duration_ms": 250, "runtime_output_tokens": 7, "runtime_truncated": False}
+    assert output_facts('{"exit_code": 0}\n{"exit_code": 2}') == {"failed": True}
+    assert output_facts('{"output": "", "metadata": {"exit_code": 1, "duration_seconds": 0.1}}') == {"exit_code": 1, "failed": True, "duration_ms": 100}
+    assert output_facts("x\n" + '{"success": false}') == {"failed": True} and output_facts('{"isError": false}') == {"failed": False}
+    assert output_facts(["Script completed\nOutput:\n", '{"exit_code": true}', "{broken"]) == {} and output_facts(None) == {}
+    long_header = "Chunk ID: 1\n" + "x" * 3000 + "\nProcess exited with code 4\nOutput:\nok"
+    assert output_facts(long_header) == {"exit_code": 4, "failed": True}
