@@ -44,7 +44,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item, or one with other numbers, names or units, go."""
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    gone = materialised(decontam.matches(docs.select("doc_id", "text"), items).select("doc_id").distinct(), "leaks")
+    gone = materialised(decontam.matches(docs.select("doc_id", "text"), items, by_window=True).select("doc_id").distinct(), "leaks")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

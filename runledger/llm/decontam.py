@@ -93,7 +93,7 @@ def _inside(at: Column, first: Column, size: int) -> Column:
     return (at >= first) & (at < first + size)
 
 
-def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", item_text: str = "text") -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", item_text: str = "text", by_window: bool = False) -> DataFrame:
     """(key, item, n_windows, n_item_windows, n_slots, same_values) for each document that contains an item.
 
     An item is contained if LEAST_WINDOWS of its windows (or all that can match, where it has fewer) lie on alignments with
@@ -101,6 +101,9 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str =
     all slots there have the item's own values. Items of fewer than WINDOW words are one window of their length; windows with
     too few literal words match only word for word. Null and empty texts match nothing; repeated rows with one key count as one
     document.
+
+    An alignment with a slot value that isn't one to one is dropped whole, or, with `by_window`, only its windows that hold such
+    a value: of values in conflict the one in most windows stays, and windows with the item's own words always count.
     """
     item_rows = items.where(F.col(item_text).isNotNull()).select(F.col(item).alias("_item"), F.col(item_text).alias("_text"))
     of_items = _templates(item_rows, "_item", "_text").withColumn("_size", F.least(F.size("template"), F.lit(WINDOW))).where("_size > 0")
@@ -135,29 +138,42 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str =
     aligned = rows.groupBy("_key", "_item", "shift").agg(F.collect_set(window).alias("windows"))
     places = lambda keep: F.size(F.array_distinct(F.transform(F.filter("windows", keep), lambda w: w["item_at"])))
     pairs_of = lambda keep: F.array_distinct(F.flatten(F.transform(F.filter("windows", keep), lambda w: w["pairs"])))
+    if by_window:
+        typed_pairs = F.flatten(F.transform(F.filter("windows", lambda w: w["typed"]), lambda w: F.array_distinct(w["pairs"])))
+        often = lambda p: F.size(F.filter("_all", lambda q: q == p))
+        ranked = F.transform(F.array_distinct("_all"), lambda p: F.struct((-often(p)).alias("rank"), p["item"].alias("item"), p["doc"].alias("doc")))
+        clash = lambda kept, p: F.exists(kept, lambda k: (k["item"] == p["item"]) | (k["doc"] == p["doc"]))
+        best = F.aggregate(F.array_sort(ranked), F.slice(ranked, 1, 0), lambda kept, p: F.when(clash(kept, p), kept).otherwise(F.concat(kept, F.array(p))))
+        aligned = aligned.withColumn("_all", typed_pairs).withColumn("_kept", F.transform(best, lambda k: F.struct(k["item"].alias("item"), k["doc"].alias("doc"))))
+        fits = lambda w: w["typed"] & F.forall(w["pairs"], lambda p: F.array_contains("_kept", p))
+        aligned = aligned.select("_key", "_item", "shift", F.filter("windows", lambda w: w["literal"] | fits(w)).alias("windows"))
     aligned = aligned.select(
         "_key", "_item", places(lambda w: w["typed"]).alias("n"), places(lambda w: w["literal"]).alias("n_literal"),
-        pairs_of(lambda w: w["typed"]).alias("pairs"), F.size(pairs_of(lambda w: w["literal"])).alias("literal_slots"),
+        places(lambda w: F.lit(True)).alias("n_any"), pairs_of(lambda w: w["typed"]).alias("pairs"), F.size(pairs_of(lambda w: w["literal"])).alias("literal_slots"),
     )
     sides = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    consistent = (F.col("n") > 0) & (sides("item") == F.size("pairs")) & (sides("doc") == F.size("pairs"))
+    one_to_one = (sides("item") == F.size("pairs")) & (sides("doc") == F.size("pairs"))
+    consistent = (F.col("n") > 0) & (F.lit(by_window) | one_to_one)
     counts = of_items.select("_item", F.greatest(F.size("template") - F.col("_size") + 1, F.lit(1)).alias("n_item")).groupBy("_item").agg(F.max("n_item").alias("n_item"))
     counts = counts.join(able.groupBy("_item").agg(F.max("n_able").alias("n_able")), "_item", "left")
     total = aligned.groupBy("_key", "_item").agg(
         F.sum(F.when(consistent, F.col("n"))).alias("n"),
         F.max(F.when(consistent, F.size("pairs"))).alias("n_slots"),
         F.min(F.when(consistent, F.forall("pairs", lambda p: p["item"] == p["doc"]))).alias("same"),
+        F.sum("n_any").alias("n_any"),
         F.max_by(F.struct("n_literal", "literal_slots"), F.struct("n_literal", "literal_slots")).alias("copy"),
     )
     by_template = F.coalesce(F.col("n") >= F.least(F.lit(LEAST_WINDOWS), F.col("n_able")), F.lit(False))
     in_full = F.col("copy.n_literal") >= F.col("n_item")
+    if by_window:
+        in_full = F.col("n_any") >= F.least(F.lit(LEAST_WINDOWS), F.col("n_item"))
     either = lambda a, b: F.when(by_template, a).otherwise(b)
     return (
         total.join(counts, "_item")
         .where(by_template | in_full)
         .select(
-            F.col("_key").alias(key), F.col("_item").alias(item), either(F.col("n"), F.col("copy.n_literal")).cast("long").alias("n_windows"),
+            F.col("_key").alias(key), F.col("_item").alias(item), either(F.col("n"), F.col("n_any") if by_window else F.col("copy.n_literal")).cast("long").alias("n_windows"),
             F.col("n_item").cast("long").alias("n_item_windows"), either(F.col("n_slots"), F.col("copy.literal_slots")).cast("long").alias("n_slots"),
-            either(F.col("same"), F.lit(True)).alias("same_values"),
+            either(F.col("same"), F.coalesce("same", F.lit(True)) if by_window else F.lit(True)).alias("same_values"),
         )
     )

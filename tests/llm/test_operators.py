@@ -360,6 +360,18 @@ def test_short_items_word_for_word(spark):
     assert {(r["doc_id"], r["item_id"]): r["same_values"] for r in got} == {(0, 0): True, (1, 1): True, (2, 2): True, (3, 3): False}
 
 
+def test_conflicting_values_drop_their_windows_only(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(50)]
+    words[5], words[20], words[45] = "12", "30", "12"
+    at = lambda **new: " ".join(new.get(f"p{i}", w) for i, w in enumerate(words))
+    texts = [at(p45="15"), at(p5="7", p20="7", p45="7"), " ".join(words), "nothing of it"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontam.matches(docs, items).collect()} == {2}
+    got = {r["doc_id"]: (r["n_windows"], r["same_values"]) for r in decontam.matches(docs, items, by_window=True).collect()}
+    assert got == {0: (38, True), 1: (35, False), 2: (43, True)}
+
+
 def test_queries_are_registered():
     assert {n.partition("_")[0] for n in registry.QUERIES if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
 
