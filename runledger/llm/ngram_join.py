@@ -1,13 +1,17 @@
 """Similarity self-join on word shingles with rare-first prefix filtering.
 
 Texts with the same words are one class. Shingles are ordered by a fixed-size sketch of their counts, rarest first; two sets
-can only be similar if their prefixes in that order share a shingle. Prefix shingles are joined, with length and positional
-filters; pairs that pass are compared once: a suffix filter bounds their difference by counts in ranges of the order, then
-the sets are intersected.
+can only be similar if their prefixes in that order share a shingle. Prefix shingles are joined, with length, positional and
+suffix filters, and each pair that passes is verified once, on whole sets of 64-bit hashes.
 
-A shingle that many texts share doesn't make all their pairs. Every bucket compares its members with one of them, texts that
-turn out similar become one component, and only members of different components go on, with another leader each round. What
-is left after the last round is joined pair by pair across components, so no link between different components is lost.
+The suffix filter bounds how much two sets differ beyond what the matching place tells: every set has a bitmap of parities
+(bit b is flipped by each shingle whose hash begins with b), and sets whose bitmaps differ in d bits differ in d shingles at
+least. It is sharp for sets that are nearly similar, so what a bucket sends on are its links and few pairs more.
+
+A shingle that many texts share doesn't make all their pairs. First every bucket compares its members with its most central
+one, the one with the fewest rarer shingles, in one pass over the sorted bucket; texts that turn out similar become one
+component. Then members of a bucket meet across components only. The filters look at all such pairs inside the join, which is
+square in the members of a bucket, but only pairs that pass them leave it. No link between different components is lost.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,11 +31,11 @@ from runledger.llm.common import in_python, materialised
 from runledger.llm.components import components
 
 SHINGLE, PERCENT = 3, 90
-#: Counters of the sketch (a power of two), in chunks; rounds with one leader for each bucket.
-SKETCH_BITS, CHUNK, ROUNDS = 18, 4096, 2
-#: Bits of the filter of texts to compare, ranges of the suffix filter, and bits of a shingle in the sets that are compared.
-FILTER_BITS, RANGE_BITS, SET_BITS = 24, 6, 40
-RANGES, RANGES_ARROW = 1 << RANGE_BITS, pa.list_(pa.int8())
+#: Counters of the sketch (a power of two), in chunks.
+SKETCH_BITS, CHUNK = 18, 4096
+#: Bits of the filter of texts to compare, and of a set's bitmap of parities (2 ** PARITY_BITS bits in longs).
+FILTER_BITS, PARITY_BITS = 24, 9
+PARITIES = [f"p{i}" for i in range((1 << PARITY_BITS) // 64)]
 
 
 def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> tuple[list[np.ndarray], list[bytes]]:
@@ -64,9 +68,13 @@ def similar(inter: int, a: int, b: int, percent: int = PERCENT) -> bool:
     return 100 * inter >= percent * (a + b - inter)
 
 
-def range_counts(shingles: np.ndarray) -> np.ndarray:
-    """How many of the 64-bit shingles lie in each of RANGES equal ranges of their values, up to 127."""
-    return np.bincount((shingles >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=RANGES).clip(max=127).astype(np.int8)
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of longs for each set: bit b is set if an odd number of its 64-bit shingles begin with b."""
+    width = 1 << PARITY_BITS
+    of = np.repeat(np.arange(len(sets)), np.fromiter(map(len, sets), np.int64, len(sets)))
+    first = np.concatenate([np.zeros(0, np.uint64), *sets]) >> np.uint64(64 - PARITY_BITS)
+    counts = np.bincount(of * width + first.astype(np.int64), minlength=len(sets) * width).reshape(len(sets), width)
+    return np.packbits(counts & 1, axis=1).view(np.int64)
 
 
 def compare(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -74,13 +82,10 @@ def compare(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), percent)
 
 
-def _as_set(shingles: np.ndarray) -> np.ndarray:
-    return np.unique(shingles >> np.uint64(64 - SET_BITS))
-
-
 def _describe(docs: DataFrame, size: int) -> DataFrame:
-    """Rows of kind 0: key, class name, set size; of kind 1: a chunk of a partition's sketch."""
-    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("_key", docs.schema["_key"].dataType), T.StructField("name", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("ranges", T.ArrayType(T.ByteType())), T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+    """Rows of kind 0: key, class name, its first eight bytes, set size, parities; of kind 1: a chunk of a partition's sketch."""
+    fields = [("kind", T.IntegerType()), ("_key", docs.schema["_key"].dataType), ("name", T.BinaryType()), ("class", T.LongType()), ("n", T.LongType()), *((p, T.LongType()) for p in PARITIES), ("chunk", T.IntegerType()), ("counts", T.BinaryType())]
+    schema = T.StructType([T.StructField(*f) for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, kind = np.zeros(1 << SKETCH_BITS, np.int64), None
@@ -91,20 +96,28 @@ def _describe(docs: DataFrame, size: int) -> DataFrame:
                 sketch += np.bincount(np.concatenate([np.zeros(0, np.uint64), *sets]) >> np.uint64(64 - SKETCH_BITS), minlength=len(sketch))
                 n = len(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([0] * n, pa.int32()), batch.column(0).slice(at, n), pa.array(names, pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array([range_counts(x) for x in sets], RANGES_ARROW), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                    [
+                        pa.array([0] * n, pa.int32()), batch.column(0).slice(at, n), pa.array(names, pa.binary()), pa.array(map(_class, names), pa.int64()), pa.array(map(len, sets), pa.int64()),
+                        *(pa.array(p) for p in np.ascontiguousarray(parities(sets).T)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+                    ],
                     schema.fieldNames(),
-                )
+                )
         if kind is not None:
             n = len(sketch) // CHUNK
             counts = [tb.pack_counts(c) for c in sketch.reshape(n, CHUNK)]
+            none = pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([1] * n, pa.int32()), pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, RANGES_ARROW), pa.array(range(n), pa.int32()), pa.array(counts, pa.binary())],
+                [pa.array([1] * n, pa.int32()), pa.nulls(n, kind), pa.nulls(n, pa.binary()), none, none, *[none] * len(PARITIES), pa.array(range(n), pa.int32()), pa.array(counts, pa.binary())],
                 schema.fieldNames(),
             )
 
     return in_python(docs.select("_key", "_text"), run, schema)
 
 
+def _class(name: bytes) -> int:
+    return int.from_bytes(name[:8], "little", signed=True)
+
+
 def _sum_chunks(chunks: pa.Table) -> pa.Table:
     total = np.sum([tb.unpack_counts(c) for c in chunks["counts"].to_pylist()], axis=0)
     return pa.table({"chunk": chunks["chunk"][:1], "counts": pa.array([tb.pack_counts(total)], pa.binary())})
@@ -125,7 +138,7 @@ def _postings(docs: DataFrame, sketch: np.ndarray, percent: int, size: int) -> D
                         p = prefix_length(len(own), percent)
                         order = np.lexsort((own, sketch[own >> np.uint64(64 - SKETCH_BITS)]))[:p]
                         token.append(own[order])
-                        of.append(np.full(p, int.from_bytes(name[:8], "little", signed=True)))
+                        of.append(np.full(p, _class(name)))
                         n.append(np.full(p, len(own)))
                         place.append(np.arange(p))
                 if token:
@@ -147,7 +160,7 @@ def _sets(docs: DataFrame, wanted: np.ndarray, size: int) -> DataFrame:
             slot = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((shared.value[slot >> 3] >> (slot & 7)) & 1 == 1))
             for at, texts in tb.blocks(batch, 1):
-                sets = [tb.pack_sorted(_as_set(s)) for s in shingle_sets(texts, size)[0]]
+                sets = [tb.pack_sorted(s) for s in shingle_sets(texts, size)[0]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sets, pa.binary())], schema.fieldNames())
 
     slot = F.pmod(F.xxhash64("_key"), F.lit(1 << FILTER_BITS)).cast("long").alias("slot")
@@ -180,27 +193,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return in_python(both.select("a", "b", "set_a", "set_b"), run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
-def _may_link(percent: int) -> F.Column:
-    """Length, positional and suffix filters of postings x and y of one token.
-
-    The suffix filter cuts the order of shingles into ranges: sets that differ by d in the counts of the ranges differ in d
-    shingles at least.
-    """
-    both = F.col("x.n") + F.col("y.n")
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Length, positional and suffix filters of postings x and y of one token."""
+    of = lambda side, c: F.col(f"{side}.{c}")
+    both = of(x, "n") + of(y, "n")
     least = F.ceil(F.lit(percent) * both / (100 + percent))
-    lengths = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    positions = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= least
-    apart = F.aggregate(F.zip_with("x.ranges", "y.ranges", lambda p, q: F.abs(p.cast("int") - q)), F.lit(0), lambda total, d: total + d)
+    lengths = 100 * F.least(of(x, "n"), of(y, "n")) >= percent * F.greatest(of(x, "n"), of(y, "n"))
+    positions = F.least(of(x, "n") - of(x, "place"), of(y, "n") - of(y, "place")) >= least
+    apart = sum((F.bit_count(of(x, p).bitwiseXOR(of(y, p))) for p in PARITIES), F.lit(0))
     return lengths & positions & (apart <= both - 2 * least)
 
 
-def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, rounds: int = ROUNDS, size: int = SHINGLE) -> DataFrame:
+def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE, leaders: bool = True) -> DataFrame:
     """(key, n_shingles, component_id) for every row; component_id is the smallest key reachable by links, itself included.
 
-    Texts are linked if their sets of `size`-word shingles have a Jaccard similarity of `percent` percent at least.
+    Texts are linked if their sets of `size`-word shingles have a Jaccard similarity of `percent` percent at least. `leaders`
+    may be false to leave out the first pass, which changes the cost only.
 
     Null and empty texts and texts without words have no shingles and no links. Rows with one key are one vertex. A row with a
-    null key takes part with its words, but a component is named by a key that isn't null where there is one.
+    null key takes part with its words, but a component is named by a key that isn't null where there is one. Equal texts and
+    ties take part as one class, whatever their order; texts of any length are taken whole, and an empty table gives an empty
+    one. Other columns of `docs` are not read, whatever their names.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -211,48 +224,44 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     sketch = np.zeros((1 << SKETCH_BITS) // CHUNK * CHUNK, np.int64)
     for r in chunks:
         sketch[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = tb.unpack_counts(bytes(r["counts"]))
-    classes = materialised(described.where("kind = 0 AND n > 0").groupBy("name").agg(F.min("_key").alias("_key"), F.first("n").alias("n"), F.first("ranges").alias("ranges")), "classes")
+    firsts = [F.first(c).alias(c) for c in ("class", "n", *PARITIES)]
+    classes = materialised(described.where("kind = 0 AND n > 0").groupBy("name").agg(F.min("_key").alias("_key"), *firsts), "classes")
 
-    postings = materialised(_postings(own, sketch, percent, size), "postings")
-    common = postings.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("token")
-    # a class is known by the first eight bytes of its name here; classes that agree in them all get the posting
-    by_class = classes.where("_key IS NOT NULL").select("_key", "ranges", _little_endian("name").alias("class"))
     # of a bucket, only members with a neighbour in the order of sizes that passes the length filter
+    members = _postings(own, sketch, percent, size).repartition("token").dropDuplicates(["token", "class"])
     by_size = Window.partitionBy("token").orderBy("n", "class")
     near = F.coalesce(100 * F.lag("n").over(by_size) >= percent * F.col("n"), F.lit(False)) | F.coalesce(100 * F.col("n") >= percent * F.lead("n").over(by_size), F.lit(False))
-    members = postings.join(common, "token").dropDuplicates(["token", "class"]).withColumn("_near", near).where("_near")
-    shared = materialised(members.join(by_class, "class").select("token", "_key", "n", "place", "ranges"), "shared")
-
-    links = spark.createDataFrame([], T.StructType([T.StructField("a", docs.schema[key].dataType), T.StructField("b", docs.schema[key].dataType)]))
-    rooted, open_ = None, shared.withColumn("root", F.col("_key"))
-    for r in range(rounds + 1):
-        mixed = open_.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("_key", "n", "place", "ranges", "root"), F.xxhash64("_key", F.lit(r))).alias("leader")).where("lo <> hi")
-        open_ = materialised(open_.join(mixed.select("token", "leader"), "token"), "open")
-        if open_.isEmpty():
-            break
-        members = open_.drop("leader")
-        leaders = mixed.select("token", "leader.*") if r < rounds else members
-        x, y = leaders.alias("x"), members.alias("y")
-        across = (F.col("x.root") != F.col("y.root")) & _may_link(percent)
-        if r == rounds:
-            across &= F.col("x.root") < F.col("y.root")
-        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & across).select(F.least("x._key", "y._key").alias("a"), F.greatest("x._key", "y._key").alias("b"))
-        pairs = materialised(pairs.distinct(), "pairs")
+    members = members.withColumn("_near", near).where("_near").drop("_near")
+    # classes that agree in the first eight bytes of their names all get the posting
+    by_class = classes.where("_key IS NOT NULL").select("_key", "class", *PARITIES)
+    shared = materialised(members.join(by_class, "class").select("token", "_key", "n", "place", *PARITIES), "shared")
+
+    kind = docs.schema[key].dataType
+    none = spark.createDataFrame([], T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    tried, found = none, none.select(F.col("a").alias("v"), F.col("b").alias("root"))
+
+    def linked(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        """(v, root) of the components of `found` and of the similar ones of `pairs`."""
         if pairs.isEmpty():
-            open_ = members
-            continue
-        sets = _sets(own, _bits(pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct()), size)
-        links = materialised(_verified(pairs, materialised(sets, "sets"), percent), "links").union(links if rooted is None else rooted.select(F.col("v").alias("a"), F.col("root").alias("b")))
-        rooted = components(links)
-        open_ = members.drop("root").join(rooted.withColumnRenamed("v", "_key"), "_key", "left").withColumn("root", F.coalesce("root", "_key"))
-    if rooted is None:
-        rooted = links.select(F.col("a").alias("v"), F.col("b").alias("root"))
-    named = classes.join(rooted, classes["_key"] == rooted["v"], "left").select("name", F.coalesce("root", "_key").alias("root"))
+            return found
+        sets = _sets(own, _bits(pairs.select(F.col("a").alias("_key")).union(pairs.select("b"))), size)
+        return components(materialised(_verified(pairs, materialised(sets, "sets"), percent), "links").union(found.select("v", "root")))
+
+    each = F.struct("_key", "n", "place", *PARITIES)
+    if leaders:
+        central = Window.partitionBy("token").orderBy("y.place", F.xxhash64("y._key"), "y._key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        led = shared.select("token", each.alias("y")).select("token", "y", F.first("y").over(central).alias("x"))
+        tried = materialised(_pairs(led.where((F.col("x._key") != F.col("y._key")) & _may_link("x", "y", percent))), "pairs")
+        found = linked(tried, found)
+    open_ = shared.join(found.withColumnRenamed("v", "_key"), "_key", "left").withColumn("root", F.coalesce("root", "_key"))
+    x, y = open_.alias("x"), open_.alias("y")
+    across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & _may_link("x", "y", percent))
+    pairs = materialised(_pairs(across).join(tried, ["a", "b"], "left_anti"), "pairs")
+    found = linked(pairs, found)
+    named = classes.select("name", "_key").join(found.withColumnRenamed("v", "_key"), "_key", "left").select("name", F.coalesce("root", "_key").alias("root"))
     out = rows.join(named, "name", "left")
     return out.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("root", "_key").alias("component_id"))
 
 
-def _little_endian(name: str) -> F.Column:
-    """The first eight bytes of a binary column as a signed long, lowest byte first."""
-    swapped = F.concat(*[F.substring(F.hex(name), 15 - 2 * i, 2) for i in range(8)])
-    return F.conv(swapped, 16, -10).cast("long")
+def _pairs(both: DataFrame) -> DataFrame:
+    return both.select(F.least("x._key", "y._key").alias("a"), F.greatest("x._key", "y._key").alias("b")).distinct()

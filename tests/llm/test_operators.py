@@ -139,8 +139,8 @@ def shingles(text):
     return frozenset(zip(words, words[1:], words[2:], strict=False)) or (frozenset([tuple(words)]) if words else frozenset())
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_similar_components(docs, nothing, rows, rounds):
+@pytest.mark.parametrize("leaders", [False, True])
+def test_similar_components(docs, nothing, rows, leaders):
     sets = {i: shingles(t) for i, t, *_ in rows}
     root = {i: i for i in sets}
 
@@ -154,7 +154,7 @@ def test_similar_components(docs, nothing, rows, rounds):
             if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_components(docs, rounds=rounds).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_components(docs, leaders=leaders).collect()}
     assert got == {i: (len(s), find(i)) for i, s in sets.items()}
     assert ngram_join.similar_components(nothing).count() == 0
 
