@@ -2,22 +2,25 @@
 
 Words become templates: numbers, names and units are replaced by typed placeholders, the rest is lower-cased and stripped of
 punctuation. Windows of template words of documents and of benchmark items meet in a hash join. Along each alignment (the
-distance between the places in document and item) the slot values must map one to one between item and document, so a
-re-parameterised question counts and a chance mixture does not. Windows of the bare words meet too, so a copy word for word
-counts where a word's case or neighbour gives it another type than in the item. Native DataFrame code.
+distance between the places in document and item) slot values must map one to one between item and document: of values in
+conflict the pair at most places stays, and windows that hold another pair don't count. So a re-parameterised question counts
+and a chance mixture does not. Windows of the bare words meet too, so a copy word for word counts whatever its case and type.
+Native DataFrame code.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.llm.common import words_of
+from runledger.llm.common import materialised, words_of
 
 #: Words of a window, words in it that must not be placeholders, and windows of an item that must be found (13 words in a row).
 WINDOW, LEAST_LITERALS, LEAST_WINDOWS = 8, 5, 6
-#: Benchmark windows up to this count are broadcast; more are joined by shuffle.
-BROADCAST_WINDOWS = 200_000
+#: Benchmark windows, and documents with a window in common with an item, up to this count are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 #: Units that follow a number.
 UNITS = (
     "kg", "g", "mg", "lb", "lbs", "km", "m", "cm", "mm", "mi", "ft", "in", "l", "ml", "s", "ms", "h", "hr", "hrs", "min", "mins",
@@ -28,152 +31,115 @@ PUNCTUATION = ".,;:!?()[]{}\"'"
 NUMBER = r"^[+-]?[$€£]?[0-9][0-9.,]*%?$"
 NAME = r"^[(\[{\"']?\p{Lu}\p{Ll}"
 NUM_SLOT, UNIT_SLOT, NAME_SLOT = "<num>", "<unit>", "<name>"
+SLOTS = (NUM_SLOT, UNIT_SLOT, NAME_SLOT)
+
+
+def bare(words: Column) -> Column:
+    """The words in lower case without punctuation at their ends."""
+    return F.transform(words, lambda w: F.btrim(F.lower(w), F.lit(PUNCTUATION)))
 
 
-def template(words: Column) -> Column:
-    """The template of a text's words, of the same length.
+def template(words: str, bare: str) -> Column:
+    """The template of the column `words`, of the same length; `bare` has its bare words.
 
-    A name is a capitalised word that does not begin the text or follow a word that ends with `.`, `!`, `?` or `:`.
+    A number is a number without its punctuation, a name a word with a capital and a small letter at its start, a unit one of
+    UNITS after a number. The first comparisons decide most words without a pattern.
     """
 
     def slot(w: Column, i: Column) -> Column:
-        bare = F.btrim(F.lower(w), F.lit(PUNCTUATION))
-        prior = F.get(words, i - 1)
-        number = lambda x: F.btrim(x, F.lit(PUNCTUATION)).rlike(NUMBER)
-        return (
-            F.when(number(w), F.lit(NUM_SLOT))
-            .when((i > 0) & w.rlike(NAME) & ~prior.rlike(r"[.!?:]$"), F.lit(NAME_SLOT))
-            .when(bare.isin(*UNITS) & F.coalesce(number(prior), F.lit(False)), F.lit(UNIT_SLOT))
-            .otherwise(bare)
-        )
+        own, prior = F.get(bare, i), F.get(bare, i - 1)
+        number = lambda x: ((x < ":") | (x >= "£")) & x.rlike(NUMBER)
+        unit = F.when(F.coalesce(number(prior), F.lit(False)) & own.isin(*UNITS), F.lit(UNIT_SLOT)).otherwise(own)
+        small = (w >= "a") & (w < "{")
+        return F.when(small, unit).when(number(own), F.lit(NUM_SLOT)).when((w != own) & w.rlike(NAME), F.lit(NAME_SLOT)).otherwise(unit)
 
     return F.transform(words, slot)
 
 
-def is_slot(w: Column) -> Column:
-    return w.isin(NUM_SLOT, UNIT_SLOT, NAME_SLOT)
-
-
-def _templates(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, words, template), and the places and bare values of the slots."""
-    own = df.select(F.col(key), words_of(F.col(text)).alias("words"))
-    own = own.withColumn("template", template(F.col("words")))
-    slots = F.filter(F.transform("template", lambda w, i: F.when(is_slot(w), i)), lambda i: i.isNotNull())
-    own = own.withColumn("slot_at", slots)
-    return own.withColumn("slot_value", F.transform("slot_at", lambda i: F.btrim(F.lower(F.get("words", i)), F.lit(PUNCTUATION))))
+def _templates(df: DataFrame, *keys: str) -> DataFrame:
+    """The keys, and the bare words and the template of the column _text."""
+    own = df.select(*keys, words_of(F.col("_text")).alias("words"))
+    own = own.withColumn("bare", bare(F.col("words")))
+    return own.select(*keys, "bare", template("words", "bare").alias("template"))
 
 
-def _literal() -> Column:
-    """The bare words of a text with a template: what a placeholder stands for is put back."""
-    bare = lambda i: F.btrim(F.lower(F.get("words", i)), F.lit(PUNCTUATION))
-    return F.when(F.size("slot_at") == 0, F.col("template")).otherwise(F.transform("template", lambda t, i: F.when(is_slot(t), bare(i)).otherwise(t)))
+def _windows(own: DataFrame, size: int, *keys: str) -> DataFrame:
+    """A row (keys, at, typed, hash) for each window of `size` words: of the template, and of the bare words where they differ."""
+    # no filter on the arrays: Spark would move it below and work them out a second time, inside its lambda functions
+    each = lambda a: F.transform(a, lambda w: F.xxhash64(w))
+    hashed = own.select(*keys, each("template").alias("t"), each("bare").alias("b"))
+    of = lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - size), lambda i: F.xxhash64(*[F.get(a, i + k) for k in range(size)]))
+    hashed = hashed.select(*keys, F.when(F.size("t") >= size, of("t")).alias("t"), F.when((F.size("t") >= size) & (F.col("t") != F.col("b")), of("b")).alias("b"))
+    other = F.coalesce(F.zip_with("b", "t", lambda b, t: F.when(b != t, b)), F.slice("t", 1, 0))
+    rows = hashed.select(*keys, F.size("t").alias("_n"), F.posexplode(F.concat("t", other)).alias("_at", "hash")).where("hash IS NOT NULL")
+    typed = F.col("_at") < F.col("_n")
+    return rows.select(*keys, F.when(typed, F.col("_at")).otherwise(F.col("_at") - F.col("_n")).alias("at"), typed.alias("typed"), "hash")
 
 
-def _hashes(size: int) -> Column:
-    """The hashes of all windows of `size` template words, then those of the literal words (null where they are the same)."""
-    last = F.size("_t") - size
-    each = lambda of: F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(of, i + 1, size)))
-    literal = F.transform(F.sequence(F.lit(0), last), lambda i: F.when(F.slice("_w", i + 1, size) != F.slice("_t", i + 1, size), F.xxhash64(F.slice("_w", i + 1, size))))
-    return F.when(last < 0, None).when(F.size("slot_at") == 0, each("_t")).otherwise(F.concat(each("_t"), literal))
+def _slots(own: DataFrame, *keys: str) -> DataFrame:
+    """A row (keys, place, value) for each placeholder."""
+    rows = own.select(*keys, F.posexplode(F.arrays_zip("template", "bare")).alias("place", "_w"))
+    return rows.where(F.col("_w.template").isin(*SLOTS)).select(*keys, "place", F.col("_w.bare").alias("value"))
 
 
-def _windows(own: DataFrame, key: str, size: int, prefix: str) -> DataFrame:
-    """A row (hash, place, typed, literal) for each window of `size` words, with the slots of the whole text.
+def _small(df: DataFrame) -> DataFrame:
+    """`df`, marked for broadcast if it has BROADCAST_ROWS rows at most."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
-    `typed` rows hash the template, `literal` rows the bare words; a window without placeholders has one row that is both.
-    """
-    hashed = own.select(F.col(key), "slot_at", "slot_value", F.transform("template", lambda w: F.xxhash64(w)).alias("_t"), F.transform(_literal(), lambda w: F.xxhash64(w)).alias("_w"))
-    n = F.size("_t") - size + 1
-    rows = hashed.select(F.col(key), "slot_at", "slot_value", n.alias("_n"), F.posexplode(_hashes(size)).alias("_pos", "hash"))
-    at = F.when(F.col("_pos") < F.col("_n"), F.col("_pos")).otherwise(F.col("_pos") - F.col("_n"))
-    return rows.select(F.col(key), "slot_at", "slot_value", at.alias(f"{prefix}_at"), (F.col("_pos") < F.col("_n")).alias(f"{prefix}_typed"), "hash")
-
-
-def _inside(at: Column, first: Column, size: int) -> Column:
-    return (at >= first) & (at < first + size)
 
+def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", item_text: str = "text") -> DataFrame:
+    """(key, item, n_windows, n_literal_windows, n_item_windows, same_values) for each document that contains an item.
 
-def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", item_text: str = "text", by_window: bool = False) -> DataFrame:
-    """(key, item, n_windows, n_item_windows, n_slots, same_values) for each document that contains an item.
+    The windows of an item are its runs of WINDOW words, or its whole text where it has fewer. One is found literally if its bare
+    words stand in the document, or by its template if it has LEAST_LITERALS literal words (or as many as it has words) and its
+    slots are consistent. An item is contained if LEAST_WINDOWS of its windows are found, or all where it has fewer, or as many of
+    those that can be found by template. `same_values` is true if all were found literally.
 
-    An item is contained if LEAST_WINDOWS of its windows (or all that can match, where it has fewer) lie on alignments with
-    consistent slots, or if all its words stand in the document in a row, whatever their case and type; `same_values` is true if
-    all slots there have the item's own values. Items of fewer than WINDOW words are one window of their length; windows with
-    too few literal words match only word for word. Null and empty texts match nothing; repeated rows with one key count as one
-    document.
-
-    An alignment with a slot value that isn't one to one is dropped whole, or, with `by_window`, only its windows that hold such
-    a value: of values in conflict the one in most windows stays, and windows with the item's own words always count.
+    Null and empty texts match nothing and items without words are in no document; texts of any length are taken whole; repeated
+    rows with one key count as one document, as do rows with a null key. Other columns are not read, whatever their names.
     """
-    item_rows = items.where(F.col(item_text).isNotNull()).select(F.col(item).alias("_item"), F.col(item_text).alias("_text"))
-    of_items = _templates(item_rows, "_item", "_text").withColumn("_size", F.least(F.size("template"), F.lit(WINDOW))).where("_size > 0")
-    doc_rows = _templates(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_key", "_text")
-    sizes = sorted(r[0] for r in of_items.select("_size").distinct().collect()) or [WINDOW]  # 1..WINDOW
-    found = []
-    able = None
+    of_items = _templates(items.where(F.col(item_text).isNotNull()).select(F.col(item).alias("_item"), F.col(item_text).alias("_text")), "_item")
+    of_items = of_items.withColumn("size", F.least(F.size("template"), F.lit(WINDOW))).where("size > 0")
+    doc_rows = docs.select(F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_row"), F.col(text).alias("_text")).where("_text IS NOT NULL")
+    of_docs = _templates(doc_rows, "_key", "_row")
+    sizes = sorted(r[0] for r in of_items.select("size").distinct().collect()) or [WINDOW]  # 1..WINDOW
+    hits, able = [], []
     for size in sizes:
-        literals = F.size(F.filter(F.slice("template", F.col("item_at") + 1, size), lambda w: ~is_slot(w)))
-        least = min(LEAST_LITERALS, size)
-        templates = of_items.where(F.col("_size") == size)
-        windows = _windows(templates, "_item", size, "item").where("hash IS NOT NULL").join(templates.select("_item", "template"), "_item")
-        windows = windows.withColumn("item_literal", ~F.col("item_typed") | ~F.exists("slot_at", lambda at: _inside(at, F.col("item_at"), size)))
-        windows = windows.withColumn("item_typed", F.col("item_typed") & (literals >= least)).where("item_typed OR item_literal")
-        windows = windows.select("_item", "hash", "item_at", "item_typed", "item_literal", F.col("slot_at").alias("item_slot_at"), F.col("slot_value").alias("item_slot_value"))
-        small = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-        typed = windows.where("item_typed").groupBy("_item").agg(F.count_distinct("item_at").alias("n_able"))
-        able = typed if able is None else able.unionByName(typed)
-        both = _windows(doc_rows, "_key", size, "doc").join(F.broadcast(windows) if small else windows, "hash")
-        slots = F.filter(
-            F.arrays_zip(F.col("item_slot_at").alias("at"), F.col("item_slot_value").alias("value")), lambda s: _inside(s["at"], F.col("item_at"), size)
-        )
-        there = lambda s: F.get("slot_value", (F.array_position("slot_at", s["at"] - F.col("item_at") + F.col("doc_at")) - 1).cast("int"))
-        pairs = F.transform(slots, lambda s: F.struct(s["value"].alias("item"), F.when(F.col("item_literal"), s["value"]).otherwise(there(s)).alias("doc")))
-        typed_too = (F.col("item_typed") & F.col("doc_typed")).alias("typed")
-        found.append(both.select("_key", "_item", (F.col("doc_at") - F.col("item_at")).alias("shift"), "item_at", typed_too, "item_literal", pairs.alias("pairs")))
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.unionByName(more)
-    literal = F.col("item_literal") | F.forall("pairs", lambda p: p["item"] == p["doc"])
-    window = F.struct("item_at", "typed", literal.alias("literal"), "pairs")
-    aligned = rows.groupBy("_key", "_item", "shift").agg(F.collect_set(window).alias("windows"))
-    places = lambda keep: F.size(F.array_distinct(F.transform(F.filter("windows", keep), lambda w: w["item_at"])))
-    pairs_of = lambda keep: F.array_distinct(F.flatten(F.transform(F.filter("windows", keep), lambda w: w["pairs"])))
-    if by_window:
-        typed_pairs = F.flatten(F.transform(F.filter("windows", lambda w: w["typed"]), lambda w: F.array_distinct(w["pairs"])))
-        often = lambda p: F.size(F.filter("_all", lambda q: q == p))
-        ranked = F.transform(F.array_distinct("_all"), lambda p: F.struct((-often(p)).alias("rank"), p["item"].alias("item"), p["doc"].alias("doc")))
-        clash = lambda kept, p: F.exists(kept, lambda k: (k["item"] == p["item"]) | (k["doc"] == p["doc"]))
-        best = F.aggregate(F.array_sort(ranked), F.slice(ranked, 1, 0), lambda kept, p: F.when(clash(kept, p), kept).otherwise(F.concat(kept, F.array(p))))
-        aligned = aligned.withColumn("_all", typed_pairs).withColumn("_kept", F.transform(best, lambda k: F.struct(k["item"].alias("item"), k["doc"].alias("doc"))))
-        fits = lambda w: w["typed"] & F.forall(w["pairs"], lambda p: F.array_contains("_kept", p))
-        aligned = aligned.select("_key", "_item", "shift", F.filter("windows", lambda w: w["literal"] | fits(w)).alias("windows"))
-    aligned = aligned.select(
-        "_key", "_item", places(lambda w: w["typed"]).alias("n"), places(lambda w: w["literal"]).alias("n_literal"),
-        places(lambda w: F.lit(True)).alias("n_any"), pairs_of(lambda w: w["typed"]).alias("pairs"), F.size(pairs_of(lambda w: w["literal"])).alias("literal_slots"),
-    )
-    sides = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    one_to_one = (sides("item") == F.size("pairs")) & (sides("doc") == F.size("pairs"))
-    consistent = (F.col("n") > 0) & (F.lit(by_window) | one_to_one)
-    counts = of_items.select("_item", F.greatest(F.size("template") - F.col("_size") + 1, F.lit(1)).alias("n_item")).groupBy("_item").agg(F.max("n_item").alias("n_item"))
-    counts = counts.join(able.groupBy("_item").agg(F.max("n_able").alias("n_able")), "_item", "left")
-    total = aligned.groupBy("_key", "_item").agg(
-        F.sum(F.when(consistent, F.col("n"))).alias("n"),
-        F.max(F.when(consistent, F.size("pairs"))).alias("n_slots"),
-        F.min(F.when(consistent, F.forall("pairs", lambda p: p["item"] == p["doc"]))).alias("same"),
-        F.sum("n_any").alias("n_any"),
-        F.max_by(F.struct("n_literal", "literal_slots"), F.struct("n_literal", "literal_slots")).alias("copy"),
-    )
-    by_template = F.coalesce(F.col("n") >= F.least(F.lit(LEAST_WINDOWS), F.col("n_able")), F.lit(False))
-    in_full = F.col("copy.n_literal") >= F.col("n_item")
-    if by_window:
-        in_full = F.col("n_any") >= F.least(F.lit(LEAST_WINDOWS), F.col("n_item"))
-    either = lambda a, b: F.when(by_template, a).otherwise(b)
+        own = of_items.where(F.col("size") == size)
+        windows = _windows(own, size, "_item").join(own.select("_item", "template"), "_item")
+        slots = F.size(F.filter(F.slice("template", F.col("at") + 1, size), lambda w: w.isin(*SLOTS)))
+        windows = windows.select("_item", F.col("at").alias("item_at"), F.col("typed").alias("item_typed"), "hash", (~F.col("typed") | (slots == 0)).alias("literal"), slots.alias("slots"))
+        windows = windows.where(F.col("literal") | (size - F.col("slots") >= min(LEAST_LITERALS, size))).drop("slots").distinct()
+        able.append(windows.where("item_typed"))
+        both = _windows(of_docs, size, "_key", "_row").join(_small(windows), "hash")
+        hits.append(both.select("_key", "_row", "_item", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "literal", F.lit(size).alias("size")))
+    hits = materialised(reduce(DataFrame.unionByName, hits).groupBy("_key", "_row", "_item", "shift", "item_at", "size").agg(F.max("literal").alias("literal")), "hits")
+
+    # values of the slots of windows that were found by template only
+    alignment = ["_key", "_row", "_item", "shift"]
+    item_slots = _slots(of_items, "_item").withColumnRenamed("value", "item_value")
+    held = hits.where("NOT literal").join(_small(item_slots), "_item").where("place >= item_at AND place < item_at + size")
+    held = held.select(*alignment, "item_at", "place", "item_value")
+    wanted = _small(held.select(F.col("_key").alias("_k"), F.col("_row").alias("_r")).distinct())
+    there = _templates(doc_rows.join(wanted, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r")), "left_semi").dropDuplicates(["_key", "_row"]), "_key", "_row")
+    doc_slots = _slots(there, "_key", "_row").select(F.col("_key").alias("_k"), F.col("_row").alias("_r"), F.col("place").alias("doc_place"), F.col("value").alias("doc_value"))
+    here = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r")) & (F.col("place") + F.col("shift") == F.col("doc_place"))
+    held = materialised(held.join(doc_slots, here).select(*alignment, "item_at", "place", "item_value", "doc_value"), "slots")
+    pairs = held.select(*alignment, "place", "item_value", "doc_value").distinct().groupBy(*alignment, "item_value", "doc_value").agg(F.count("*").alias("n"))
+    first = lambda one, other: F.row_number().over(Window.partitionBy(*alignment, one).orderBy(F.desc("n"), other)) == 1
+    pairs = pairs.withColumn("kept", first("item_value", "doc_value")).withColumn("kept", F.col("kept") & first("doc_value", "item_value"))
+    same = reduce(Column.__and__, [F.col(f"h.{c}").eqNullSafe(F.col(f"p.{c}")) for c in [*alignment, "item_value", "doc_value"]])
+    wrong = held.alias("h").join(pairs.where("NOT kept").alias("p"), same, "left_semi").select(*alignment, "item_at").distinct()
+    same = reduce(Column.__and__, [F.col(f"h.{c}").eqNullSafe(F.col(f"w.{c}")) for c in [*alignment, "item_at"]]) & ~F.col("h.literal")
+    good = hits.alias("h").join(wrong.alias("w"), same, "left_anti")
+
+    found = good.groupBy("_key", "_item", "item_at").agg(F.max("literal").alias("literal"))
+    found = found.groupBy("_key", "_item").agg(F.count("*").alias("n"), F.count(F.when(F.col("literal"), 1)).alias("n_literal"))
+    counts = of_items.groupBy("_item").agg(F.max(F.size("template") - F.col("size") + 1).cast("long").alias("n_item"))
+    can = reduce(DataFrame.unionByName, able).groupBy("_item").agg(F.count_distinct("item_at").alias("n_able"))
+    least = F.least(F.lit(LEAST_WINDOWS), F.col("n_item"), F.col("n_able"))  # n_able is null where no window can be found by template
     return (
-        total.join(counts, "_item")
-        .where(by_template | in_full)
-        .select(
-            F.col("_key").alias(key), F.col("_item").alias(item), either(F.col("n"), F.col("n_any") if by_window else F.col("copy.n_literal")).cast("long").alias("n_windows"),
-            F.col("n_item").cast("long").alias("n_item_windows"), either(F.col("n_slots"), F.col("copy.literal_slots")).cast("long").alias("n_slots"),
-            either(F.col("same"), F.coalesce("same", F.lit(True)) if by_window else F.lit(True)).alias("same_values"),
-        )
+        found.join(_small(counts.join(can, "_item", "left")), "_item")
+        .where(F.col("n") >= least)
+        .select(F.col("_key").alias(key), F.col("_item").alias(item), F.col("n").alias("n_windows"), F.col("n_literal").alias("n_literal_windows"), F.col("n_item").alias("n_item_windows"), (F.col("n") == F.col("n_literal")).alias("same_values"))
     )

@@ -162,41 +162,57 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _UNITS = ", ".join(f"'{u}'" for u in decontam.UNITS)
 _PUNCTUATION = decontam.PUNCTUATION.replace("'", "''")
+_SLOTS = "('<num>', '<unit>', '<name>')"
 
 
 def _template_sql(table_name: str, key: str) -> str:
     number = lambda x: f"regexp_matches(trim({x}, '{_PUNCTUATION}'), '{decontam.NUMBER}')"
     name = decontam.NAME.replace("'", "''")
-    return rf"""SELECT {key}, i, lower(trim(lower(w), '{_PUNCTUATION}')) AS v,
-        CASE WHEN {number("w")} THEN '<num>'
-             WHEN i > 0 AND regexp_matches(w, '{name}') AND NOT regexp_matches(p, '[.!?:]$') THEN '<name>'
-             WHEN trim(lower(w), '{_PUNCTUATION}') IN ({_UNITS}) AND coalesce({number("p")}, false) THEN '<unit>'
+    return rf"""SELECT {key}, i, n, trim(lower(w), '{_PUNCTUATION}') AS v,
+        CASE WHEN {number("lower(w)")} THEN '<num>'
+             WHEN regexp_matches(w, '{name}') THEN '<name>'
+             WHEN trim(lower(w), '{_PUNCTUATION}') IN ({_UNITS}) AND coalesce({number("lower(p)")}, false) THEN '<unit>'
              ELSE trim(lower(w), '{_PUNCTUATION}') END AS t
-      FROM (SELECT {key}, CAST(i AS BIGINT) AS i, ws[i + 1] AS w, CASE WHEN i > 0 THEN ws[i] END AS p
+      FROM (SELECT {key}, CAST(i AS BIGINT) AS i, len(ws) AS n, ws[i + 1] AS w, CASE WHEN i > 0 THEN ws[i] END AS p
         FROM (SELECT {key}, ws, unnest(range(len(ws))) AS i
           FROM (SELECT {key}, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM {table_name})))"""
 
 
+def _windows_sql(name: str, key: str, size: str) -> str:
+    """A row for each window: place, template, bare words, number of words, and number of placeholders."""
+    return f"""SELECT a.{key}, a.i, {size} AS size, string_agg(b.t, ' ' ORDER BY b.i) AS tw, string_agg(b.v, ' ' ORDER BY b.i) AS vw,
+        count_if(b.t IN {_SLOTS}) AS slots
+      FROM {name} a JOIN {name} b ON a.{key} = b.{key} AND b.i >= a.i AND b.i < a.i + {size}
+      WHERE a.i + {size} <= a.n GROUP BY ALL"""
+
+
 @query(
     "op10_decontamination",
     f"""
 WITH dt AS MATERIALIZED ({_template_sql("documents", "doc_id")}), bt AS MATERIALIZED ({_template_sql("benchmark", "item_id")}),
-w8 AS (SELECT *, string_agg(t, ' ') OVER x AS h, count(*) OVER x AS n, sum(CASE WHEN t IN ('<num>', '<unit>', '<name>') THEN 0 ELSE 1 END) OVER x AS lits
-       FROM bt WINDOW x AS (PARTITION BY item_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {decontam.WINDOW - 1} FOLLOWING)),
-bw AS (SELECT item_id, i, h FROM w8 WHERE n = {decontam.WINDOW} AND lits >= {decontam.LEAST_LITERALS}),
-d8 AS (SELECT doc_id, i, string_agg(t, ' ') OVER x AS h, count(*) OVER x AS n
-       FROM dt WINDOW x AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {decontam.WINDOW - 1} FOLLOWING)),
-m AS (SELECT doc_id, item_id, d8.i - bw.i AS shift, bw.i AS item_at FROM d8 JOIN bw USING (h) WHERE n = {decontam.WINDOW}),
-s AS (SELECT DISTINCT doc_id, m.item_id, shift, bt.v AS bv, dt.v AS dv
-      FROM m JOIN bt ON bt.item_id = m.item_id AND bt.i BETWEEN item_at AND item_at + {decontam.WINDOW - 1} AND bt.t IN ('<num>', '<unit>', '<name>')
-      JOIN dt USING (doc_id) WHERE dt.i = bt.i + shift),
-c AS (SELECT doc_id, item_id, shift, count(*) AS pairs, count(DISTINCT bv) AS nb, count(DISTINCT dv) AS nd, bool_and(bv = dv) AS same FROM s GROUP BY ALL),
-a AS (SELECT doc_id, item_id, shift, count(DISTINCT item_at) AS n FROM m GROUP BY ALL),
-g AS (SELECT a.doc_id, a.item_id, CAST(sum(n) AS BIGINT) AS n_windows, CAST(max(coalesce(pairs, 0)) AS BIGINT) AS n_slots, bool_and(coalesce(same, true)) AS same_values
-      FROM a LEFT JOIN c USING (doc_id, item_id, shift) WHERE coalesce(pairs = nb AND pairs = nd, true) GROUP BY ALL),
-k AS (SELECT item_id, CAST(count(*) - {decontam.WINDOW - 1} AS BIGINT) AS n_item_windows FROM bt GROUP BY item_id)
-SELECT doc_id, item_id, n_windows, n_item_windows, n_slots, same_values FROM g JOIN k USING (item_id)
-WHERE n_windows >= least({decontam.LEAST_WINDOWS}, n_item_windows)""",
+bw AS MATERIALIZED ({_windows_sql("bt", "item_id", "least(a.n, 8)")}),
+sizes AS (SELECT DISTINCT size FROM bw),
+ds AS (SELECT * FROM dt CROSS JOIN sizes),
+dw AS MATERIALIZED ({_windows_sql("dt", "doc_id", "8")}
+  UNION ALL SELECT a.doc_id, a.i, a.size, string_agg(b.t, ' ' ORDER BY b.i), string_agg(b.v, ' ' ORDER BY b.i), count_if(b.t IN {_SLOTS})
+      FROM ds a JOIN dt b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.i < a.i + a.size WHERE a.size < 8 AND a.i + a.size <= a.n GROUP BY a.doc_id, a.i, a.size),
+h AS MATERIALIZED (SELECT doc_id, item_id, dw.i - bw.i AS shift, bw.i AS item_at, bw.size, bool_or(dw.vw = bw.vw) AS literal
+   FROM dw JOIN bw ON dw.size = bw.size AND dw.vw = bw.vw GROUP BY ALL
+   UNION ALL SELECT doc_id, item_id, dw.i - bw.i, bw.i, bw.size, false
+   FROM dw JOIN bw ON dw.size = bw.size AND dw.tw = bw.tw WHERE dw.vw <> bw.vw AND bw.size - bw.slots >= least(5, bw.size)),
+s AS MATERIALIZED (SELECT h.doc_id, h.item_id, shift, item_at, bt.i AS place, bt.v AS bv, dt.v AS dv
+   FROM h JOIN bt ON bt.item_id = h.item_id AND bt.i >= item_at AND bt.i < item_at + size AND bt.t IN {_SLOTS}
+   JOIN dt ON dt.doc_id = h.doc_id AND dt.i = bt.i + shift WHERE NOT literal),
+p AS (SELECT doc_id, item_id, shift, bv, dv, count(DISTINCT place) AS n FROM s GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, shift, bv ORDER BY n DESC, dv) AS rb,
+   row_number() OVER (PARTITION BY doc_id, item_id, shift, dv ORDER BY n DESC, bv) AS rd FROM p),
+x AS (SELECT DISTINCT s.doc_id, s.item_id, s.shift, s.item_at FROM s JOIN r USING (doc_id, item_id, shift, bv, dv) WHERE rb > 1 OR rd > 1),
+f AS (SELECT doc_id, item_id, item_at, bool_or(literal) AS literal FROM h
+   WHERE literal OR NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = h.doc_id AND x.item_id = h.item_id AND x.shift = h.shift AND x.item_at = h.item_at) GROUP BY ALL),
+g AS (SELECT doc_id, item_id, count(*) AS n_windows, CAST(count_if(literal) AS BIGINT) AS n_literal_windows FROM f GROUP BY ALL),
+k AS (SELECT item_id, count(*) AS n_item_windows, count(CASE WHEN size - slots >= least(5, size) THEN 1 END) AS n_able FROM bw GROUP BY item_id)
+SELECT doc_id, item_id, n_windows, n_literal_windows, n_item_windows, n_windows = n_literal_windows AS same_values FROM g JOIN k USING (item_id)
+WHERE n_windows >= least(6, n_item_windows, CASE WHEN n_able > 0 THEN n_able ELSE 6 END)""",
 )
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain benchmark items, with the items."""

@@ -342,14 +342,26 @@ def test_decontamination(spark, nothing):
     item = "Each of the 12 boxes on the wide shelf holds 12 red apples that were picked by Maria before noon on the farm road"
     changed = item.replace("12", "15").replace("Maria", "Peter")
     mixed = item.replace("12", "15", 1)
-    texts = ["Intro words here. " + item + " tail", changed, mixed, "A train travels far and wide", None, "", item.upper(), "once twice"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    items = spark.createDataFrame([(10, item), (11, None), (12, ""), (13, "once twice"), (14, "7 8 9 10 11 12 13 14 15")], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): (r["same_values"], r["n_slots"]) for r in decontam.matches(docs, items).collect()}
-    assert got.keys() == {(0, 10), (1, 10), (6, 10), (7, 13)}
-    assert got[0, 10] == (True, 2) and got[1, 10] == (False, 2)
+    texts = ["Intro words here. " + item + " tail", changed, mixed, "A train travels far and wide", None, "", item.upper(), "once twice", "x " * 30000 + item, "11 12 13 14 15 16 17 18 19"]
+    docs = spark.createDataFrame([(i, t, "z", 1) for i, t in enumerate(texts)], "doc_id long, text string, hash string, at int")
+    items = spark.createDataFrame([(10, item, 1), (11, None, 1), (12, "", 1), (13, "once twice", 1), (14, "7 8 9 10 11 12 13 14 15", 1)], "item_id long, text string, size int")
+    got = {(r["doc_id"], r["item_id"]): r["same_values"] for r in decontam.matches(docs, items).collect()}
+    assert got == {(0, 10): True, (1, 10): False, (2, 10): True, (6, 10): True, (7, 13): True, (8, 10): True}
     assert decontam.matches(nothing, items).count() == 0 and decontam.matches(docs, items.limit(0)).count() == 0
-    assert decontam.matches(docs.unionByName(docs), items).count() == 4
+    assert decontam.matches(docs.unionByName(docs), items).count() == 6
+
+
+def test_every_item_is_found_in_the_items(spark):
+    texts = [
+        "If 3 + 4 = 7 and 5 + 6 = 11 what is 9", "What is 17 * 23 ?", "Maria has 12 apples and gives 5 of them to her old friend from school", "7 8 9 10 11 12 13 14 15", "One",
+        "What colour is the old bridge near the mill today?", "Barack Obama met Angela Merkel in Berlin Germany", "... !!", "What of 5 6 7 8 boxes on the wide shelf",
+    ]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    given = [t for x in texts for t in (x, f"Question 7 {x} end of it", x.lower(), x.upper())] + ["Peter has 31 apples and gives 9 of them to her old friend from school"]
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["same_values"] for r in decontam.matches(docs, items).collect()}
+    assert {(4 * i + k, i) for i in range(len(texts)) for k in range(4)} <= got.keys()
+    assert got[4 * len(texts), 2] is False
 
 
 def test_short_items_word_for_word(spark):
@@ -364,12 +376,12 @@ def test_conflicting_values_drop_their_windows_only(spark):
     words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(50)]
     words[5], words[20], words[45] = "12", "30", "12"
     at = lambda **new: " ".join(new.get(f"p{i}", w) for i, w in enumerate(words))
-    texts = [at(p45="15"), at(p5="7", p20="7", p45="7"), " ".join(words), "nothing of it"]
+    texts = [at(p45="15"), at(p5="7", p20="7", p45="7"), " ".join(words), "nothing of it", "12 30 " * 20]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
-    assert {r["doc_id"] for r in decontam.matches(docs, items).collect()} == {2}
-    got = {r["doc_id"]: (r["n_windows"], r["same_values"]) for r in decontam.matches(docs, items, by_window=True).collect()}
-    assert got == {0: (38, True), 1: (35, False), 2: (43, True)}
+    got = {r["doc_id"]: (r["n_windows"], r["n_literal_windows"], r["same_values"]) for r in decontam.matches(docs, items).collect()}
+    # a place is in eight windows, the last five places in fewer; of 12 -> 7 (twice) and 30 -> 7 (once) the first stays
+    assert got == {0: (43, 38, False), 1: (35, 24, False), 2: (43, 43, True)}
 
 
 def test_queries_are_registered():
