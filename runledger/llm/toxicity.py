@@ -1,8 +1,8 @@
 """Toxicity by Levenshtein automata over a lexicon trie, with context windows that part quotation from abuse.
 
-The lexicon is learned from labelled documents: words and word stems that are much likelier in toxic ones. Its trie is
-intersected with Levenshtein automata of distance one for whole words (stems must match exactly), and the product is compiled
-to a table-driven automaton that reads all distinct words of a block at once. Each hit is weighed by its context: within
+The lexicon is learned from labelled documents: words of any length and word stems that are much likelier in toxic ones. Its
+trie is intersected with Levenshtein automata of distance one, for whole words and, from a greater length on, for stems, which
+any ending may follow. The product is compiled to a table-driven automaton that reads all distinct words of a block at once. Each hit is weighed by its context: within
 quotation marks or after a reporting word it counts as quoted. A logistic model over the counts gives the score.
 """
 
@@ -25,8 +25,8 @@ from runledger.llm.common import in_python, materialised
 SAMPLE_DOCS = 6000
 LEAST_COUNT, LEAST_SHARE, LEAST_SURPRISE = 4, 0.75, 5.0
 SHORTEST, LONGEST_STEM = 4, 10
-#: Words of this length at least may be misspelled by one edit.
-FUZZY_LENGTH = 5
+#: Words of this length at least may be misspelled by one edit, and stems of this length.
+FUZZY_LENGTH, FUZZY_STEM = 5, 6
 #: Characters on either side of a hit that its context is judged by.
 CONTEXT = 80
 REPORTING = re.compile(r"\b(?:said|says|quote[ds]?|wrote|writes|called|term|word|phrase|reported|alleged|accused)\b", re.I)
@@ -57,7 +57,7 @@ class Automaton:
 def compile_lexicon(words: list[str], stems: list[str], edits: int = 1) -> Automaton:
     """The product of the lexicon's trie with Levenshtein automata, made deterministic."""
     children: list[dict[str, int]] = [{}]
-    is_word, is_stem, fuzzy = set(), set(), set()
+    is_word, is_stem, fuzzy, fuzzy_stem = set(), set(), set(), set()
     for entry, kind in [(w, "word") for w in words] + [(s, "stem") for s in stems]:
         path = [0]
         for c in entry:
@@ -66,8 +66,10 @@ def compile_lexicon(words: list[str], stems: list[str], edits: int = 1) -> Autom
                 children.append({})
             path.append(children[path[-1]][c])
         (is_word if kind == "word" else is_stem).add(path[-1])
-        if kind == "word" and len(entry) >= FUZZY_LENGTH:
+        if len(entry) >= (FUZZY_LENGTH if kind == "word" else FUZZY_STEM):
             fuzzy.update(path)
+            if kind == "stem":
+                fuzzy_stem.add(path[-1])
     long_words = {n for n in is_word if n in fuzzy}
 
     def closed(items: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
@@ -87,6 +89,8 @@ def compile_lexicon(words: list[str], stems: list[str], edits: int = 1) -> Autom
     def after(items: frozenset[tuple[int, int]], c: str) -> frozenset[tuple[int, int]] | str:
         out = set()
         for node, e in items:
+            if node < 0:
+                continue
             child = children[node].get(c)
             if child is not None and (e == 0 or child in fuzzy):
                 out.add((child, e))
@@ -95,7 +99,9 @@ def compile_lexicon(words: list[str], stems: list[str], edits: int = 1) -> Autom
             if e < edits and node in fuzzy:
                 out.add((node, e + 1))  # a letter too many
                 out.update((x, e + 1) for x in children[node].values() if x in fuzzy)  # another letter
-        return closed(out)
+        out = closed(out)
+        misspelled = any(n in fuzzy_stem for n, _ in out) or any(n < 0 for n, _ in items)
+        return out | {(-1, edits)} if misspelled else out  # node -1: any ending of a misspelled stem
 
     alphabet = sorted({c for node in children for c in node})
     first = closed({(0, 0)})
@@ -119,7 +125,7 @@ def compile_lexicon(words: list[str], stems: list[str], edits: int = 1) -> Autom
     accept[2] = EXACT
     for items, s in ids.items():
         if not isinstance(items, str) and s:
-            accept[s] = EXACT if any(n in is_word and e == 0 for n, e in items) else FUZZY if any(n in long_words for n, _ in items) else MISS
+            accept[s] = EXACT if any(n in is_word and e == 0 for n, e in items) else FUZZY if any(n in long_words or n < 0 for n, _ in items) else MISS
     symbol = np.zeros(max([0, *map(ord, alphabet)]) + 2, np.int32)
     for i, c in enumerate(alphabet):
         symbol[ord(c)] = i + 1
@@ -154,14 +160,16 @@ def features(automaton: Automaton, texts: list[str | None]) -> np.ndarray:
     return np.concatenate([np.ones((len(texts), 1)), np.log1p(counts)], 1)
 
 
-def choose_entries(counts: dict[str, tuple[int, int]], whole: dict[str, int], base: float) -> tuple[list[str], list[str]]:
-    """(words, stems) from the (toxic, clean) counts of prefixes; `whole` has how often a prefix was the whole word.
+def choose_entries(counts: dict[str, tuple[int, int]], whole: dict[str, int], entire: dict[str, tuple[int, int]], base: float) -> tuple[list[str], list[str]]:
+    """(words, stems) from the (toxic, clean) counts of prefixes and of `entire` words; `whole` has how often a
+    prefix was the whole word.
 
-    The shortest telling prefixes are taken, and lengthened as long as one longer prefix has nearly all of their counts.
+    The shortest telling prefixes are taken, and lengthened as long as one longer prefix has nearly all of their counts. Whole
+    words that tell by themselves are taken besides, so that they may be misspelled anywhere.
     """
 
-    def telling(p: str) -> bool:
-        t, c = counts[p]
+    def telling(pair: tuple[int, int]) -> bool:
+        t, c = pair
         n = t + c
         return t >= LEAST_COUNT and t >= LEAST_SHARE * n and t - n * base >= LEAST_SURPRISE * (n * base * (1 - base)) ** 0.5
 
@@ -170,13 +178,13 @@ def choose_entries(counts: dict[str, tuple[int, int]], whole: dict[str, int], ba
         longer.setdefault(p[:-1], []).append(p)
     words, stems, taken = [], [], set()
     for p in sorted(counts, key=lambda p: (len(p), p)):
-        if not telling(p) or any(p[:i] in taken for i in range(len(p))):
+        if not telling(counts[p]) or any(p[:i] in taken for i in range(len(p))):
             continue
         taken.add(p)
         while (more := max(longer.get(p, []), key=lambda x: counts[x][0], default=None)) and counts[more][0] >= 0.95 * counts[p][0]:
             p = more
         (words if whole.get(p, 0) >= 0.9 * sum(counts[p]) else stems).append(p)
-    return words, stems
+    return sorted({*words, *(w for w in entire if telling(entire[w]))}), stems
 
 
 def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, hold: np.ndarray = HOLD) -> np.ndarray:
@@ -213,32 +221,35 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
         return Model(compile_lexicon([], []), PRIOR)
     words = sample.select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"(\p{L}+)"), F.lit(1)))).alias("w"))
     by_word = words.groupBy("w").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
+    by_word = materialised(by_word.where(F.length("w") >= SHORTEST), "words")
+    may_tell = (F.col("toxic") >= LEAST_COUNT) & (F.col("toxic") >= LEAST_SHARE * (F.col("toxic") + F.col("clean")))
     lengths = F.sequence(F.lit(SHORTEST), F.least(F.length("w"), F.lit(LONGEST_STEM)))
-    prefixes = by_word.where(F.length("w") >= SHORTEST).select("toxic", "clean", "w", F.explode(lengths).alias("n"))
-    telling = (
-        prefixes.groupBy(F.substring("w", F.lit(1), F.col("n")).alias("p"))
-        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum(F.when(F.length("w") == F.col("n"), F.col("toxic") + F.col("clean")).otherwise(0)).alias("whole"))
-        .where((F.col("toxic") >= LEAST_COUNT) & (F.col("toxic") >= LEAST_SHARE * (F.col("toxic") + F.col("clean"))))
-        .collect()
-    )
-    chosen = choose_entries({r["p"]: (r["toxic"], r["clean"]) for r in telling}, {r["p"]: r["whole"] for r in telling}, totals["toxic"] / totals["n"])
+    whole = F.sum(F.when(F.length("w") == F.col("n"), F.col("toxic") + F.col("clean")).otherwise(0)).alias("whole")
+    prefixes = by_word.select("toxic", "clean", "w", F.explode(lengths).alias("n")).groupBy(F.substring("w", F.lit(1), F.col("n")).alias("p"))
+    telling = prefixes.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), whole).where(may_tell).collect()
+    entire = {r["w"]: (r["toxic"], r["clean"]) for r in by_word.where(may_tell).collect()}
+    chosen = choose_entries({r["p"]: (r["toxic"], r["clean"]) for r in telling}, {r["p"]: r["whole"] for r in telling}, entire, totals["toxic"] / totals["n"])
     automaton = compile_lexicon(*chosen)
-    rows = scored(sample, Model(automaton, PRIOR), "t", with_features=True).select("y", "features").collect()
+    rows = scored(sample, Model(automaton, PRIOR), "t", features_to="features").select("y", "features").collect()
     return Model(automaton, logistic(np.array([r["features"] for r in rows]), np.array([r["y"] for r in rows], float)))
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text", with_features: bool = False) -> DataFrame:
-    """`docs` with its text replaced by score (0 to 1), and features if asked for; null and empty texts have no hits."""
+def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score", features_to: str | None = None) -> DataFrame:
+    """`docs` with its text replaced by the column `score` (0 to 1), and `features_to` if named; columns of these names are replaced.
+
+    Null and empty texts have no hits and all get the same score; texts of any length are read whole. Each row is scored by
+    itself, so repeated rows and ties get equal scores; an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in docs.schema if f.name not in (text, "score", "features")]
-    schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), *([T.StructField("features", T.ArrayType(T.DoubleType()))] if with_features else [])])
+    kept = [f for f in docs.schema if f.name not in (text, score, features_to)]
+    schema = T.StructType([*kept, T.StructField(score, T.DoubleType()), *([T.StructField(features_to, T.ArrayType(T.DoubleType()))] if features_to else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in tb.blocks(batch, len(kept)):
                 x = features(shared.value.automaton, texts)
-                score = 1 / (1 + np.exp(-np.clip(x @ shared.value.weights, -30, 30)))
-                own = [batch.column(i).slice(at, len(texts)) for i in range(len(kept))] + [pa.array(score, pa.float64())]
-                yield pa.RecordBatch.from_arrays([*own, *([pa.array(x.tolist(), pa.list_(pa.float64()))] if with_features else [])], schema.fieldNames())
+                value = 1 / (1 + np.exp(-np.clip(x @ shared.value.weights, -30, 30)))
+                own = [batch.column(i).slice(at, len(texts)) for i in range(len(kept))] + [pa.array(value, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*own, *([pa.array(x.tolist(), pa.list_(pa.float64()))] if features_to else [])], schema.fieldNames())
 
-    return in_python(docs.select(*[f.name for f in kept], text), run, schema)
+    return in_python(docs.select(*[F.col(f"`{f.name}`") for f in kept], text), run, schema)

@@ -285,16 +285,17 @@ def distance(a, b):
 
 
 def test_automaton_equals_edit_distance():
-    words, stems = ["idiot", "moron", "scum"], ["achl"]
+    words, stems = ["idiot", "moron", "scum", "dumbfoundling"], ["achl", "wretch"]
     automaton = toxicity.compile_lexicon(words, stems)
     draw = random.Random(1)
-    given = ["idiot", "idot", "idiott", "idiat", "xidiot", "diot", "scum", "scam", "achl", "achlich", "ach", "moronn", ""]
+    given = ["idiot", "idot", "idiott", "idiat", "xidiot", "diot", "scum", "scam", "achl", "achlich", "ach", "moronn", "", "dunbfoundling", "dumbfoundlin", "dumbfound", "wretched", "wertch", "wrethed", "wreched", "wretsh"]
     given += ["".join(draw.choice("idiotmrn") for _ in range(draw.randint(1, 7))) for _ in range(3000)]
     code = np.frombuffer("".join(given).encode("utf-32-le"), np.uint32)
     size = np.array([len(w) for w in given])
     got = automaton.classes(code, np.cumsum(size) - size, size)
     for w, kind in zip(given, got, strict=True):
-        near = min((distance(w, x) for x in words if len(x) >= toxicity.FUZZY_LENGTH), default=9)
+        near = min(distance(w, x) for x in words if len(x) >= toxicity.FUZZY_LENGTH)
+        near = min([near, *(distance(w[:k], x) for x in stems if len(x) >= toxicity.FUZZY_STEM for k in range(len(w) + 1))])
         exact = w in words or any(w.startswith(s) for s in stems)
         assert kind == (toxicity.EXACT if exact else toxicity.FUZZY if near <= 1 else toxicity.MISS), w
 
@@ -325,6 +326,26 @@ def test_toxicity_learns_words_and_stems(spark, nothing):
     assert (toxicity.fit(nothing, known.limit(0)).weights == toxicity.PRIOR).all()
 
 
+def test_long_toxic_words_may_be_misspelled(spark):
+    plain = ["the", "house", "river", "green", "walks", "often", "under", "said"]
+    draw = random.Random(3)
+    rows = [(i, " ".join([*draw.choices(plain, k=20), "dumbfoundling" if i % 4 == 0 else "dumb founder"]), int(i % 4 == 0)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    model = toxicity.fit(docs, docs, label="y")
+    given = ["dumbfoundling", "dunbfoundling", "dumbfoundlin you", "the green house", None, "", "dunbfoundling", 'he said "dumbfoundling" twice', "green " * 40000 + "dumbfoundling"]
+    extra = spark.createDataFrame([(i, t, "s", 7.5, "k") for i, t in enumerate(given)], "doc_id long, text string, source string, features double, kept string")
+    out = toxicity.scored(extra, model)
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert out.columns == ["doc_id", "source", "features", "kept", "score"] and got[0]["features"] == 7.5
+    for i, t in enumerate(given):  # the score again, from hits counted by edit distance
+        words = re.findall(r"[^\W\d_]+", (t or "").lower())
+        exact = sum(w.startswith("dumbfoundl") for w in words)  # the stem that the longest prefix gives
+        near = sum(not w.startswith("dumbfoundl") and min(distance(w[:k], "dumbfoundl") for k in range(9, 12)) <= 1 for w in words)
+        x = np.log1p([np.e - 1, 0, near, exact] if i == 7 else [np.e - 1, exact, near, 0])
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-x @ model.weights))), t
+    assert got[0]["score"] > 0.5 and got[1]["score"] == got[6]["score"] > got[3]["score"] == got[4]["score"] == got[5]["score"]
+
+
 def test_language_identification(spark, nothing):
     say = {"en": "the of and with this house that where", "fr": "le la une avec cette maison que où", "xx": "zu zi zo zazu"}
     rows = [(i, " ".join(random.Random(i).choices(w.split(), k=12)), lang) for i, (lang, w) in enumerate(list(say.items()) * 30)]
