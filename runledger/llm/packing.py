@@ -3,7 +3,8 @@
 Documents become token ids and are cut into full windows and one remainder. Remainders fall into length classes; all
 combinations of at most three classes that fill a window exactly are columns of a matrix, whose non-negative least-squares
 solution against the class histogram gives repeat counts. Counts are rounded down to what the histogram holds, and the rest
-is packed greedily, longest class first. The plan depends on the histogram alone (a number per class), so it is made on the
+is packed greedily, longest class first. Very short pieces are strung together to nearly a window first, since a class would
+round them up. The plan depends on the histogram alone (a number per class), so it is made on the
 driver; pieces are numbered within their class in a distributed way and looked up in the plan.
 """
 
@@ -25,8 +26,8 @@ from runledger.llm.common import in_python, materialised
 WINDOW, GRAIN, DEPTH = 4096, 16, 3
 #: Words whose ids a Python worker remembers; the memory is emptied beyond it.
 CACHE_WORDS = 400_000
-#: Pieces that are numbered in one sorted group.
-GROUP_ROWS = 2_000
+#: Pieces that are numbered in one sorted group; classes of pieces that are strung together; windows of text that one group of them fills.
+GROUP_ROWS, TINY_CLASSES, GROUP_WINDOWS = 500, 8, 16
 
 
 #: Marks the end of a word where merges are looked up; tokenizers with word ends have tokens that carry it.
@@ -42,7 +43,10 @@ def _byte_of_char() -> dict[str, int]:
 
 
 def _ranked(path: str):
-    """An encoder of marked words by merge rank and its flags of word-ending ids, or None if the file has no word-end vocabulary in rank order."""
+    """An encoder of marked words by merge rank and its flags of word-ending ids.
+
+    None if the file has no vocabulary with word ends whose ids stand in the order of its merges.
+    """
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
@@ -51,6 +55,9 @@ def _ranked(path: str):
     suffix = model.get("end_of_word_suffix")
     if model["type"] != "BPE" or not suffix or not {"Lowercase"} <= {n["type"] for n in (file["normalizer"] or {}).get("normalizers", [])}:
         return None
+    merged = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    if any(a >= b for a, b in zip([-1, *merged], merged, strict=False)):
+        return None
     byte_of, ranks = _byte_of_char(), {}
     for token, i in model["vocab"].items():
         if i not in special:
@@ -71,14 +78,14 @@ class WordEncoder:
     For tokenizers that drop white space and never join across it, a text's ids are those of its words in order. Words are
     parted at blanks, tabs and line ends only. A run of letters, and marks after it, are pre-tokens of their own; runs of
     letters are merged by rank in bulk, which gives the tokenizer's ids at a fraction of its time. All other words are left to
-    the tokenizer, in which strings of special tokens are ordinary text.
+    the tokenizer, as are whole texts that hold the string of a special token: it gets that token's id.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ranked = _ranked(path)
         self.known: dict[str, bytes] = {"": b""}
 
@@ -105,14 +112,18 @@ class WordEncoder:
         known.update((w, array("I", e.ids).tobytes()) for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
         known.update((w, known[core] + known[w[len(core) :]]) for w, core in parted)
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, given: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
-        known = self.known
-        parts = [(t.lower() if t.isascii() else t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        known, whole = self.known, {}
+        texts = [t.lower() if t.isascii() else t for t in given]
+        for i, t in enumerate(texts):
+            if any(x in t for x in self.special):
+                whole[i] = array("I", self.tokenizer.encode(given[i], add_special_tokens=False).ids).tobytes()
+        parts = ["" if i in whole else t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for i, t in enumerate(texts)]
         if missing := [w for w in set().union(*parts) if w not in known]:
             self._learn(missing)
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        return [whole[i] if i in whole else b"".join(map(known.__getitem__, p)) for i, p in enumerate(parts)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -232,39 +243,63 @@ def plan(histogram: dict[int, int], classes: int, depth: int = DEPTH) -> list[tu
     return out
 
 
-def place(pieces: DataFrame, key: str = "doc_id", window: int = WINDOW, grain: int = GRAIN, depth: int = DEPTH) -> DataFrame:
-    """`pieces` (with key, start, length and any more columns) with sequence_id and offset.
+def place(pieces: DataFrame, key: str = "doc_id", window: int = WINDOW, grain: int = GRAIN, depth: int = DEPTH, tiny: int = TINY_CLASSES) -> DataFrame:
+    """`pieces` (with key, start, length and any more columns) with sequence_id and offset, which replace columns of these names.
 
     Lengths are 1..window. The pieces are written once in the shared folder; only the histogram of classes and the number
-    of groups reach the driver. Pieces that are equal in all columns take places in any order.
+    of groups reach the driver. Pieces that are equal in all columns take places in any order, and lie in one group. Names that
+    begin with `_` are kept for this operator.
     """
     if window % grain:
         raise ValueError("the window must be a multiple of the grain")
-    spark, classes = pieces.sparkSession, window // grain
     own = pieces.drop("sequence_id", "offset")
-    hashed = F.xxhash64(*[F.col(c) for c in own.columns])
-    own = materialised(own.withColumn("_class", F.ceil(F.col("length") / grain).cast("int")).withColumn("_hash", hashed), "pieces")
-    histogram = {r["_class"]: r["n"] for r in own.groupBy("_class").agg(F.count("*").alias("n")).collect()}
-
+    columns, classes = own.columns, window // grain
+    of_length = F.ceil(F.col("length") / grain).cast("int").alias("_class")
+    own = materialised(own.select("*", of_length, F.xxhash64(*[F.col(f"`{c}`") for c in columns]).alias("_hash")), "pieces")
+    histogram = {r["_class"]: (r["n"], r["ids"]) for r in own.groupBy("_class").agg(F.count("*").alias("n"), F.sum("length").alias("ids")).collect()}
+    counts = {c: n for c, (n, _) in histogram.items() if c > tiny}
+    if len(counts) == len(histogram):
+        return _placed(own, counts, key, classes, depth).select(*columns, "sequence_id", "offset")
+
+    # strings of tiny pieces: a string begins where the running length passes a multiple of the window less the longest tiny piece
+    groups = 1 + sum(ids for c, (_, ids) in histogram.items() if c <= tiny) // (GROUP_WINDOWS * window)
+    small = own.where(F.col("_class") <= tiny).withColumn("_group", F.pmod(F.col("_hash"), F.lit(groups)))
+    order = Window.partitionBy("_group").orderBy("_hash", key, "start").rowsBetween(Window.unboundedPreceding, -1)
+    small = small.withColumn("_ahead", F.coalesce(F.sum("length").over(order), F.lit(0))).withColumn("_string", F.floor(F.col("_ahead") / (window - tiny * grain)))
+    small = materialised(small, "tiny")
+    strings = small.groupBy("_group", "_string").agg(F.sum("length").alias("length"), F.min("_ahead").alias("_first"))
+    strings = materialised(strings.select("*", of_length, F.xxhash64("_group", "_string").alias("_hash"), F.lit(0).cast("long").alias("start")), "strings")
+    for r in strings.groupBy("_class").agg(F.count("*").alias("n")).collect():
+        counts[r["_class"]] = counts.get(r["_class"], 0) + r["n"]
+    units = own.where(F.col("_class") > tiny).unionByName(strings, allowMissingColumns=True)
+    placed = materialised(_placed(units, counts, key, classes, depth), "placed")
+    at = placed.where("_group IS NOT NULL").select("_group", "_string", "_first", "sequence_id", F.col("offset").alias("_offset"))
+    inside = small.join(at, ["_group", "_string"]).withColumn("offset", F.col("_offset") + F.col("_ahead") - F.col("_first"))
+    return placed.where("_group IS NULL").select(*columns, "sequence_id", "offset").unionByName(inside.select(*columns, "sequence_id", "offset"))
+
+
+def _placed(units: DataFrame, counts: dict[int, int], key: str, classes: int, depth: int) -> DataFrame:
+    """`units` (with key, start, length, _class, _hash) with sequence_id and offset; `counts` has how many there are of each class."""
+    spark = units.sparkSession
     # places of the plan: ranks lo..hi-1 of a class go to slot `slot` of sequences from `first` on
-    rows, used, first = [], dict.fromkeys(histogram, 0), 0
-    for option, n in plan(histogram, classes, depth):
+    rows, used, first = [], dict.fromkeys(counts, 0), 0
+    for option, n in plan(counts, classes, depth):
         for slot, c in enumerate(option):
             rows.append((c, used[c], used[c] + n, first, slot))
             used[c] += n
         first += n
-    places = spark.createDataFrame(rows, "_class int, _lo long, _hi long, _first long, _slot int")
-
-    groups = spark.createDataFrame([(c, 1 + n // GROUP_ROWS) for c, n in histogram.items()], "_class int, _groups long")
-    grouped = own.join(F.broadcast(groups), "_class").withColumn("_group", F.pmod(F.col("_hash"), F.col("_groups"))).drop("_groups")
-    counts = grouped.groupBy("_class", "_group").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_class").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_class", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    in_group = F.row_number().over(Window.partitionBy("_class", "_group").orderBy("_hash", key, "start"))
-    ranked = grouped.withColumn("_in", in_group).join(offsets, ["_class", "_group"]).withColumn("_rank", F.col("_before") + F.col("_in") - 1)
-    placed = ranked.join(F.broadcast(places), "_class").where("_rank >= _lo AND _rank < _hi").withColumn("sequence_id", F.col("_first") + F.col("_rank") - F.col("_lo"))
+    places = spark.createDataFrame(rows, "_class int, _lo long, _hi long, _seq long, _slot int")
+
+    groups = spark.createDataFrame([(c, 1 + n // GROUP_ROWS) for c, n in counts.items()], "_class int, _groups long")
+    grouped = units.join(F.broadcast(groups), "_class").withColumn("_in_class", F.pmod(F.col("_hash"), F.col("_groups"))).drop("_groups")
+    sizes = grouped.groupBy("_class", "_in_class").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_class").orderBy("_in_class").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_class", "_in_class", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    in_group = F.row_number().over(Window.partitionBy("_class", "_in_class").orderBy("_hash", key, "start"))
+    ranked = grouped.withColumn("_in", in_group).join(offsets, ["_class", "_in_class"]).withColumn("_rank", F.col("_before") + F.col("_in") - 1)
+    placed = ranked.join(F.broadcast(places), "_class").where("_rank >= _lo AND _rank < _hi").withColumn("sequence_id", F.col("_seq") + F.col("_rank") - F.col("_lo"))
     ahead = Window.partitionBy("sequence_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0))).select(*[c for c in own.columns if c not in ("_class", "_hash")], "sequence_id", "offset")
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0))).select(*units.columns, "sequence_id", "offset")
 
 
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:

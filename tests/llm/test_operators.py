@@ -111,8 +111,7 @@ def test_packing_round_trip(spark, docs, nothing, rows):
 
     path = registry.tokenizer_file()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    odd = [(1000, "Don't <|endoftext|> it's 12,5 ΣΑΣ İ x́y ﬁ 中文　 a\x85b", "en", "s", 1), (1001, "word " * 9000, "en", "s", 1)]
+    odd = [(1002, "hello <|startoftext|> world<|endoftext|>x <|ENDOFTEXT|>", "en", "s", 1), (1003, "é<|endoftext|> <|EndOfText|>", "en", "s", 1), (1000, "Don't <|endoftext|> it's 12,5 ΣΑΣ İ x́y ﬁ 中文　 a\x85b", "en", "s", 1), (1001, "word " * 9000, "en", "s", 1)]
     got = packing.pack(docs.unionByName(spark.createDataFrame(odd, SCHEMA)), path).collect()
     for i, text, *_ in [*rows, *odd]:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
@@ -134,6 +133,22 @@ def test_packing_round_trip(spark, docs, nothing, rows):
     assert len(twice) == 3 and len({(r["sequence_id"], r["offset"]) for r in twice}) == 3
 
 
+@pytest.mark.parametrize("most", [1, 3, 300])
+def test_packing_of_short_pieces_leaves_little_padding(spark, most):
+    lengths = [1 + i * 7919 % most for i in range(20000)]
+    pieces = spark.createDataFrame([(i, 0, n, "x", 5) for i, n in enumerate(lengths)], "doc_id long, start long, length long, text string, sequence_id int")
+    out = packing.place(pieces)
+    assert out.columns == ["doc_id", "start", "length", "text", "sequence_id", "offset"]
+    sequences = {}
+    for r in out.collect():
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"], r["doc_id"]))
+    assert sorted(d for x in sequences.values() for *_, d in x) == list(range(20000))
+    for x in sequences.values():
+        ends = [0, *(a + n for a, n, _ in sorted(x))]
+        assert [a for a, *_ in sorted(x)] == ends[:-1] and ends[-1] <= 4096
+    assert len(sequences) <= 1 + 1.05 * sum(lengths) / 4096
+
+
 def shingles(text):
     words = WORD.findall((text or "").translate(LOWER))
     return frozenset(zip(words, words[1:], words[2:], strict=False)) or (frozenset([tuple(words)]) if words else frozenset())
