@@ -31,6 +31,8 @@ from runledger.llm.common import materialised, of_group, of_groups, shared_folde
 LENGTH, ANCHOR = 50, 24
 #: Bytes of text in a group, and bits of a minimizer.
 GROUP_BYTES, MINIMIZER_BITS = 4_000_000, 48
+#: Buckets of the table of groups; Spark takes 100,000 at most, and more groups share buckets.
+MOST_BUCKETS = 50_000
 #: Bytes of a composed backward step, and windows that are hashed at a time.
 STRIDE = 7
 SLICE = 1 << 16
@@ -162,17 +164,14 @@ class Group:
         new = np.ones(len(mu), bool)
         new[1:] = (mu[1:] != mu[:-1]) | (doc[1:] != doc[:-1])
         unique, count = np.unique(mu[new], return_counts=True)
-        bounds = tb.part_bounds(unique, MINIMIZER_BITS, parts)
-        for p in range(parts):
-            some = slice(bounds[p], bounds[p + 1])
-            if some.start < some.stop:
-                yield p, tb.pack_sorted(unique[some]), tb.pack_counts(np.minimum(count[some], 2))
+        for p, some in tb.part_slices(unique, MINIMIZER_BITS, parts):
+            yield p, tb.pack_sorted(unique[some]), tb.pack_counts(np.minimum(count[some], 2))
 
     def shared_runs(self, flags: dict[int, bytes], parts: int) -> np.ndarray:
         """The runs whose minimizers are flagged; flags by part are in the order of `blocks`."""
         unique = np.unique(self.mu)
-        bounds = tb.part_bounds(unique, MINIMIZER_BITS, parts)
-        flagged = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(flags[p], np.uint8))[: bounds[p + 1] - bounds[p]].astype(bool) for p in range(parts) if bounds[p] < bounds[p + 1])])
+        own = ((flags[p], s.stop - s.start) for p, s in tb.part_slices(unique, MINIMIZER_BITS, parts))
+        flagged = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(bits, np.uint8))[:n].astype(bool) for bits, n in own)])
         return np.flatnonzero(flagged[np.searchsorted(unique, self.mu)]) if len(unique) else np.zeros(0, np.int64)
 
     def distinct_runs(self, flags: dict[int, bytes], parts: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
@@ -263,12 +262,12 @@ def _removed(group: Group, flags: dict[int, bytes], answers: dict[int, tuple[byt
     change = np.zeros(len(group.text) + 1, np.int32)
     runs, mu, texts, number, least = group.distinct_runs(flags, parts)
     if len(runs):
-        bounds = tb.part_bounds(mu, MINIMIZER_BITS, parts)
-        state = np.concatenate([np.frombuffer(answers[p][0], np.uint8) for p in range(parts) if bounds[p] < bounds[p + 1]])
+        own_parts = [p for p, _ in tb.part_slices(mu, MINIMIZER_BITS, parts)]
+        state = np.concatenate([np.frombuffer(answers[p][0], np.uint8) for p in own_parts])
         whole = (state[number] == 1) | (group.keys[group.doc[runs]] > least[number])
         np.add.at(change, group.first[runs[whole]], 1)
         np.add.at(change, group.first[runs[whole]] + group.windows[runs[whole]] + LENGTH - 1, -1)
-        masks, at = b"".join(answers[p][1] for p in range(parts) if p in answers), 0
+        masks, at = b"".join(answers[p][1] for p in own_parts), 0
         mask_at, some = {}, [np.zeros(0, np.int64)]
         for i in np.flatnonzero(state == 2).tolist():
             mask_at[i] = at
@@ -282,26 +281,30 @@ def _removed(group: Group, flags: dict[int, bytes], answers: dict[int, tuple[byt
     return np.cumsum(change[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", group_bytes: int = GROUP_BYTES, decoded: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", group_bytes: int = GROUP_BYTES, decoded: bool = False, most_buckets: int = MOST_BUCKETS) -> DataFrame:
     """`docs` with its text replaced by n_bytes, kept (the bytes that stay) and spans (removed byte ranges, start and end).
 
     With `decoded`, `kept` is a string without the pieces of characters that a range has cut.
 
-    Keys are integers. Null texts count as empty; texts of fewer than 50 bytes stay whole. Rows with one key don't remove from
-    each other. Rows with a null key stay whole and remove nothing. Columns named like the results are replaced.
+    Keys are integers. Null texts count as empty; texts of fewer than 50 bytes stay whole, longer ones are read whole. Rows with
+    one key don't remove from each other. Rows with a null key stay whole and remove nothing. Equal texts of different keys are
+    ties that the smallest key wins. An empty table gives an empty one. Columns named like the results are replaced; any others
+    are carried, whatever their names.
     """
     spark = docs.sparkSession
     ship(spark)
     rest = [c for c in docs.columns if c not in (key, text, "n_bytes", "kept", "spans")]
     body = F.coalesce(F.col(text), F.lit("")).alias("_text")
-    own = docs.select(F.col(key).cast("long").alias("_key"), body, F.struct(F.lit(None).cast("int").alias("_"), *rest).alias("_rest"))
+    # the members of _rest go by number, so that no name of the caller's can clash
+    others = F.struct(F.lit(None).cast("int").alias("c"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
+    own = docs.select(F.col(key).cast("long").alias("_key"), body, others.alias("_rest")).withColumn("_name", F.md5(F.col("_text").cast("binary")))
     size = own.agg(F.sum(F.octet_length("_text")).alias("b")).first()["b"] or 0
     groups = max(8, -(-size // group_bytes))
     parts = max(128, groups // 8)
-    grp = F.pmod(F.xxhash64("_key"), F.lit(groups)).cast("int")
+    grp = F.pmod(F.xxhash64("_key", "_name"), F.lit(groups)).cast("int")  # rows with one key or none are not one group
 
     # equal texts: all but those of the smallest key go whole, if they hold a window at all
-    long_ = own.where((F.octet_length("_text") >= LENGTH) & F.col("_key").isNotNull()).select("_key", F.md5(F.col("_text").cast("binary")).alias("_name"))
+    long_ = own.where((F.octet_length("_text") >= LENGTH) & F.col("_key").isNotNull()).select("_key", "_name")
     named = long_.groupBy("_name").agg(F.min("_key").alias("_least"), F.max("_key").alias("_most")).where("_least < _most")
     copies = materialised(long_.join(named.select("_name", "_least"), "_name").where("_key > _least").select(F.col("_key"), "_name").withColumn("grp", grp), "copies")
 
@@ -309,17 +312,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", gro
     inner = T.StructType([T.StructField("_key", T.LongType()), T.StructField("_text", T.StringType()), T.StructField("_rest", kept_types), T.StructField("copy", T.BooleanType()), T.StructField("grp", T.IntegerType())])
 
     def mark(rows: pa.Table, gone: pa.Table) -> pa.Table:
-        import hashlib
-
         names = set(zip(gone["_key"].to_pylist(), gone["_name"].to_pylist(), strict=True))
-        keys = {k for k, _ in names}
-        copy = [k in keys and (k, hashlib.md5((t or "").encode("utf-8", "surrogatepass")).hexdigest()) in names for k, t in zip(rows["_key"].to_pylist(), rows["_text"].to_pylist(), strict=True)]
+        copy = [x in names for x in zip(rows["_key"].to_pylist(), rows["_name"].to_pylist(), strict=True)]
         return rows.append_column("copy", pa.array(copy, pa.bool_())).select(["_key", "_text", "_rest", "copy", "grp"])
 
     dealt = own.withColumn("grp", grp).groupBy("grp").cogroup(copies.groupBy("grp")).applyInArrow(of_groups(mark), inner)
     name = f"repeats_{uuid.uuid4().hex}"
-    dealt.write.format("parquet").bucketBy(groups, "grp").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    dealt.write.format("parquet").bucketBy(min(groups, most_buckets), "grp").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # from the catalog only: the files stay in the shared folder, and `table` knows them
 
     def group_of(rows: pa.Table) -> Group:
         """The group without copies and null keys; `rows` are `in_order`, so that every pass numbers its runs alike."""
@@ -349,12 +350,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", gro
             return rows_of(0, [])
         rows = in_order(rows)
         _, mu, texts, _, least = group_of(rows).distinct_runs({p: s for p, (s, _) in flags_in(side).items()}, parts)
-        bounds, out = tb.part_bounds(mu, MINIMIZER_BITS, parts), []
-        for p in range(parts):
-            own = slice(bounds[p], bounds[p + 1])
-            if own.start < own.stop:
-                sizes = np.fromiter(map(len, texts[own]), np.int64, own.stop - own.start)
-                out.append((p, tb.pack_sorted(mu[own]), tb.pack_counts(least[own]), tb.pack_counts(sizes), b"".join(texts[own])))
+        out = []
+        for p, own in tb.part_slices(mu, MINIMIZER_BITS, parts):
+            sizes = np.fromiter(map(len, texts[own]), np.int64, own.stop - own.start)
+            out.append((p, tb.pack_sorted(mu[own]), tb.pack_counts(least[own]), tb.pack_counts(sizes), b"".join(texts[own])))
         return rows_of(rows["grp"][0].as_py(), out)
 
     gathered = table.select("_key", "_text", "copy", "grp").groupBy("grp").cogroup(flags.groupBy("grp")).applyInArrow(of_groups(gather), _BLOCK)
@@ -385,4 +384,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", gro
 
     side = flags.unionByName(answers)
     out = table.groupBy("grp").cogroup(side.groupBy("grp")).applyInArrow(of_groups(apply), result)
-    return out.select(F.col("_key").cast(docs.schema[key].dataType).alias(key), *[F.col(f"_rest.{c}").alias(c) for c in rest], "n_bytes", "kept", "spans")
+    return out.select(F.col("_key").cast(docs.schema[key].dataType).alias(key), *[F.col(f"_rest.c{i}").alias(c) for i, c in enumerate(rest)], "n_bytes", "kept", "spans")

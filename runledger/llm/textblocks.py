@@ -146,7 +146,8 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint64).ravel().astype(np.int64)
 
 
-def part_bounds(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
-    """Where the sorted keys of `bits` bits are cut into `parts` equal ranges: parts + 1 places."""
-    edges = [(p << bits) // parts for p in range(1, parts)]
-    return np.concatenate(([0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)])).astype(np.int64)
+def part_slices(keys: np.ndarray, bits: int, parts: int) -> list[tuple[int, slice]]:
+    """(part, its slice) of sorted keys of `bits` bits that are dealt by range to `parts` parts, without empty parts."""
+    part = ((keys >> np.uint64(bits - 32)) * np.uint64(parts)) >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate((np.ones(len(part[:1]), bool), part[1:] != part[:-1])))
+    return [(int(part[a]), slice(a, b)) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=False)]

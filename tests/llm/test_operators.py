@@ -212,6 +212,19 @@ def test_remove_repeats(spark, docs, nothing, rows, group_bytes):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_repeats_in_more_groups_than_buckets(spark):
+    draw = random.Random(4)
+    shared = "".join(draw.choice("abcdef ") for _ in range(60))
+    rows = [(i, "".join(draw.choice("abcdef ") for _ in range(3000)) + chr(65 + i) + shared * (i % 2)) for i in range(40)]
+    rows.append((99, "q" * 120_000 + shared))
+    docs = spark.createDataFrame([(*r, "c", 1, "g") for r in rows], "doc_id long, text string, kept string, copy int, _name string")
+    out = suffix_dedup.remove_repeats(docs, group_bytes=1, most_buckets=4)  # some 240,000 groups
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in out.collect()}
+    expected = {i: [(3001, 3061)] if i % 2 and i > 1 else [] for i in range(40)} | {99: [(120_000, 120_060)]}
+    assert got == expected and out.columns == ["doc_id", "copy", "_name", "n_bytes", "kept", "spans"]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("repeats_")]
+
+
 def test_repeats_of_one_key_and_of_none(spark):
     text = "é" * 30 + " end"
     rows = spark.createDataFrame([(4, text), (4, text), (None, text), (5, text + "!")], "doc_id long, text string")
