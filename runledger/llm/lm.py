@@ -1,12 +1,16 @@
 """Language-model scoring with a weighted backoff automaton.
 
-States are the contexts of n-grams, arcs carry smoothed probabilities, and a context that lacks an arc falls back by its
-weighted failure arc to the next shorter one. Smoothing interpolates: p(w | u) = (c(u w) + m(u) p(w | u')) / (c(u) + m(u)),
-with m(u) = c(u) ** SPREAD; the empty context has add-one probabilities. All statistics are plain counts.
+States are the contexts of n-grams that the training texts have, arcs carry smoothed probabilities, and a state that lacks an
+arc falls back by its weighted failure arc to the next shorter context, up to the empty one, which has arcs for all words.
+Smoothing interpolates: p(w | u) = (c(u w) + m(u) p(w | u')) / (c(u) + m(u)), with m(u) = c(u) ** SPREAD, so a failure arc weighs
+m(u) / (c(u) + m(u)); the empty context has add-one probabilities. All statistics are plain counts.
 
 Counts are too many to send to every executor. Documents are dealt to groups; a group sends its distinct n-grams, as sorted
 64-bit hashes in ranges, to be summed over all groups, and gets back the totals of exactly its own n-grams, in order. Each
-group then has the part of the automaton that its texts can reach, and one pass over its tokens scores them.
+group then builds the part of the automaton that its texts can reach, and one traversal from left to right scores them.
+
+The ranges grow in number with the groups, so that each can be summed in bounded memory. A group sends no empty block, so there
+are never more blocks than n-grams; from some hundred GB on they get small, and rows of n-grams would cost as much.
 """
 
 from __future__ import annotations
@@ -20,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runledger import ship
 from runledger.llm import textblocks as tb
-from runledger.llm.common import in_python, materialised, of_group, of_groups
+from runledger.llm.common import materialised, of_group, of_groups
 
 ORDER, SPREAD = 2, 0.95
-#: Bytes of text in a group of documents, and bits of the hashes of n-grams (words have 64).
-GROUP_BYTES, GRAM_BITS = 8_000_000, 44
+#: Bytes of text in a group of documents, ranges of hashes at least, and tokens of a text that are traversed in a row.
+GROUP_BYTES, LEAST_PARTS, SEGMENT = 8_000_000, 128, 256
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 BLOCK = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("group", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType())])
@@ -49,14 +54,10 @@ def contexts(token: np.ndarray, doc: np.ndarray, order: int) -> list[np.ndarray]
         back = np.concatenate(([START], back[:-1])) if len(back) else back
         back = np.where(first, START, back)
         gram = tb.mix(gram * np.uint64(0x9E3779B97F4A7C15) ^ tb.mix(back + np.uint64(len(levels))))
-        levels.append(gram >> np.uint64(64 - GRAM_BITS))
+        levels.append(gram)
     return levels
 
 
-def _bits(level: int) -> int:
-    return 64 if level == 0 else GRAM_BITS
-
-
 def group_blocks(texts: list[str | None], train: np.ndarray, order: int, parts: int) -> Iterator[tuple[int, int, bytes, bytes]]:
     """(level, part, keys, counts) of a group: its distinct n-grams and their counts in the training texts."""
     token, doc = tokens(texts)
@@ -64,10 +65,8 @@ def group_blocks(texts: list[str | None], train: np.ndarray, order: int, parts:
     for level, keys in enumerate(contexts(token, doc, order)):
         unique, of = np.unique(keys, return_inverse=True)
         counts = np.bincount(of, weight, len(unique)).astype(np.int64)
-        bounds = tb.part_bounds(unique, _bits(level), parts)
-        for p in range(parts):
-            if bounds[p] < bounds[p + 1]:
-                yield level, p, tb.pack_sorted(unique[bounds[p] : bounds[p + 1]]), tb.pack_counts(counts[bounds[p] : bounds[p + 1]])
+        for p, some in tb.part_slices(unique, 64, parts):
+            yield level, p, tb.pack_sorted(unique[some]), tb.pack_counts(counts[some])
 
 
 def sum_blocks(blocks: pa.Table) -> pa.Table:
@@ -87,57 +86,123 @@ def sum_blocks(blocks: pa.Table) -> pa.Table:
 
 
 class Automaton:
-    """The reachable part of the backoff automaton: counts by level, for sorted n-gram hashes."""
-
-    def __init__(self, keys: list[np.ndarray], counts: list[np.ndarray], train_tokens: int, vocabulary: int, train_docs: int, spread: float):
-        self.keys, self.counts = keys, counts
-        self.n, self.v, self.docs, self.spread = train_tokens, vocabulary, train_docs, spread
+    """The part of the backoff automaton that some texts can reach.
 
-    def count(self, level: int, grams: np.ndarray) -> np.ndarray:
-        at, found = tb.lookup(self.keys[level], grams)
-        return np.where(found, self.counts[level][at], 0)
-
-    def traverse(self, token: np.ndarray, doc: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """(count of each token, log10 probability of each token after its state), from left to right.
+    State 0 is the empty context. `arc` has the sorted keys state * words + word of the other states' arcs, `arc_log` and `arc_to`
+    their weights (log10) and targets; `empty_log` and `empty_to` are the arcs of state 0 by word; `fail` and `fail_log` are the
+    failure arcs by state. `word` has the number of the word of each token; `first` is the state before a text.
+    """
 
-        The state before a token is the last order - 1 tokens; the loop goes from its last failure state up to itself.
-        """
-        levels = contexts(token, doc, order)
-        counts = [self.count(k, g) for k, g in enumerate(levels)]
-        p = (counts[0] + 1) / (self.n + self.v + 1)
-        first = np.concatenate(([True], doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, bool)
+    def __init__(self, token: np.ndarray, doc: np.ndarray, counts: list[np.ndarray], train_tokens: int, vocabulary: int, train_docs: int, spread: float):
+        """`counts` by level: the training counts of the texts' distinct n-grams in the order of their hashes."""
+        order = len(counts)
+        grams = contexts(token, doc, order)
+        unique, self.word = np.unique(grams[0], return_inverse=True)
+        n_words = len(unique)
+        before = np.concatenate(([0], self.word[:-1])) if len(token) else self.word
+        starts = np.concatenate(([True], doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, bool)
+        # a state for each word, one for the start of a text, and from order 3 on one for each n-gram and more for the start
+        self.known = counts[0]
+        p = (counts[0] + 1) / (train_tokens + vocabulary + 1)
+        self.empty_log = np.log10(p)
+        states = 1 + np.arange(n_words)
+        self.empty_to = np.where(counts[0] > 0, states, 0)
+        total = [np.array([0]), counts[0], np.array([train_docs])]  # the counts of the contexts, by state
+        fail = [np.array([0]), np.zeros(n_words, np.int64), np.array([0])]
+        self.first, n_states = 1 + n_words, 2 + n_words
+        state = np.where(starts, self.first, states[before]) if len(token) else before  # the context of each token, one level at a time
+        lower, at_word = p[self.word], self.word
+        keys, logs, to = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
         for level in range(1, order):
-            state = np.concatenate(([0], counts[level - 1][:-1]))  # count of the context: the shorter n-gram one token before
-            state = np.where(first, self.docs, state)
-            mass = state.astype(float) ** self.spread
-            seen = state > 0
-            p = np.where(seen, (counts[level] + mass * p) / np.where(seen, state + mass, 1), p)
-        return counts[0], np.log10(p)
+            _, place, of = np.unique(grams[level], return_index=True, return_inverse=True)
+            c, context, word = counts[level], state[place] if len(place) else place, at_word[place] if len(place) else place
+            of_context = np.concatenate(total)[context]
+            mass = of_context.astype(float) ** spread
+            arc_p = (c + mass * (lower[place] if len(place) else 0)) / np.maximum(of_context + mass, 1e-300)
+            last = level == order - 1
+            target = self.empty_to[word] if last and level == 1 else shorter[place] if last else n_states + np.arange(len(c))
+            seen = c > 0
+            keys.append(context[seen] * n_words + word[seen])
+            logs.append(np.log10(arc_p[seen]))
+            to.append(target[seen])
+            if not last:  # the n-grams of this level are contexts of the next, and one more stands before a text
+                total += [c, np.array([train_docs])]
+                fail += [self.empty_to[word], np.array([self.first])]
+                own = n_states + of
+                shorter = np.where(c[of] > 0, own, self.empty_to[self.word])
+                state = np.where(starts, n_states + len(c), np.concatenate(([0], own[:-1])) if len(own) else own)
+                self.first, n_states = n_states + len(c), n_states + len(c) + 1
+                lower = arc_p[of] if len(of) else lower
+        sort = np.argsort(np.concatenate(keys), kind="stable")
+        self.arc, self.arc_log, self.arc_to = (np.concatenate(x)[sort] for x in (keys, logs, to))
+        total, self.fail = np.concatenate(total).astype(float), np.concatenate(fail)
+        mass = total**spread
+        self.fail_log = np.log10(np.where(total > 0, mass / np.maximum(total + mass, 1e-300), 1))  # a context without counts costs nothing
+        self.order, self.doc, self.starts = order, doc, starts
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 weight, state) after reading a word in each state, over failure arcs where need be."""
+        weight, todo, state = np.zeros(len(state)), np.arange(len(state)), state.copy()
+        while len(todo):
+            s, w = state[todo], word[todo]
+            empty = s == 0
+            at, found = tb.lookup(self.arc, s * len(self.empty_to) + w)
+            found &= ~empty
+            done = todo[found]
+            weight[done] += self.arc_log[at[found]]
+            state[done] = self.arc_to[at[found]]
+            done = todo[empty]
+            weight[done] += self.empty_log[w[empty]]
+            state[done] = self.empty_to[w[empty]]
+            todo = todo[~found & ~empty]
+            weight[todo] += self.fail_log[state[todo]]
+            state[todo] = self.fail[state[todo]]
+        return weight, state
+
+    def traverse(self) -> np.ndarray:
+        """The log10 weights of all tokens, reading the texts from left to right.
+
+        Texts are read side by side in segments. A segment within a text first reads the order - 1 tokens before it from the empty
+        state, which leads to the state that the whole text before it leads to: the longest context that the automaton has.
+        """
+        out = np.zeros(len(self.word))
+        place = np.arange(len(self.word)) - np.flatnonzero(self.starts)[np.cumsum(self.starts) - 1]
+        begin = np.flatnonzero(place % SEGMENT == 0)
+        size = np.diff(begin, append=len(self.word))
+        by_size = np.argsort(-size, kind="stable")
+        begin, size = begin[by_size], size[by_size]
+        state = np.where(place[begin] == 0, self.first, 0)
+        inner = np.flatnonzero(place[begin] > 0)
+        for back in range(self.order - 1, 0, -1):
+            _, state[inner] = self.step(state[inner], self.word[begin[inner] - back])
+        for k in range(int(size.max(initial=0))):
+            live = int(np.searchsorted(-size, -k, "left"))  # segments of more than k tokens come first
+            out[begin[:live] + k], state[:live] = self.step(state[:live], self.word[begin[:live] + k])
+        return out
 
 
 def score_documents(docs: DataFrame, train: F.Column, key: str = "doc_id", text: str = "text", order: int = ORDER, spread: float = SPREAD, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row, learning from rows where `train` is true.
 
     Null texts count as empty: one end token. Without training rows all probabilities are those of an unknown token. Rows with
-    one key are scored each by itself. `order` is 2 or 3. Repeated rows lie in one group; other rows are dealt by hash.
+    one key are scored each by itself. `order` is 2 or 3. Repeated rows lie in one group and get equal scores; other rows are dealt
+    by hash. A text of any length lies in one group whole. An empty table gives an empty one; other columns are not read.
     """
     if order not in (2, 3):
         raise ValueError("order must be 2 or 3")
+    ship(docs.sparkSession)
     own = docs.select(F.col(key).alias("_key"), F.coalesce(train, F.lit(False)).alias("_train"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     size = own.agg(F.sum(F.octet_length("_text") + 1).alias("b"), F.count(F.when(F.col("_train"), 1)).alias("docs")).first()
     groups = max(8, -(-(size["b"] or 0) // group_bytes))
-    parts = max(32, groups // 8)
+    parts = max(LEAST_PARTS, groups // 2)
     dealt = own.withColumn("_group", F.pmod(F.xxhash64("_key", "_text"), F.lit(groups)).cast("int"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if got := list(batches):
-            rows = pa.Table.from_batches(got)
-            for group in np.unique(rows["_group"].to_numpy()):
-                some = rows.filter(pc.equal(rows["_group"], pa.scalar(int(group), pa.int32())))
-                for level, part, keys, counts in group_blocks(some["_text"].to_pylist(), some["_train"].to_numpy(zero_copy_only=False), order, parts):
-                    yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([part], pa.int32()), pa.array([int(group)], pa.int32()), pa.array([keys], pa.binary()), pa.array([counts], pa.binary())], BLOCK.fieldNames())
+    def count(rows: pa.Table) -> pa.Table:
+        found = list(zip(*group_blocks(rows["_text"].to_pylist(), rows["_train"].to_numpy(zero_copy_only=False), order, parts), strict=True)) or [()] * 4
+        level, part, keys, counts = (pa.array(x, kind) for x, kind in zip(found, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True))
+        return pa.table({"level": level, "part": part, "group": pa.array([rows["_group"][0].as_py()] * len(level), pa.int32()), "keys": keys, "counts": counts})
 
-    blocks = in_python(dealt.select("_train", "_text", "_group").repartitionById(groups, "_group"), count, BLOCK)
+    blocks = dealt.select("_train", "_text", "_group").groupBy("_group").applyInArrow(of_group(count), BLOCK)
     totals = materialised(blocks.groupBy("level", "part").applyInArrow(of_group(sum_blocks), TOTAL), "counts")
     sums = totals.where("level = 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
     n, v, train_docs = int(sums["n"]), int(sums["v"]), int(size["docs"])
@@ -146,13 +211,11 @@ def score_documents(docs: DataFrame, train: F.Column, key: str = "doc_id", text:
     def score(texts: pa.Table, own_totals: pa.Table) -> pa.Table:
         rows = texts["_text"].to_pylist()
         token, doc = tokens(rows)
-        keys, counts = [], []
         where = {(a, b): c for a, b, c in zip(own_totals["level"].to_pylist(), own_totals["part"].to_pylist(), own_totals["totals"].to_pylist(), strict=True)}
-        for level, grams in enumerate(contexts(token, doc, order)):
-            keys.append(np.unique(grams))
-            counts.append(np.concatenate([np.zeros(0, np.int64), *(tb.unpack_counts(where[level, p]) for p in range(parts) if (level, p) in where)]))
-        known, logs = Automaton(keys, counts, n, v, train_docs, spread).traverse(token, doc, order)
-        base = np.log10((known + 1) / (n + v + 1))
+        counts = [np.concatenate([np.zeros(0, np.int64), *(tb.unpack_counts(where[x]) for x in sorted(where) if x[0] == level)]) for level in range(order)]
+        automaton = Automaton(token, doc, counts, n, v, train_docs, spread)
+        logs, known = automaton.traverse(), automaton.known[automaton.word]
+        base = automaton.empty_log[automaton.word]
         per = lambda x: np.bincount(doc, x, len(rows))
         return pa.table(
             {
