@@ -4,6 +4,9 @@ with benchmark items go, and what is left is packed into sequences.
 Every stage takes (spark, docs, sf_dir) and returns documents with the same columns, the last the pieces of the packing.
 Rows with one doc_id are one document: they stay or go together. Rows with a null doc_id can't be told apart, so only the
 toxicity stage, which looks at each text by itself, removes them.
+
+Only doc_id, text and, where there is one, n_chars mean something to the stages; columns of any other name are carried as they
+are. Texts of any length are read whole, empty tables give empty ones, and of tied copies the smallest doc_id stays.
 """
 
 from __future__ import annotations
@@ -19,11 +22,19 @@ from runledger.llm.common import materialised, table
 NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name like `name` that `docs` doesn't have, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score rejects go; null and empty texts have no hits and stay."""
-    model = registry.toxicity_model(spark, sf_dir)
-    scored = toxicity.scored(docs.withColumn("_read", F.col("text")), model, "_read")
-    return scored.where(F.col("score") < registry.TOXIC_FROM).select(*docs.columns)
+    read, score = _free(docs, "read"), _free(docs, "toxicity")
+    scored = toxicity.scored(docs.withColumn(read, F.col("text")), registry.toxicity_model(spark, sf_dir), read, score)
+    return scored.where(F.col(score) < registry.TOXIC_FROM).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +45,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes that an earlier document holds in a 50-byte string go; a document goes if no word of it is left."""
-    out = suffix_dedup.remove_repeats(docs, decoded=True)
+    """Bytes that an earlier document holds in a 50-byte string go; a document goes if no word of it is left.
+
+    A character that loses some of its bytes goes as a whole, since texts are strings; n_chars is counted again.
+    """
+    carried = F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
+    out = suffix_dedup.remove_repeats(docs.select("doc_id", "text", carried), decoded=True)
     left = (F.size("spans") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]")
-    columns = {"text": F.col("kept").alias("text"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType).alias("n_chars")}
-    return out.where(left).select(*[columns.get(c, F.col(c)) for c in docs.columns])
+    kind = {f.name: f.dataType for f in docs.schema}
+    columns = {"text": F.col("kept"), "n_chars": F.length("kept")}
+    return out.where(left).select(*[(columns[c].cast(kind[c]) if c in columns else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
