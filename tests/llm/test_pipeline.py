@@ -104,6 +104,32 @@ def test_stages_take_empty_tables_and_nulls(spark, folder):
         assert stage(spark, odd, at).count() == 3, name
 
 
+CLASHES = ["score", "features", "kept", "spans", "sequence_id", "shard", "slot", "read", "toxicity", "row", "copy", "root", "_key", "_text", "_group", "hash", "n_bytes", "offset"]
+
+
+def test_stages_carry_columns_of_any_name(spark, folder):
+    at, texts, *_ = folder
+    docs = spark.createDataFrame([(i, t, *[f"{i} {c}" for c in CLASHES]) for i, t in texts.items()], ", ".join(["doc_id long", "text string", *[f"{c} string" for c in CLASHES]]))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, at)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(r[c] == f"{r['doc_id']} {c}" for r in got for c in CLASHES), name
+    assert corpus_pipeline.pack(spark, docs, at).count() >= len(texts)
+
+
+@pytest.mark.parametrize("name", sorted(n for n in registry.QUERIES if n not in registry.ORACLE_SQL))
+def test_queries_without_sql_run(spark, folder, name):
+    if name == "op4_chat":
+        at = folder[0]
+        spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", None)], "conv_id long, turn long, role string, text string").write.mode("overwrite").parquet(f"{at}/conversations.parquet")
+        got = {r["conv_id"]: r["n_turns"] for r in registry.QUERIES[name](spark, at).collect()}
+        assert got == {1: 2, 2: 1, -7: 2}
+    else:
+        got = [r["doc_id"] for r in registry.QUERIES[name](spark, folder[0]).collect()]
+        assert set(got) == set(folder[1]) and (name == "op1_packing" or len(got) == len(folder[1]))
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_equals_duckdb(spark, folder, name):
     import duckdb
