@@ -6,7 +6,8 @@ suffix filters, and each pair that passes is verified once, on whole sets of 64-
 
 The suffix filter bounds how much two sets differ beyond what the matching place tells: every set has a bitmap of parities
 (bit b is flipped by each shingle whose hash begins with b), and sets whose bitmaps differ in d bits differ in d shingles at
-least. It is sharp for sets that are nearly similar, so what a bucket sends on are its links and few pairs more.
+least. It is sharp for sets that are nearly similar, so what a bucket sends on are its links and few pairs more. Long sets fill
+a bitmap; for those the counts of shingles in more ranges bound the difference of each pair once more, before any set is moved.
 
 A shingle that many texts share doesn't make all their pairs. First every bucket compares its members with its most central
 one, the one with the fewest rarer shingles, in one pass over the sorted bucket; texts that turn out similar become one
@@ -35,6 +36,8 @@ SHINGLE, PERCENT = 3, 90
 SKETCH_BITS, CHUNK = 18, 4096
 #: Bits of the filter of texts to compare, and of a set's bitmap of parities (2 ** PARITY_BITS bits in longs).
 FILTER_BITS, PARITY_BITS = 24, 9
+#: Sets of more shingles than this are long; ranges that their shingles are counted in, up to 255 a range.
+LONG, RANGE_BITS = 1000, 10
 PARITIES = [f"p{i}" for i in range((1 << PARITY_BITS) // 64)]
 
 
@@ -77,6 +80,22 @@ def parities(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(counts & 1, axis=1).view(np.int64)
 
 
+def range_counts(shingles: np.ndarray) -> bytes | None:
+    """How many of a long set's shingles lie in each of 2 ** RANGE_BITS equal ranges, a byte each; None for other sets."""
+    if len(shingles) <= LONG:
+        return None
+    first = (shingles >> np.uint64(64 - RANGE_BITS)).astype(np.int64)
+    return np.bincount(first, minlength=1 << RANGE_BITS).clip(max=255).astype(np.uint8).tobytes()
+
+
+def may_be_similar(a: bytes | None, b: bytes | None, n_a: int, n_b: int, percent: int = PERCENT) -> bool:
+    """False if the counts of two long sets show that they are not similar."""
+    if a is None or b is None:
+        return True
+    apart = np.abs(np.frombuffer(a, np.uint8).astype(np.int16) - np.frombuffer(b, np.uint8)).sum()
+    return apart <= n_a + n_b - 2 * -(-percent * (n_a + n_b) // (100 + percent))
+
+
 def compare(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """True if two sorted sets are similar."""
     return similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), percent)
@@ -84,7 +103,7 @@ def compare(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 def _describe(docs: DataFrame, size: int) -> DataFrame:
     """Rows of kind 0: key, class name, its first eight bytes, set size, parities; of kind 1: a chunk of a partition's sketch."""
-    fields = [("kind", T.IntegerType()), ("_key", docs.schema["_key"].dataType), ("name", T.BinaryType()), ("class", T.LongType()), ("n", T.LongType()), *((p, T.LongType()) for p in PARITIES), ("chunk", T.IntegerType()), ("counts", T.BinaryType())]
+    fields = [("kind", T.IntegerType()), ("_key", docs.schema["_key"].dataType), ("name", T.BinaryType()), ("class", T.LongType()), ("n", T.LongType()), *((p, T.LongType()) for p in PARITIES), ("ranges", T.BinaryType()), ("chunk", T.IntegerType()), ("counts", T.BinaryType())]
     schema = T.StructType([T.StructField(*f) for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +117,7 @@ def _describe(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([0] * n, pa.int32()), batch.column(0).slice(at, n), pa.array(names, pa.binary()), pa.array(map(_class, names), pa.int64()), pa.array(map(len, sets), pa.int64()),
-                        *(pa.array(p) for p in np.ascontiguousarray(parities(sets).T)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+                        *(pa.array(p) for p in np.ascontiguousarray(parities(sets).T)), pa.array(map(range_counts, sets), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
                     ],
                     schema.fieldNames(),
                 )
@@ -107,7 +126,7 @@ def _describe(docs: DataFrame, size: int) -> DataFrame:
             counts = [tb.pack_counts(c) for c in sketch.reshape(n, CHUNK)]
             none = pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([1] * n, pa.int32()), pa.nulls(n, kind), pa.nulls(n, pa.binary()), none, none, *[none] * len(PARITIES), pa.array(range(n), pa.int32()), pa.array(counts, pa.binary())],
+                [pa.array([1] * n, pa.int32()), pa.nulls(n, kind), pa.nulls(n, pa.binary()), none, none, *[none] * len(PARITIES), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(counts, pa.binary())],
                 schema.fieldNames(),
             )
 
@@ -177,6 +196,21 @@ def _bits(keys: DataFrame) -> np.ndarray:
     return out
 
 
+def _plausible(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) without those whose range counts, where both have some in `wide`, show that they are not similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                keep = [may_be_similar(*x, percent) for x in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
+                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda s: wide.select(F.col("_key").alias(s), F.col("ranges").alias(f"ranges_{s}"), F.col("n").alias(f"n_{s}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return in_python(both.select("a", "b", "ranges_a", "ranges_b", "n_a", "n_b"), run, pairs.schema)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar."""
 
@@ -224,7 +258,7 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     sketch = np.zeros((1 << SKETCH_BITS) // CHUNK * CHUNK, np.int64)
     for r in chunks:
         sketch[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = tb.unpack_counts(bytes(r["counts"]))
-    firsts = [F.first(c).alias(c) for c in ("class", "n", *PARITIES)]
+    firsts = [F.first(c).alias(c) for c in ("class", "n", *PARITIES, "ranges")]
     classes = materialised(described.where("kind = 0 AND n > 0").groupBy("name").agg(F.min("_key").alias("_key"), *firsts), "classes")
 
     # of a bucket, only members with a neighbour in the order of sizes that passes the length filter
@@ -236,12 +270,14 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     by_class = classes.where("_key IS NOT NULL").select("_key", "class", *PARITIES)
     shared = materialised(members.join(by_class, "class").select("token", "_key", "n", "place", *PARITIES), "shared")
 
+    wide = classes.where("ranges IS NOT NULL").select("_key", "ranges", "n")
     kind = docs.schema[key].dataType
     none = spark.createDataFrame([], T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
     tried, found = none, none.select(F.col("a").alias("v"), F.col("b").alias("root"))
 
     def linked(pairs: DataFrame, found: DataFrame) -> DataFrame:
         """(v, root) of the components of `found` and of the similar ones of `pairs`."""
+        pairs = materialised(_plausible(pairs, wide, percent), "plausible")
         if pairs.isEmpty():
             return found
         sets = _sets(own, _bits(pairs.select(F.col("a").alias("_key")).union(pairs.select("b"))), size)

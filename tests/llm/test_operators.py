@@ -174,6 +174,19 @@ def test_similar_components(docs, nothing, rows, leaders):
     assert ngram_join.similar_components(nothing).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_filters_never_lose_a_link(seed):
+    draw = np.random.default_rng(seed)
+    for n, changed in ((30, 2), (300, 10), (1500, 70), (1500, 85), (6000, 300), (70000, 3000)):
+        a = np.unique(draw.integers(0, 2**64, n, np.uint64))
+        b = np.unique(np.concatenate((a[changed:], draw.integers(0, 2**64, changed, np.uint64))))
+        apart = sum(int(x).bit_count() for x in np.bitwise_xor(*ngram_join.parities([a, b])).view(np.uint64))
+        least = -(-90 * (len(a) + len(b)) // 190)
+        plausible = ngram_join.may_be_similar(ngram_join.range_counts(a), ngram_join.range_counts(b), len(a), len(b))
+        assert apart <= 2 * changed and (plausible and apart <= len(a) + len(b) - 2 * least or not ngram_join.compare(a, b))
+    assert not ngram_join.may_be_similar(ngram_join.range_counts(a[:20000]), ngram_join.range_counts(a[20000:40000]), 20000, 20000)
+
+
 def test_null_keys_take_part(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = spark.createDataFrame([(None, text), (3, text), (2, text + " w"), (2, text + " w"), (9, None)], "doc_id long, text string")
