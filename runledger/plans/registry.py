@@ -127,12 +127,12 @@ def record_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "neighbourhood",
     """SELECT a.conv_id, a.turn AS anchor_position, b.turn, b.role FROM conversations a JOIN conversations b
-        ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 2 AND a.turn + 1 WHERE a.role = 'assistant' AND a.conv_id % 10 = 3""",
+        ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 2 AND a.turn + 1 WHERE a.role = 'assistant'""",
 )
 def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two turns before and one after the agent turns of some conversations."""
+    """Two turns before and one after every agent turn."""
     rows = _turns(spark, sf_dir).select("conv_id", "turn", "role")
-    anchors = rows.where((F.col("role") == "assistant") & (F.col("conv_id") % 10 == 3))
+    anchors = rows.where("role = 'assistant'")
     return spine.neighbourhood(rows, anchors, ["conv_id"], "turn", 2, 1).select("conv_id", "anchor_position", "turn", "role")
 
 
@@ -151,14 +151,13 @@ def duration_over(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "bounded_text",
-    """SELECT doc_id, substr(text, 1, 64) AS prefix, CAST(strlen(text) AS BIGINT) AS full_bytes, strlen(text) <= 64 AS complete
-        FROM documents WHERE strlen(text) = length(text)""",
+    """SELECT doc_id, substr(text, 1, list_max(list_filter(range(65), lambda k: strlen(substr(text, 1, k)) <= 64))) AS prefix,
+        CAST(strlen(text) AS BIGINT) AS full_bytes, strlen(text) <= 64 AS complete FROM documents""",
 )
 def bounded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bounded prefixes of ASCII documents."""
+    """Prefixes of all documents of at most 64 bytes, cut between characters."""
     t = F.col("text")
-    rows = table(spark, sf_dir, "documents").where(F.octet_length(t) == F.length(t))
-    return rows.select("doc_id", text.bounded_prefix(t, 64).alias("prefix"), text.utf8_bytes(t).alias("full_bytes"), text.is_complete(t, 64).alias("complete"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.bounded_prefix(t, 64).alias("prefix"), text.utf8_bytes(t).alias("full_bytes"), text.is_complete(t, 64).alias("complete"))
 
 
 @query("bounded_bytes")
@@ -287,13 +286,12 @@ def injection_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "tagged_value",
-    "SELECT doc_id, trim(substr(text, 1, 20)) AS value FROM documents WHERE NOT contains(text, '<')",
+    "SELECT doc_id, trim(split_part(text, '</task-id>', 1)) AS value FROM documents",
 )
 def tagged_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The value of a tag inside a text."""
-    rows = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("<")))
-    wrapped = F.concat(F.lit("x<task-id>"), F.substring("text", 1, 20), F.lit("</task-id>y<task-id>z</task-id>"))
-    return rows.select("doc_id", text.tagged_value(wrapped, "task-id").alias("value"))
+    """The value of a tag that holds a whole text."""
+    wrapped = F.concat(F.lit("x<task-id>"), F.col("text"), F.lit("</task-id>y<task-id>z</task-id>"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.tagged_value(wrapped, "task-id").alias("value"))
 
 
 # --- links, snapshots, coverage ---
@@ -346,12 +344,12 @@ def usage_last_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "null_poison_sum",
-    "SELECT source, CASE WHEN count(quality) = count(*) THEN CAST(sum(quality) AS BIGINT) END AS total FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 3 = 0 GROUP BY source",
+    "SELECT source, lang, CASE WHEN count(quality) = count(*) THEN CAST(sum(quality) AS BIGINT) END AS total, count(quality) AS known FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source, lang",
 )
 def null_poison_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One unknown part makes a sum unknown."""
-    rows = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return rows.groupBy("source").agg(aggregates.null_poisoned_sum(F.col("quality")).cast("long").alias("total"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return rows.groupBy("source", "lang").agg(aggregates.null_poisoned_sum(F.col("quality")).cast("long").alias("total"), F.count("quality").alias("known"))
 
 
 @query(

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runledger.functions import classify, terms, text, times
-from runledger.plans import registry, runner
+from runledger.plans import registry, runner, trace_queries  # noqa: F401  (it adds its queries)
 
 DATA = "/root/testdata/sf0.001"
 
@@ -16,13 +16,13 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize(
     ("given", "ms"),
     [
-        ("1970-01-02T00:00:00Z", 86_400_000),
-        ("2024-02-29t12:00:00.9999+01:00", 1_709_204_400_999),
-        ("2016-12-31 23:59:60Z", 1_483_228_799_000),
-        ("2026-02-29T00:00:00Z", None),
-        ("2026-09-07T13:40:00+24:00", None),
-        ("2026-09-07T13:40:00.Z", None),
-        ("2026-09-07", None),
+        ("1999-03-04T05:06:07Z", 920_523_967_000),
+        ("2020-02-29t23:30:00.1239+02:30", 1_583_010_000_123),
+        ("2012-06-30 23:59:60Z", 1_341_100_799_000),
+        ("2023-02-29T08:00:00Z", None),
+        ("2021-11-05T07:15:00+24:00", None),
+        ("2021-11-05T07:15:00.Z", None),
+        ("2021-11-05", None),
     ],
 )
 def test_instants(spark, given, ms):
@@ -31,10 +31,10 @@ def test_instants(spark, given, ms):
 
 
 def test_terms_and_queries():
-    assert terms.terms("parseTimestampMs") == ["parsetimestampms", "parse", "timestamp", "ms"]
-    assert terms.terms("HTTPServer") == ["httpserver", "http", "server"]
-    assert terms.terms("智能体使用 x") == ["智能", "能体", "体使", "使用"]
-    assert terms.search_query("SQLite 索引 src/schema_v4.rs") == [["sqlite"], ["索引"], ["src"], ["schema_v4"], ["rs"]]
+    assert terms.terms("loadRowCount") == ["loadrowcount", "load", "row", "count"]
+    assert terms.terms("XMLFeed") == ["xmlfeed", "xml", "feed"]
+    assert terms.terms("数据流水线 y") == ["数据", "据流", "流水", "水线"]
+    assert terms.search_query("DuckDB 表格 lib/plan_v2.py") == [["duckdb"], ["表格"], ["lib"], ["plan_v2"], ["py"]]
     with pytest.raises(ValueError):
         terms.search_query(" -> ")
     with pytest.raises(ValueError):
@@ -89,3 +89,40 @@ def test_query_equals_duckdb(spark, duck, name):
     own = sorted(map(repr, (tuple(r[c] for c in columns) for r in df.collect())))
     at = [theirs.columns.index(c) for c in columns]
     assert own == sorted(map(repr, (tuple(r[i] for i in at) for r in theirs.fetchall())))
+
+
+def _terms_by_character(given):
+    """The terms of a text, read character by character."""
+    kind = lambda c: "pair" if any(a <= c <= b for a, b in zip(terms.PAIRED[::3], terms.PAIRED[2::3], strict=True)) else "name" if c == "_" or c.isascii() and c.isalnum() else "word" if c.isalnum() and not c.isdecimal() else ""
+    out, i = [], 0
+    while i < len(given):
+        k, j = kind(given[i]), i + 1
+        while j < len(given) and k and (kind(given[j]) == k or k == "word" and given[j].isascii() and given[j].isalpha()):
+            j += 1
+        run, i = given[i:j], j
+        if k == "pair":
+            out += [run[n : n + 2] for n in range(len(run) - 1)]
+        elif k == "word" and len(run.lower()) >= 2:
+            out.append(run.lower())
+        elif k == "name":
+            parts, now = [], ""
+            for n, c in enumerate(run):
+                before, after = run[n - 1 : n] if n else "", run[n + 1 : n + 2]
+                cut = c == "_" or c.isdigit() != before.isdigit() or before == "_" or before.islower() and c.isupper() or before.isupper() and c.isupper() and after.islower()
+                if cut and now:
+                    parts, now = [*parts, now], ""
+                now += c if c != "_" else ""
+            parts += [now] if now else []
+            out += [x for x in (run.lower(), *(p.lower() for p in parts if p.lower() != run.lower())) if len(x) >= 2]
+    return out
+
+
+def test_mixed_terms_of_whole_documents(spark, tmp_path):
+    odd = ["loadRowCount XMLFeed v2_max 数据流水线caféNoir ΑΒγ x², _a_ 12ab3", None, "", "한국어 カタカナ A1B2c3"]
+    prose = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    rows = list(enumerate([*odd, *prose]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["terms"], r["distinct_terms"]) for r in registry.QUERIES["mixed_terms"](spark, str(tmp_path)).collect()}
+    expected = {i: _terms_by_character(x or "") for i, x in rows}
+    assert terms.terms(odd[0]) == expected[0] and terms.terms(odd[3]) == expected[3]
+    assert got == {i: (len(x), len(set(x))) for i, x in expected.items()}
