@@ -308,7 +308,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", gro
     named = long_.groupBy("_name").agg(F.min("_key").alias("_least"), F.max("_key").alias("_most")).where("_least < _most")
     copies = materialised(long_.join(named.select("_name", "_least"), "_name").where("_key > _least").select(F.col("_key"), "_name").withColumn("grp", grp), "copies")
 
-    kept_types = T.StructType([T.StructField(f.name, f.dataType) for f in own.schema["_rest"].dataType])
+    kept_types = own.schema["_rest"].dataType  # as it is, since Arrow tells columns without nulls apart
     inner = T.StructType([T.StructField("_key", T.LongType()), T.StructField("_text", T.StringType()), T.StructField("_rest", kept_types), T.StructField("copy", T.BooleanType()), T.StructField("grp", T.IntegerType())])
 
     def mark(rows: pa.Table, gone: pa.Table) -> pa.Table:
@@ -358,7 +358,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", gro
 
     gathered = table.select("_key", "_text", "copy", "grp").groupBy("grp").cogroup(flags.groupBy("grp")).applyInArrow(of_groups(gather), _BLOCK)
     answers = materialised(gathered.groupBy("part").applyInArrow(of_group(_decide_blocks), _ANSWER), "answers")
-    result = T.StructType([T.StructField("_key", T.LongType()), T.StructField("_rest", kept_types), T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.StringType() if decoded else T.BinaryType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
+    result = T.StructType([T.StructField("_key", T.LongType()), T.StructField("_rest", table.schema["_rest"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.StringType() if decoded else T.BinaryType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def apply(rows: pa.Table, side: pa.Table) -> pa.Table:
