@@ -62,7 +62,7 @@ def trigram_query(literal: str) -> list[str]:
 
 def words(text: Column) -> Column:
     """Lower-cased ASCII words of two characters at least, in order."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9_]+)"), F.lit(1)), lambda w: F.length(w) >= 2)
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9_]{2,})"), F.lit(1))
 
 
 def tagged_value(text: Column, tag: str) -> Column:

@@ -160,7 +160,7 @@ def bounded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.bounded_prefix(t, 64).alias("prefix"), text.utf8_bytes(t).alias("full_bytes"), text.is_complete(t, 64).alias("complete"))
 
 
-@query("bounded_bytes")
+@query("bounded_bytes", "SELECT doc_id, substr(text, 1, list_max(list_filter(range(102), lambda k: strlen(substr(text, 1, k)) <= 101))) AS prefix FROM documents")
 def bounded_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounded prefixes of all documents, cut at a character's start."""
     return table(spark, sf_dir, "documents").select("doc_id", text.bounded_prefix(F.col("text"), 101).alias("prefix"))
@@ -193,10 +193,9 @@ _LITERALS = ("the th", "queau", "heitlich")
     "SELECT doc_id, instr(lower(text), 'heitlich') AS place FROM documents WHERE instr(lower(text), 'heitlich') > 0",
 )
 def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates by trigram, then the exact check on the candidates' texts."""
+    """Candidates by trigram, then the exact check on the candidates' texts; documents have no postings, so both in one scan."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = search.gram_candidates(search.gram_postings(docs, "doc_id"), "heitlich", "doc_id")
-    rows = docs.join(found, "doc_id", "left_semi").where(search.confirmed(F.col("text"), "heitlich", fold=True))
+    rows = docs.where(search.holds_grams(F.col("text"), "heitlich") & search.confirmed(F.col("text"), "heitlich", fold=True))
     return rows.select("doc_id", F.instr(F.lower("text"), "heitlich").cast("long").alias("place"))
 
 
@@ -212,8 +211,7 @@ def _grams_sql(x: str) -> str:
 )
 def trigram_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many items and sessions each anchor recalls."""
-    docs = table(spark, sf_dir, "documents")
-    return search.density(search.gram_postings(docs, "doc_id"), docs, list(_LITERALS), "doc_id", "source")
+    return search.scanned_density(table(spark, sf_dir, "documents"), list(_LITERALS), "doc_id", "source")
 
 
 _TERMS_SQL = """t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda w: length(w) >= 2) AS ws FROM documents),
@@ -227,10 +225,9 @@ def term_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("term").agg(F.count("*").alias("uses"), F.count_distinct("doc_id").alias("docs")).where("uses > 5")
 
 
-def _term_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, float]:
+def _term_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), text.words(F.col("text")).alias("terms"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean")).first()
-    return search.term_postings(docs, F.col("terms")), stats["n"], stats["mean"]
+    return search.term_postings(docs, F.col("terms"))
 
 
 @query(
@@ -243,8 +240,9 @@ def _term_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, float
 )
 def term_search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that hold two terms, ranked."""
-    postings, n, mean = _term_index(spark, sf_dir)
-    return search.ranked(postings, "with only", n, mean).select("item_id", F.round("score", 6).alias("score"))
+    words = F.regexp_count(F.lower("text"), F.lit("[a-z0-9_]{2,}"))
+    stats = table(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.avg(words).alias("mean")).first()
+    return search.ranked(_term_index(spark, sf_dir), "with only", stats["n"], stats["mean"] or 1.0).select("item_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -254,8 +252,7 @@ def term_search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def phrase_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items in which two terms follow each other."""
-    postings, _, _ = _term_index(spark, sf_dir)
-    return search.phrase_hits(postings, ["of", "the"]).select("item_id", "hits")
+    return search.phrase_hits(_term_index(spark, sf_dir), [["of", "the"]]).select("item_id", "hits")
 
 
 def _tags_sql() -> str:

@@ -22,17 +22,27 @@ FUNCTIONS = (
     "json_each(j STRING) RETURNS TABLE (value STRING) RETURN SELECT explode(from_json(j, 'array<string>'))",
     """item_search(q ARRAY<STRING>) RETURNS TABLE (rowid BIGINT) RETURN
        SELECT item_id FROM item_search WHERE array_contains(q, gram) GROUP BY item_id HAVING count(DISTINCT gram) = max(size(array_distinct(q)))""",
+    "item_search_totals() RETURNS TABLE (total BIGINT, mean DOUBLE) RETURN SELECT count(*), avg(item_terms) FROM item_term_counts",
     """item_search_terms(q ARRAY<ARRAY<STRING>>) RETURNS TABLE (rowid BIGINT, score DOUBLE) RETURN
        WITH t AS (SELECT phrase_no, size(phrase) AS n, off, term FROM (SELECT posexplode(q) AS (phrase_no, phrase)) LATERAL VIEW posexplode(phrase) AS off, term),
        h AS (SELECT item_id, item_terms, phrase_no, n, off, explode(positions) AS at FROM item_search_terms JOIN t USING (term)),
        s AS (SELECT item_id, item_terms, phrase_no, at - off AS start FROM h GROUP BY item_id, item_terms, phrase_no, at - off, n HAVING count(DISTINCT off) = n),
        f AS (SELECT item_id, item_terms, phrase_no, count(*) AS f FROM s GROUP BY item_id, item_terms, phrase_no),
        d AS (SELECT phrase_no, count(*) AS df FROM f GROUP BY phrase_no),
-       a AS (SELECT count(*) AS total, avg(item_terms) AS mean FROM (SELECT DISTINCT item_id, item_terms FROM item_search_terms))
+       a AS (SELECT count(*) AS total, avg(item_terms) AS mean FROM item_term_counts)
        SELECT item_id, sum(-greatest(ln((total - df + 0.5D) / (df + 0.5D)), 1e-6D) * f * 2.2D / (f + 1.2D * (0.25D + 0.75D * item_terms / mean)))
        FROM f JOIN d USING (phrase_no) CROSS JOIN a GROUP BY item_id HAVING count(*) = max(size(q))""",
 )
 
+#: The two searches with literal grams and terms, which reach the scan of the postings as filters; the functions above take any array.
+_CANDIDATES = "(SELECT item_id AS rowid FROM item_search WHERE gram IN ({grams}) GROUP BY item_id HAVING count(DISTINCT gram) = {n})"
+_RANKED = """(WITH h AS (SELECT item_id, item_terms, p.phrase_no, p.n, explode(transform(positions, x -> x - p.off)) AS start FROM
+         (SELECT item_id, item_terms, positions, explode(filter({places}, q -> q.term = term)) AS p FROM item_search_terms WHERE term IN ({terms}))),
+       f AS (SELECT item_id, item_terms, phrase_no, count(*) AS f FROM (SELECT item_id, item_terms, phrase_no FROM h GROUP BY item_id, item_terms, phrase_no, n, start HAVING count(*) = n) GROUP BY item_id, item_terms, phrase_no),
+       d AS (SELECT phrase_no, count(*) AS df FROM f GROUP BY phrase_no)
+       SELECT item_id AS rowid, sum(-greatest(ln((total - df + 0.5D) / (df + 0.5D)), 1e-6D) * f * 2.2D / (f + 1.2D * (0.25D + 0.75D * item_terms / mean))) AS score
+       FROM f JOIN d USING (phrase_no) CROSS JOIN item_search_totals() GROUP BY item_id HAVING count(*) = {n})"""
+
 
 def register(spark: SparkSession) -> None:
     """Creates the functions for this session; the relations that they read must exist."""
@@ -48,6 +58,18 @@ def _array(values: list[str]) -> str:
     return f"array({', '.join(map(_literal, values))})"
 
 
+def _candidates(text: str) -> str:
+    grams = sorted(set(trigram_query(text)))
+    return _CANDIDATES.format(grams=", ".join(map(_literal, grams)), n=len(grams))
+
+
+def _ranked(text: str) -> str:
+    phrases = [[folded(t) for t in p] for p in search_query(text)]
+    places = [f"named_struct('term', {_literal(t)}, 'phrase_no', {no}, 'off', {off}, 'n', {len(p)})" for no, p in enumerate(phrases) for off, t in enumerate(p)]
+    return _RANKED.format(places=f"array({', '.join(places)})", terms=", ".join(_literal(t) for t in sorted({t for p in phrases for t in p})), n=len(phrases))
+
+
+_SEARCH = re.compile(r"\b(?:item_search\s*\(\s*trigram_query|(item_search_terms)\s*\(\s*search_query)\s*\(\s*'((?:[^']|'')*)'\s*\)\s*\)", re.I)
 _CALL = re.compile(r"\b(trigram_query|search_query)\s*\(\s*'((?:[^']|'')*)'\s*\)", re.I)
 _SPELLINGS = (
     (re.compile(r"\bAS\s+(?:NOT\s+)?MATERIALIZED\b", re.I), "AS"),
@@ -72,6 +94,7 @@ def rewrite(sql: str) -> str:
             return _array(trigram_query(text))
         return f"array({', '.join(_array([folded(t) for t in phrase]) for phrase in search_query(text))})"
 
+    sql = _SEARCH.sub(lambda m: (_ranked if m[1] else _candidates)(m[2].replace("''", "'")), sql)
     sql = _CALL.sub(query, sql)
     out, at = [], 0
     kept: list[str] = []

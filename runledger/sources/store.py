@@ -24,11 +24,12 @@ from pyspark.sql import types as T
 from runledger import ship
 from runledger.functions.blake3 import blake3_all, blake3_hex
 from runledger.functions.times import instant_ms
+from runledger.operators import search
 from runledger.sources import framing
 from runledger.sources.model import MOST_TEXT_BYTES, publish
 from runledger.sources.project import PROJECTORS, project
 
-FORMAT = 1
+FORMAT = 2
 SCHEMAS = {
     "records": "source_id long, source_position long, start long, end long, fingerprint string, occurred_at long, native_type string, status string",
     "sessions": "source_id long, runtime string, native_id string, identity long, created_at long, name string, working_directory string, parents array<struct<kind:string,native_id:string,locator:string,record:long>>",
@@ -36,6 +37,12 @@ SCHEMAS = {
     "items": "source_id long, ordinal long, loop long, loop_position long, occurred_at long, records array<long>, role string, evidence_strength string, searchable boolean, value string, tool_name string, blob_hash string, call_ordinal long, child_native_id string, child_kind string",
     "blobs": "source_id long, blob_hash string, text string, full_bytes long, estimated_tokens long",
 }
+#: What searches read, derived from the items and texts of a generation.
+POSTINGS = {
+    "item_grams": "gram string, item_id long, source_id long",
+    "item_terms": "term string, item_id long, item_terms int, positions array<int>, source_id long",
+    "item_term_counts": "item_id long, item_terms int, source_id long",
+}
 _OUT = "source_id long, relation string, body string, error string"
 
 
@@ -228,11 +235,34 @@ def _write(spark: SparkSession, index: str, generation: str, work: list[tuple],
         shape = T.StructType([f for f in T._parse_datatype_string(schema).fields if f.name != "source_id"])
         rows = raw.where(F.col("relation") == name).select("source_id", F.from_json("body", shape).alias("r")).select("source_id", "r.*")
         rows.repartitionByRange(max(1, parallel // 4), "source_id").sortWithinPartitions("source_id").withColumn("generation", F.lit(generation)).write.option("compression", "zstd").parquet(f"file://{os.path.join(index, name, generation)}")
+    _write_postings(spark, index, generation)
     problems = raw.where(F.col("relation").isin("skipped", "failed")).select("source_id", "relation", "error").collect()
     done: dict[int, tuple[str, str | None]] = {s: ("indexed", None) for _, _, s, _, _ in work}
     return done | {r["source_id"]: (r["relation"], r["error"]) for r in problems}
 
 
+def _write_postings(spark: SparkSession, index: str, generation: str) -> None:
+    """Postings of a generation's searchable items.
+
+    They are dealt by ranges of (gram or term, item), so a frequent one spreads over tasks, and sorted, so that a search for a few
+    prunes files and row groups by their bounds.
+    """
+
+    def stored(name: str) -> DataFrame:
+        return spark.read.parquet(f"file://{os.path.join(index, name, generation)}")
+
+    def write(name: str, rows: DataFrame, *order: str) -> None:
+        rows = rows.withColumn("source_id", F.shiftright("item_id", 32)).withColumn("generation", F.lit(generation))
+        at = os.path.join(index, name, generation)
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", "zstd").parquet(f"file://{at}")
+
+    places = stored("items").where("searchable AND blob_hash IS NOT NULL").select("source_id", "blob_hash", (F.shiftleft("source_id", 32) + F.col("ordinal")).alias("item_id"))
+    texts = places.join(stored("blobs").select("source_id", "blob_hash", "text"), ["source_id", "blob_hash"]).select("item_id", "text")
+    write("item_grams", search.gram_postings(texts), "gram", "item_id")
+    write("item_terms", search.term_postings(texts.select("item_id", search.term_list(F.col("text")).alias("terms")), F.col("terms")), "term", "item_id")
+    write("item_term_counts", stored("item_terms").groupBy("item_id").agg(F.first("item_terms").alias("item_terms")), "item_id")
+
+
 def relation(spark: SparkSession, index: str, name: str, manifest: Manifest) -> DataFrame:
     """The rows of a relation that a manifest publishes.
 
@@ -240,7 +270,7 @@ def relation(spark: SparkSession, index: str, name: str, manifest: Manifest) ->
     """
     live = spark.createDataFrame([(c["source_id"], c["generation"]) for c in manifest.sources.values()], "source_id long, generation string")
     paths = [f"file://{os.path.join(index, name, g)}" for g in sorted({c["generation"] for c in manifest.sources.values()})]
-    schema = T._parse_datatype_string(SCHEMAS[name] + ", generation string")
+    schema = T._parse_datatype_string((SCHEMAS | POSTINGS)[name] + ", generation string")
     rows = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
     return rows.join(F.broadcast(live), ["source_id", "generation"]).drop("generation")
 
@@ -251,7 +281,7 @@ def prune(index: str) -> list[str]:
 
     manifest, gone = load(index), []
     live = {c["generation"] for c in manifest.sources.values()}
-    for at in [*glob.glob(os.path.join(glob.escape(index), "raw-*")), *(p for n in SCHEMAS for p in glob.glob(os.path.join(glob.escape(index), n, "*")))]:
+    for at in [*glob.glob(os.path.join(glob.escape(index), "raw-*")), *(p for n in SCHEMAS | POSTINGS for p in glob.glob(os.path.join(glob.escape(index), n, "*")))]:
         if at.rpartition("/")[2] not in live:
             shutil.rmtree(at)
             gone.append(at)

@@ -4,13 +4,10 @@ from __future__ import annotations
 
 import os
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runledger import ship
-from runledger.functions import terms as terms_of
-from runledger.operators import links, search
+from runledger.operators import links
 from runledger.sources import dialect, metadata, store
 
 #: Relations in the order of their declaration, with columns as (name, type, nullable).
@@ -82,7 +79,7 @@ def register(spark: SparkSession, index: str, metadata_path: str | None = None)
         _id("ordinal").alias("item_id"), "session_id", _id("loop").alias("loop_id"), "loop_position", "occurred_at",
         F.to_json(F.transform("records", lambda r: F.col("source_id") * _PLACE + r)).alias("record_ids"), semantic.alias("semantic"), "role", "tool_name", "searchable", blob_id("blob_hash").alias("blob_id"), "runtime",
     )
-    text = full.where("searchable").select("item_id", "blob_id").join(blobs.select("blob_id", "text"), "blob_id")
+    postings = {name: store.relation(spark, index, name, manifest) for name in store.POSTINGS}
     views = {
         "sources": sources,
         "records": part["records"].select(_id("source_position").alias("record_id"), "source_id", "source_position", F.to_json(F.struct("start", "end")).alias("content_range"), "fingerprint", "occurred_at"),
@@ -90,8 +87,9 @@ def register(spark: SparkSession, index: str, metadata_path: str | None = None)
         "loops": loops,
         "items": full.select(*[c for c, _, _ in PUBLIC["items"]]),
         "blobs": blobs,
-        "item_search": search.gram_postings(text),
-        "item_search_terms": search.term_postings(text.select("item_id", term_list(F.col("text")).alias("terms")), F.col("terms")),
+        "item_search": postings["item_grams"].select(*[c for c, _, _ in PUBLIC["item_search"]]),
+        "item_search_terms": postings["item_terms"].select(*[c for c, _, _ in PUBLIC["item_search_terms"]]),
+        "item_term_counts": postings["item_term_counts"].select("item_id", "item_terms"),
         "session_metadata": links.with_metadata(sessions, metadata.table(spark, metadata_path)).select(*[c for c, _, _ in PUBLIC["session_metadata"]]),
         "item_facts": full.drop("semantic", "record_ids"),
     }
@@ -101,17 +99,6 @@ def register(spark: SparkSession, index: str, metadata_path: str | None = None)
     return manifest
 
 
-def term_list(text: F.Column) -> F.Column:
-    """The folded search terms of texts, Arrow batch by batch."""
-    ship(SparkSession.active())
-
-    @F.pandas_udf("array<string>")
-    def listed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [terms_of.folded(x) for x in terms_of.terms(t)])
-
-    return listed(text)
-
-
 def status(spark: SparkSession, index: str) -> dict:
     """Totals, sources whose end isn't complete, and the roles that were observed by runtime. Needs registered views."""
     manifest = store.load(index)

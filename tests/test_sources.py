@@ -277,3 +277,22 @@ def test_output_facts_of_every_line_and_nested_result():
     assert output_facts(["Script completed\nOutput:\n", '{"exit_code": true}', "{broken"]) == {} and output_facts(None) == {}
     long_header = "Chunk ID: 1\n" + "x" * 3000 + "\nProcess exited with code 4\nOutput:\nok"
     assert output_facts(long_header) == {"exit_code": 4, "failed": True}
+
+
+def test_searches_read_the_postings_of_their_grams_and_terms(spark, tmp_path):
+    index, root = str(tmp_path / "index"), tmp_path / "traces"
+    write(root / "one.jsonl", codex_records())
+    store.sync(spark, index, [str(root)])
+    views.register(spark, index)
+    for sql, column in (("SELECT rowid FROM item_search(trigram_query('the bug'))", "gram"), ("SELECT rowid, score FROM item_search_terms(search_query('bug find'))", "term")):
+        df = runner.prepare(spark, sql, set(views.PUBLIC))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert f"In({column}, [" in plan and "MapInPandas" not in plan and "ArrowEvalPython" not in plan
+        assert df.count() == 1
+    whole = spark.sql("SELECT rowid FROM item_search(array('the', 'he ', 'bug'))").collect()  # any array of grams, without the rewriting
+    assert len(whole) == 1
+    by_function = spark.sql("SELECT score FROM item_search_terms(array(array('bug'), array('find')))").first()["score"]
+    assert df.first()["score"] == pytest.approx(by_function)
+    assert runner.prepare(spark, "SELECT rowid FROM item_search_terms(search_query('bug bug')) AS s", set(views.PUBLIC)).count() == 1
+    counts = {r["item_id"]: r["item_terms"] for r in spark.table("item_term_counts").collect()}
+    assert counts == {r["item_id"]: r["item_terms"] for r in spark.sql("SELECT DISTINCT item_id, item_terms FROM item_search_terms").collect()}
