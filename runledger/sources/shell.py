@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from typing import Any
 
 # Fixed limits.
 MOST_STATEMENTS, MOST_FRAGMENTS, DEEPEST = 512, 16, 4
 SHELLS = ("sh", "bash", "zsh", "dash")
-#: Wrappers before a program, with their options that take a value.
-WRAPPERS: dict[str, set[str]] = {"nice": {"-n", "--adjustment"}, "timeout": {"-s", "-k", "--signal", "--kill-after"}, "env": {"-u", "--unset", "-C", "--chdir"}, "nohup": set(), "command": set()}
+#: Wrappers before a program: options that take a value, and a pattern of the options that stand alone. Anything else that looks like an option is not known.
+WRAPPERS: dict[str, tuple[set[str], str]] = {
+    "nice": ({"-n", "--adjustment"}, r"-n.+|--adjustment=.*|-[0-9]+"),
+    "timeout": ({"-s", "-k", "--signal", "--kill-after"}, r"--(signal|kill-after)=.*|--preserve-status|--foreground|-v|--verbose"),
+    "env": ({"-u", "--unset", "-C", "--chdir"}, r"-|-i|--ignore-environment|-0|--null|-v|--debug|--(unset|chdir)=.*"),
+    "nohup": (set(), r"(?!)"),
+    "command": (set(), r"-p"),
+}
 _OPERATORS = ("&&", "||", "|&", ";;", "|", ";", "&", "\n", "(", ")", "{", "}")
 _REDIRECTS = ("&>>", "<<<", "<<-", "&>", ">>", "<<", ">&", "<&", ">|", "<>", ">", "<")
 #: Words that open and close compound commands; they are not programs.
@@ -196,37 +203,65 @@ def _assignment(word: Word) -> bool:
 
 
 def unwrap(words: list[Word]) -> list[list[Word]]:
-    """The invocations in a command: itself, and the programs behind wrappers."""
+    """The invocations in a command: itself, and the programs behind wrappers.
+
+    An option that isn't known may take a value, and a dynamic word may be an option, so what follows them is left alone.
+    """
     out = []
     while words:
         out.append(words)
         name = words[0].text.rpartition("/")[2]
-        if name not in WRAPPERS:
-            break
-        i = 1
-        while i < len(words):
-            if words[i].text == "--":
-                i += 1
-                break
-            if words[i].text in WRAPPERS[name]:
-                i += 2
-            elif words[i].text.startswith("-") or (name == "env" and _assignment(words[i])):
-                i += 1
-            else:
-                break
-        words = words[i + (name == "timeout") :]  # a duration comes before timeout's program
+        start = _behind(name, words) if name in WRAPPERS and words[0].basis != "dynamic" else None
+        words = words[start:] if start is not None else []
     return out
 
 
+def _behind(name: str, words: list[Word]) -> int | None:
+    """The place of the program behind a wrapper, or None where it can't be told."""
+    valued, alone = WRAPPERS[name]
+    i = 1
+    while i < len(words):
+        text = words[i].text
+        if words[i].basis == "dynamic":
+            return None
+        if text == "--":
+            i += 1
+            break
+        if text in valued:
+            i += 2
+        elif re.fullmatch(alone, text) or (name == "env" and not text.startswith("-") and _assignment(words[i])):
+            i += 1
+        elif text.startswith("-"):
+            return None
+        else:
+            break
+    return i + (name == "timeout")  # a duration comes before timeout's program
+
+
 def nested_script(words: list[Word]) -> str | None:
-    """The script of `sh -c script`."""
-    if words and words[0].text.rpartition("/")[2] in SHELLS:
-        for i, w in enumerate(words[1:], 1):
-            if w.text.startswith("-") and not w.text.startswith("--") and "c" in w.text:
-                return words[i + 1].text if i + 1 < len(words) and words[i + 1].basis != "dynamic" else None
-            if not w.text.startswith("-"):
-                break
-    return None
+    """The script of `sh -c script`: the first word behind the options, if one of them is -c; None where an option isn't known."""
+    if not words or words[0].text.rpartition("/")[2] not in SHELLS:
+        return None
+    i, asked = 1, False
+    while i < len(words) and words[i].basis != "dynamic":
+        text = words[i].text
+        if text == "--":
+            i += 1
+            break
+        if text in ("-o", "+o"):
+            i += 2
+        elif text.startswith("--"):
+            i += 1
+        elif re.fullmatch("-[A-Za-z]+", text):
+            asked |= "c" in text
+            i += 1
+        elif text.startswith("-") and text != "-":
+            return None
+        else:
+            break
+    if not asked or i >= len(words) or words[i].basis == "dynamic":
+        return None
+    return words[i].text if words[i].text.strip() else None
 
 
 @dataclass

@@ -296,3 +296,34 @@ def test_searches_read_the_postings_of_their_grams_and_terms(spark, tmp_path):
     assert runner.prepare(spark, "SELECT rowid FROM item_search_terms(search_query('bug bug')) AS s", set(views.PUBLIC)).count() == 1
     counts = {r["item_id"]: r["item_terms"] for r in spark.table("item_term_counts").collect()}
     assert counts == {r["item_id"]: r["item_terms"] for r in spark.sql("SELECT DISTINCT item_id, item_terms FROM item_search_terms").collect()}
+
+
+@pytest.mark.parametrize(
+    ("command", "programs"),
+    [
+        ("nice -12 make all", ["nice", "make"]),
+        ("nice --unheard 3 make", ["nice"]),
+        ("timeout --foreground -k 2 9 env -i HOME=/ make", ["timeout", "env", "make"]),
+        ("timeout -q 5 make", ["timeout"]),
+        ("env -S 'make all'", ["env"]),
+        ("env A=1 -- make", ["env", "make"]),
+        ("nohup -x make", ["nohup"]),
+        ("nohup -- make", ["nohup", "make"]),
+        ("command -p make", ["command", "make"]),
+        ("command -v make", ["command"]),
+        ("env $OPTIONS make", ["env"]),
+        ("timeout 5", ["timeout"]),
+    ],
+)
+def test_programs_behind_wrappers(command, programs):
+    (statement,) = parse_shell(command)[0]["statements"]
+    assert [i["name"] for i in statement["invocations"]] == programs
+
+
+@pytest.mark.parametrize(
+    ("command", "script"),
+    [("bash -o pipefail -c 'make all'", "make all"), ("bash -c -l 'make'", "make"), ("sh --norc -ec 'make'", "make"), ("zsh -c -- 'make'", "make"), ("bash build.sh -c make", None), ("bash -c \"$X\"", None), ("bash -3c make", None), ("sh -c ' '", None)],
+)
+def test_scripts_of_shells(command, script):
+    nested = [f["text"] for f in parse_shell(command)[1:] if "parent" in f]
+    assert nested == ([] if script is None else [script])
