@@ -291,6 +291,21 @@ def tagged_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.tagged_value(wrapped, "task-id").alias("value"))
 
 
+@query("file_paths", "SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN '/' || source || ' é+' || doc_id END AS path FROM documents")
+def file_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of local file URIs; other schemes have none."""
+    scheme = F.element_at(F.array(*map(F.lit, ("file:///", "file:/", "file://localhost/", "https://h/"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    uri = F.concat(scheme, F.col("source"), F.lit("%20%C3%A9+"), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.path_of_uri(uri).alias("path"))
+
+
+@query("complete_arguments", "SELECT event_id, CASE WHEN strlen(props) <= 9 AND event_id % 2 = 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events")
+def complete_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arguments are whole or absent: too long or broken JSON gives null."""
+    given = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.expr("left(props, 6)"))
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(text.complete_or_null(given, 9), "$.k", "bigint").alias("k"))
+
+
 # --- links, snapshots, coverage ---
 
 
@@ -461,6 +476,17 @@ def parent_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.resolve_parents(wanted, sessions, sources).select("session_id", "parent_session_id")
 
 
+@query(
+    "metadata_by_identity",
+    """WITH s AS (SELECT DISTINCT conv_id FROM conversations) SELECT m.doc_id AS native_id, s.conv_id AS session_id, m.quality AS metadata FROM labels m LEFT JOIN s ON s.conv_id = m.doc_id""",
+)
+def metadata_by_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata finds its session by runtime and native id, and stays without one."""
+    sessions = _turns(spark, sf_dir).select(F.col("conv_id").alias("session_id"), F.lit("r").alias("runtime"), F.col("conv_id").alias("native_id")).distinct()
+    given = table(spark, sf_dir, "labels").select(F.lit("r").alias("runtime"), F.col("doc_id").alias("native_id"), F.col("quality").alias("metadata"))
+    return links.with_metadata(sessions, given).select("native_id", "session_id", "metadata")
+
+
 # --- generic relational operators ---
 
 

@@ -183,6 +183,29 @@ def shell_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(rows, run, "event_id long, statement long, program string, connector string, pipeline long, position long, redirects long")
 
 
+@query(
+    "shell_wrappers",
+    """WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+        p AS (SELECT *, ['nice', 'timeout', 'env', 'bash', 'nohup', 'command'][event_id % 6 + 1] AS wrapper FROM e)
+        SELECT event_id, CAST(0 AS BIGINT) AS fragment, CAST(0 AS BIGINT) AS place, wrapper AS program, CAST([4, 4, 3, 4, 2, 2][event_id % 6 + 1] AS BIGINT) AS arguments, 'literal' AS basis FROM p
+        UNION ALL SELECT event_id, 0, 1, event_type, 1, 'quoted' FROM p WHERE event_id % 6 IN (0, 1, 2)
+        UNION ALL SELECT event_id, 1, 0, event_type, 1, 'literal' FROM p WHERE event_id % 6 = 3""",
+)
+def shell_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programs behind wrappers and in scripts of shells; options that aren't known hide the program."""
+
+    def run(event_id: int, kind: str, k: int):
+        command = (
+            f"nice -n {k} '{kind}' {k}", f"timeout --foreground {k} '{kind}' {k}", f"env K={k} '{kind}' {k}", f"bash -o pipefail -c '{kind} {k}'", f"nohup --unheard {kind}", f"command -v {kind}",
+        )[event_id % 6]
+        for n, fragment in enumerate(shell.parse_shell(command)):
+            for place, call in enumerate(fragment["statements"][0]["invocations"]):
+                yield event_id, n, place, call["name"], len(call["arguments"]), call["program"]["basis"]
+
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return _mapped(rows, run, "event_id long, fragment long, place long, program string, arguments long, basis string")
+
+
 @query("blob_identity", "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_doc, CAST(strlen(text) AS BIGINT) AS full_bytes, strlen(text) > 4096 AS cut FROM documents")
 def blob_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blobs by the hash of the whole text, with bounded prefixes."""
