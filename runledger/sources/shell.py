@@ -8,7 +8,9 @@ from typing import Any
 
 # Fixed limits.
 MOST_STATEMENTS, MOST_FRAGMENTS, DEEPEST = 512, 16, 4
-SHELLS = ("sh", "bash", "zsh", "dash")
+#: Programs whose -c scripts are read inside commands, and those that a declared list of arguments may name.
+SHELLS = ("sh", "bash", "zsh")
+DECLARED_SHELLS = (*SHELLS, "dash", "ksh")
 #: Wrappers before a program: options that take a value, and a pattern of the options that stand alone. Anything else that looks like an option is not known.
 WRAPPERS: dict[str, tuple[set[str], str]] = {
     "nice": ({"-n", "--adjustment"}, r"-n.+|--adjustment=.*|-[0-9]+"),
@@ -278,7 +280,7 @@ def _fragment(build: _Build, text: str, language: str, parent: dict[str, int] |
         own["parent"] = parent
     number = len(build.fragments)
     build.fragments.append(own)
-    if language not in (*SHELLS, "shell"):
+    if language not in (*DECLARED_SHELLS, "shell"):
         own["status"] = "partial"
         return
     inner: list[tuple[str, int]] = []
@@ -378,7 +380,7 @@ def declared_command(name: str | None, arguments: Any) -> tuple[str, str] | None
         if isinstance(given, str) and given.strip() and (name or "").lower() in ("bash", "shell", "shell_command", "exec_command", "local_shell", "run_command", "container.exec", "sh"):
             return given, "bash"
         if isinstance(given, list) and given and all(isinstance(x, str) for x in given):
-            if given[0].rpartition("/")[2] in SHELLS and len(given) >= 3 and "c" in given[1].lstrip("-"):
+            if given[0].rpartition("/")[2] in DECLARED_SHELLS and len(given) >= 3 and given[1] in ("-c", "-lc", "-cl"):
                 return given[2], given[0].rpartition("/")[2]
             if (name or "").lower() in ("shell", "local_shell", "container.exec"):
                 import shlex

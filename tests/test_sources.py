@@ -327,3 +327,31 @@ def test_programs_behind_wrappers(command, programs):
 def test_scripts_of_shells(command, script):
     nested = [f["text"] for f in parse_shell(command)[1:] if "parent" in f]
     assert nested == ([] if script is None else [script])
+
+
+def test_a_request_before_its_task_is_carried_into_the_new_loop():
+    say = lambda text: ("event_msg", {"type": "user_message", "message": text})
+    given = [
+        ("session_meta", {"id": "s-2", "timestamp": AT.format(0)}),
+        ("event_msg", {"type": "task_started", "turn_id": "t-1"}),
+        ("turn_context", {"turn_id": "t-1", "model": "m"}),
+        say("first"),
+        ("event_msg", {"type": "agent_message", "message": "answer"}),
+        say("second"),
+        ("turn_context", {"turn_id": "t-2", "model": "m"}),
+        say("third"),
+    ]
+    out = publish(project("codex", "/x.jsonl", as_records([{"type": k, "payload": p, "timestamp": AT.format(i)} for i, (k, p) in enumerate(given)])))
+    assert [(i["role"], i["loop"], i["loop_position"]) for i in out["items"]] == [
+        ("human.request", 0, 0), ("agent.final_answer", 0, 1), ("human.request", 1, 0), ("human.steering", 1, 1),
+    ]
+
+
+def test_results_find_the_loop_of_their_call():
+    call = lambda n, key: {"type": "assistant", "sessionId": "s", "timestamp": AT.format(n), "message": {"id": f"r{n}", "model": "m", "content": [{"type": "tool_use", "id": key, "name": "Bash", "input": {"command": "ls"}}]}}
+    ask = lambda n: {"type": "user", "sessionId": "s", "promptId": f"p{n}", "origin": {"kind": "human"}, "timestamp": AT.format(n), "message": {"role": "user", "content": f"ask {n}"}}
+    result = lambda n, key: {"type": "user", "sessionId": "s", "timestamp": AT.format(n), "message": {"role": "user", "content": [{"type": "tool_result", "tool_use_id": key, "content": f"out {n}"}]}}
+    out = publish(project("claude", "/x.jsonl", as_records([ask(0), call(1, "c-1"), call(2, "c-2"), result(3, "c-2"), result(4, "c-1"), result(5, "unseen")])))
+    outputs = [i for i in out["items"] if i["role"] == "tool.output"]
+    by = {n: i["ordinal"] for n, i in enumerate(out["items"])}
+    assert [i["call_ordinal"] for i in outputs] == [by[2], by[1], None] and {i["loop"] for i in outputs} == {0}
