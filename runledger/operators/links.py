@@ -41,10 +41,16 @@ def with_metadata(sessions: DataFrame, metadata: DataFrame) -> DataFrame:
     return metadata.join(sessions.select("session_id", "runtime", "native_id"), ["runtime", "native_id"], "left")
 
 
-def lineage(spark, edges_view: str, roots_view: str, most_levels: int = 100) -> DataFrame:
-    """(root, id, depth) reachable along parent links, by a recursive common table expression."""
+def lineage(spark, edges_view: str, roots_view: str, most_levels: int | None = None) -> DataFrame:
+    """(root, id, depth) reachable along parent links, by a recursive common table expression.
+
+    No path is longer than the edges are many, which bounds the levels; a cycle ends there with an error. The session's limit of
+    rows of such expressions is lifted, as the result grows with the edges.
+    """
+    levels = spark.table(edges_view).count() + 1 if most_levels is None else most_levels
+    spark.conf.set("spark.sql.cteRecursionRowLimit", -1)
     return spark.sql(
-        f"""WITH RECURSIVE line(root, id, depth) MAX RECURSION LEVEL {most_levels} AS (
+        f"""WITH RECURSIVE line(root, id, depth) MAX RECURSION LEVEL {min(levels, 2**31 - 1)} AS (
               SELECT id, id, 0 FROM {roots_view}
               UNION ALL SELECT line.root, e.id, line.depth + 1 FROM line JOIN {edges_view} e ON e.parent = line.id)
             SELECT root, id, depth FROM line"""

@@ -126,3 +126,12 @@ def test_mixed_terms_of_whole_documents(spark, tmp_path):
     expected = {i: _terms_by_character(x or "") for i, x in rows}
     assert terms.terms(odd[0]) == expected[0] and terms.terms(odd[3]) == expected[3]
     assert got == {i: (len(x), len(set(x))) for i, x in expected.items()}
+
+
+def test_lineage_of_any_depth(spark):
+    from runledger.operators import links
+
+    spark.range(1, 121).selectExpr("id", "id - 1 AS parent").createOrReplaceTempView("_deep_edges")
+    spark.range(0, 1).createOrReplaceTempView("_deep_roots")
+    rows = links.lineage(spark, "_deep_edges", "_deep_roots").collect()
+    assert sorted((r["root"], r["id"], r["depth"]) for r in rows) == [(0, n, n) for n in range(121)]
