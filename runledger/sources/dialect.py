@@ -18,7 +18,8 @@ FUNCTIONS = (
     "blob_text(t STRING) RETURNS STRING RETURN t",
     "unixepoch(t STRING) RETURNS BIGINT RETURN unix_seconds(to_timestamp(t))",
     """strftime(f STRING, t BIGINT, kind STRING DEFAULT 'unixepoch', zone STRING DEFAULT '+00:00') RETURNS STRING RETURN
-       date_format(from_utc_timestamp(timestamp_seconds(t), zone), replace(replace(replace(replace(replace(replace(f, '%Y', 'yyyy'), '%m', 'MM'), '%d', 'dd'), '%H', 'HH'), '%M', 'mm'), '%S', 'ss'))""",
+       date_format(from_utc_timestamp(timestamp_seconds(t), zone), replace(replace(replace(replace(replace(replace(replace(regexp_replace(f, '(?<!%)[A-Za-z]+', "'$0'"),
+         '%Y', 'yyyy'), '%m', 'MM'), '%d', 'dd'), '%H', 'HH'), '%M', 'mm'), '%S', 'ss'), '%j', 'DDD'))""",
     "json_each(j STRING) RETURNS TABLE (value STRING) RETURN SELECT explode(from_json(j, 'array<string>'))",
     """item_search(q ARRAY<STRING>) RETURNS TABLE (rowid BIGINT) RETURN
        SELECT item_id FROM item_search WHERE array_contains(q, gram) GROUP BY item_id HAVING count(DISTINCT gram) = max(size(array_distinct(q)))""",
@@ -51,7 +52,8 @@ def register(spark: SparkSession) -> None:
 
 
 def _literal(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    """A literal without a quote inside, so that `_QUOTED` finds its end."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\u0027") + "'"
 
 
 def _array(values: list[str]) -> str:
@@ -77,7 +79,7 @@ _SPELLINGS = (
     (re.compile(r"\b(JOIN)\s+(json_each)\s*\(", re.I), r"\1 LATERAL \2("),
     (re.compile(r",\s*(json_each)\s*\(", re.I), r", LATERAL \1("),
     (re.compile(r"\bAS\s+BLOB\s*\)", re.I), "AS BINARY)"),
-    (re.compile(r"\bSUM\s*\(\s*([\w.]+\s+IS\s+(?:NOT\s+)?NULL|[\w.]+\s*=\s*\w+)\s*\)", re.I), r"count_if(\1)"),
+    (re.compile(r"\bSUM\s*\(\s*([\w.]+\s+IS\s+(?:NOT\s+)?NULL|[\w.]+\s*=\s*\w+)\s*\)", re.I), r"sum(CAST((\1) AS INT))"),
 )
 _QUOTED = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
 

@@ -355,3 +355,20 @@ def test_results_find_the_loop_of_their_call():
     outputs = [i for i in out["items"] if i["role"] == "tool.output"]
     by = {n: i["ordinal"] for n, i in enumerate(out["items"])}
     assert [i["call_ordinal"] for i in outputs] == [by[2], by[1], None] and {i["loop"] for i in outputs} == {0}
+
+
+def test_spellings_keep_nulls_and_letters(spark):
+    from runledger.sources import dialect
+
+    spark.sql("SELECT 1L AS item_id, 1 AS item_terms, 'a' AS gram, 'a' AS term, array(0) AS positions").createOrReplaceTempView("item_search")
+    for name in ("item_search_terms", "item_term_counts"):
+        spark.table("item_search").createOrReplaceTempView(name)
+    dialect.register(spark)
+    ask = lambda sql: spark.sql(dialect.rewrite(sql)).first().asDict()
+    assert ask("SELECT SUM(x = 1) AS a, SUM(x IS NULL) AS b FROM VALUES (CAST(NULL AS INT)) AS t(x)") == {"a": None, "b": 1}
+    assert ask("SELECT SUM(x = 1) AS a FROM VALUES (1), (1), (2), (NULL) AS t(x)") == {"a": 2}
+    given = "unixepoch('2026-09-07T13:40:05Z'), 'unixepoch'"
+    assert ask(f"SELECT strftime('%Y-%m-%dT%H:%M:%SZ', {given}) AS t, strftime('day %j', {given}, '+01:00') AS d") == {"t": "2026-09-07T13:40:05Z", "d": "day 250"}
+    quoted = dialect.rewrite("WITH c AS MATERIALIZED (SELECT rowid FROM item_search(trigram_query('it''s'))) SELECT SUM(x = 1) AS a FROM c, json_each('[1]') AS w")
+    assert "t\\u0027s" in quoted and "MATERIALIZED" not in quoted and "LATERAL json_each" in quoted
+    assert spark.sql(f"SELECT {dialect._literal(chr(39) + chr(92) + 'a')} AS t").first()["t"] == chr(39) + chr(92) + "a"
