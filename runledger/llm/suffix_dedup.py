@@ -6,7 +6,8 @@ make a run. Minimizers that one document alone has are dropped; the runs of the
 equal runs as one. Where a minimizer has different runs, their texts are joined into one text whose Burrows-Wheeler
 transform is searched breadth first: from the intervals of single bytes, every backward step splits the intervals by one more
 byte, so common prefixes appear by increasing length, and the search stops at 50. What is still undivided then is a class of
-equal windows, and its smallest key decides.
+equal windows, and its smallest key decides. A part is searched by ranges of its minimizers, and a minimizer with more runs than
+a range may hold by ranges of its windows' hashes, so memory follows neither the input nor the most frequent string.
 
 Documents are dealt to groups of some megabytes once and written as a bucketed table; the later passes read it without a
 shuffle. Equal texts are found first and take no part but for the smallest key.
@@ -36,6 +37,8 @@ MOST_BUCKETS = 50_000
 #: Bytes of a composed backward step, and windows that are hashed at a time.
 STRIDE = 7
 SLICE = 1 << 16
+#: Of a part: bytes of runs that are searched at once, minimizers that are sorted at once, and hashes of windows of one minimizer.
+SEARCHED_BYTES, SORTED, HASHED = 2_000_000, 500_000, 2_000_000
 NO_KEY = np.iinfo(np.int64).max
 
 _BLOCK = "part int, grp int, mu binary, n binary, size binary, data binary"
@@ -227,33 +230,140 @@ def _answers(kind: int, blocks: pa.Table, states: list[bytes], masks: list[bytes
     return pa.table({"kind": pa.array([kind] * n, pa.int32()), "part": blocks["part"], "grp": blocks["grp"], "state": pa.array(states, pa.binary()), "mask": pa.array(masks, pa.binary())})
 
 
-def _flag_minimizers(blocks: pa.Table) -> pa.Table:
-    """For the blocks of a part: a bit for each minimizer that two documents have."""
-    keys = [tb.unpack_sorted(x) for x in blocks["mu"].to_pylist()]
-    unique, of = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(of, np.concatenate([tb.unpack_counts(x) for x in blocks["n"].to_pylist()]), len(unique))
-    ends = np.cumsum([len(k) for k in keys])
-    return _answers(0, blocks, [np.packbits(total[of[e - len(k) : e]] >= 2).tobytes() for k, e in zip(keys, ends, strict=True)], [None] * len(keys))
+def _ranges(mu: np.ndarray, weight: np.ndarray, most: int, some: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """The places of `mu` by ranges of its values, in order inside each: ranges of weight `most` at most, or of one value."""
+    some = np.arange(len(mu)) if some is None else some
+    own = mu[some]
+    if weight[some].sum() <= most or own.min() == own.max():
+        yield some
+        return
+    low = own <= own.min() + (own.max() - own.min()) // np.uint64(2)
+    halves = [some[low], some[~low]]
+    del some, own, low
+    while halves:
+        yield from _ranges(mu, weight, most, halves.pop())
+
 
+def _buffers(column: pa.ChunkedArray) -> list[pa.Buffer]:
+    """The binary values of a column, not copied."""
+    return [x.as_buffer() for x in column]
 
-def _decide_blocks(blocks: pa.Table) -> pa.Table:
+
+def _flag_minimizers(blocks: pa.Table, most: int = SORTED) -> pa.Table:
+    """For the blocks of a part: a bit for each minimizer that two documents have."""
+    mu = np.concatenate([tb.unpack_sorted(x) for x in _buffers(blocks["mu"])])
+    counts = [tb.unpack_counts(x).astype(np.uint8) for x in _buffers(blocks["n"])]  # two at most
+    count, ends = np.concatenate(counts), np.cumsum([len(c) for c in counts]).tolist()
+    two = np.zeros(len(mu), bool)
+    for some in _ranges(mu, np.ones(len(mu), np.uint8), most):
+        _, of = np.unique(mu[some], return_inverse=True)
+        two[some] = (np.bincount(of, count[some]) >= 2)[of]
+    return _answers(0, blocks, [np.packbits(two[a:b]).tobytes() for a, b in zip([0, *ends], ends, strict=False)], [None] * len(ends))
+
+
+def _window_hashes(data: np.ndarray, at: int, many: int) -> np.ndarray:
+    """64-bit hashes of the windows from `at` on; `data` has eight bytes more than the windows."""
+    eights = np.ndarray(len(data) - 7, np.uint64, data, strides=(1,))
+    h = tb.mix(eights[at : at + many])
+    for k in (*range(8, LENGTH - 8, 8), LENGTH - 8):
+        h ^= eights[at + k : at + k + many]
+        h = tb.mix(h)
+    return h
+
+
+def _least_owners(text: bytes, at: np.ndarray, owner: np.ndarray, most: int) -> np.ndarray:
+    """For the windows at `at` of the text: the least owner of an equal one. `most` windows are searched at once."""
+    least, offset = [], 0
+    of = np.empty(len(at), np.int64)
+    for a in range(0, len(at), most):
+        some = slice(a, a + most)
+        classes, start = equal_windows([text[i : i + LENGTH] for i in at[some].tolist()])
+        _, of[some] = np.unique(classes[start], return_inverse=True)
+        n = int(of[some].max()) + 1
+        order = np.lexsort((owner[some], of[some]))
+        least.append(a + order[np.searchsorted(of[some][order], np.arange(n))])  # of each class the window of the least owner
+        of[some] += offset
+        offset += n
+    chosen = np.concatenate(least)
+    if len(least) == 1:
+        return owner[chosen][of]
+    wider = most if 2 * len(chosen) <= len(at) else 2 * most  # windows that are all different must be searched at once in the end
+    return _least_owners(text, at[chosen], owner[chosen], wider)[of]
+
+
+def decide_windows(text: bytes, size: np.ndarray, keys: np.ndarray, most: int = HASHED, searched: int = SEARCHED_BYTES) -> np.ndarray:
+    """For runs of `size` bytes that follow each other in the text: True where a window starts that also starts under a smaller key.
+
+    Equal windows meet by hashes, range by range; hashes that occur once are dropped, and the others' windows are searched.
+    """
+    data = np.frombuffer(text + bytes(8), np.uint8)
+    start, n = np.cumsum(size) - size, len(text) - LENGTH + 1
+    change = np.zeros(len(text) + 1, np.int8)
+    change[start] += 1
+    change[start + size - LENGTH + 1] -= 1
+    whole = np.cumsum(change, dtype=np.int8).astype(bool)
+    gone = np.zeros(len(text), bool)
+    ranges = -(-int(whole.sum()) // most)
+    for r in range(ranges):
+        places, hashes = [], []
+        for a in range(0, n, SLICE):
+            many = min(SLICE, n - a)
+            h = _window_hashes(data, a, many)
+            own = np.flatnonzero(whole[a : a + many] & (((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32) == r))
+            places.append(own + a)
+            hashes.append(h[own])
+        at, h = np.concatenate(places), np.concatenate(hashes)
+        order = np.argsort(h)
+        at, h = at[order], h[order]
+        same = h[1:] == h[:-1]
+        again = np.zeros(len(h), bool)
+        again[1:] |= same
+        again[:-1] |= same
+        at, h = at[again], h[again]
+        owner = keys[np.searchsorted(start, at, "right") - 1]
+        borders = np.flatnonzero(np.concatenate((h[1:] != h[:-1], [True]))) + 1  # where the windows of a hash end
+        a, windows = 0, max(1, searched // (LENGTH + 1))
+        while a < len(at):
+            within = borders[(borders > a) & (borders <= a + windows)]
+            b = int(within[-1]) if len(within) else int(borders[np.searchsorted(borders, a, "right")])
+            gone[at[a:b]] = _least_owners(text, at[a:b], owner[a:b], windows) < owner[a:b]
+            a = b
+    return gone
+
+
+def _decide_blocks(blocks: pa.Table, searched: int = SEARCHED_BYTES, most: int = HASHED) -> pa.Table:
     """For the blocks of a part: a state for each run (1: under a smaller key elsewhere, 2: a mask follows) and the masks."""
-    strings, mus, keys, counts = [], [], [], []
-    for mu, n, size, data in zip(*(blocks[c].to_pylist() for c in ("mu", "n", "size", "data")), strict=True):
-        ends = np.cumsum(tb.unpack_counts(size)).tolist()
-        strings += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        mus.append(tb.unpack_sorted(mu))
-        keys.append(tb.unpack_counts(n))
-        counts.append(len(ends))
-    number, owner, masks = decide_runs(strings, np.concatenate(mus), np.concatenate(keys))
-    masked = np.zeros(len(owner), bool)
-    masked[list(masks)] = True
-    states, out, end = [], [], 0
-    for least, n in zip(keys, counts, strict=True):
-        own, end = number[end : end + n], end + n
-        state = np.where(owner[own] < least, 1, np.where(masked[own], 2, 0)).astype(np.uint8)
-        states.append(state.tobytes())
-        out.append(b"".join(masks[i] for i in own[state == 2].tolist()))
+    mus = [tb.unpack_sorted(x) for x in _buffers(blocks["mu"])]
+    ends = np.cumsum([len(m) for m in mus])
+    mu, block = np.concatenate(mus), np.repeat(np.arange(len(mus)), np.diff(ends, prepend=0))
+    keys = np.concatenate([tb.unpack_counts(x) for x in _buffers(blocks["n"])])
+    sizes = [tb.unpack_counts(x) for x in _buffers(blocks["size"])]
+    start, size = np.concatenate([np.cumsum(x) - x for x in sizes]), np.concatenate(sizes)
+    data = [memoryview(x) for x in _buffers(blocks["data"])]
+    del mus, sizes
+    state, mask = np.zeros(len(mu), np.uint8), {}
+    for some in _ranges(mu, size, searched):
+        places = zip(block[some].tolist(), start[some].tolist(), (start[some] + size[some]).tolist(), strict=True)
+        strings = [data[i][a:b].tobytes() for i, a, b in places]
+        if size[some].sum() > searched:  # of one minimizer
+            text = b"".join(strings)
+            del strings
+            gone = decide_windows(text, size[some], keys[some], most, searched)
+            windows_end = np.cumsum(size[some]) - LENGTH + 1
+            for i, a, b in zip(some.tolist(), (np.cumsum(size[some]) - size[some]).tolist(), windows_end.tolist(), strict=True):
+                if gone[a:b].any():
+                    state[i], mask[i] = 2, gone[a:b].tobytes()
+            continue
+        number, owner, masks = decide_runs(strings, mu[some], keys[some])
+        masked = np.zeros(len(owner), bool)
+        masked[list(masks)] = True
+        state[some] = np.where(owner[number] < keys[some], 1, np.where(masked[number], 2, 0))
+        follows = state[some] == 2
+        mask.update(zip(some[follows].tolist(), (masks[k] for k in number[follows].tolist()), strict=True))
+    states, out = [], []
+    for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False):
+        states.append(state[a:b].tobytes())
+        out.append(b"".join(mask[i] for i in (a + np.flatnonzero(state[a:b] == 2)).tolist()))
     return _answers(1, blocks, states, out)
 
 

@@ -3,14 +3,16 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from runledger.llm import chat, components, decontam, langid, lm, ngram_join, packing, quality, registry, sharding, suffix_dedup, toxicity
+from runledger.llm import chat, components, decontam, langid, lm, ngram_join, packing, quality, registry, sharding, suffix_dedup, textblocks, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -246,6 +248,73 @@ def test_repeats_of_one_key_and_of_none(spark):
     assert got == [(-1, text), (4, text), (4, text), (5, "!")]
 
 
+def part_of(runs):
+    """The blocks of a part; runs: (group, minimizer, key, text)."""
+    rows = []
+    for g in sorted({r[0] for r in runs}):
+        own = sorted({(mu, text): key for grp, mu, key, text in runs if grp == g}.items(), key=lambda x: x[0][0])
+        mu, key, size = (np.array(x, np.uint64) for x in zip(*((m, k, len(t)) for (m, t), k in own), strict=True))
+        rows.append({"part": 0, "grp": g, "mu": textblocks.pack_sorted(mu), "n": textblocks.pack_counts(key), "size": textblocks.pack_counts(size), "data": b"".join(t for (_, t), _ in own)})
+    return rows, pa.Table.from_pylist(rows, pa.schema([("part", pa.int32()), ("grp", pa.int32()), *((c, pa.binary()) for c in ("mu", "n", "size", "data"))]))
+
+
+@pytest.mark.parametrize(("searched", "most"), [(10**6, 10**6), (3000, 10**6), (600, 100), (60, 1)])
+def test_parts_are_searched_by_ranges(searched, most):
+    draw = random.Random(6)
+    passages = {mu: bytes(draw.choice(b"abc ") for _ in range(90)) for mu in (7, *(i << 40 for i in range(1, 20)))}
+    runs = []
+    for i in range(400):
+        mu, a = 7 if i % 2 else draw.randrange(1, 20) << 40, draw.randint(0, 30)  # one frequent minimizer
+        text = bytes(draw.choice(b"de") for _ in range(draw.randint(0, 3))) + passages[mu][a : a + draw.randint(50, 60)] + bytes(draw.choice(b"fg") for _ in range(draw.randint(0, 2)))
+        runs.append((i // 50, mu, i * 37 % 101, text))
+    rows, table = part_of(runs)
+    least, found = {}, []
+    for row in rows:
+        ends = np.cumsum(textblocks.unpack_counts(row["size"])).tolist()
+        mu, key = textblocks.unpack_sorted(row["mu"]).tolist(), textblocks.unpack_counts(row["n"]).tolist()
+        found.append([(m, k, row["data"][a:b]) for m, k, a, b in zip(mu, key, [0, *ends], ends, strict=False)])
+    for m, k, text in sum(found, []):
+        for p in range(len(text) - 49):
+            least[m, text[p : p + 50]] = min(k, least.get((m, text[p : p + 50]), k))
+    for own, answer in zip(found, suffix_dedup._decide_blocks(table, searched, most).to_pylist(), strict=True):
+        at = 0
+        for (m, k, text), state in zip(own, answer["state"], strict=True):
+            n = len(text) - 49
+            got = answer["mask"][at : at + n] if state == 2 else bytes([state]) * n
+            at += n * (state == 2)
+            assert list(got) == [least[m, text[p : p + 50]] < k for p in range(n)]
+        assert at == len(answer["mask"])
+
+
+@pytest.mark.parametrize("minimizers", [1, 3000])
+def test_memory_of_a_part(minimizers):
+    draw = np.random.default_rng(3)
+    letters = draw.integers(97, 123, 12_000_000, np.uint8).tobytes()
+    anchors = [letters[i * 24 : i * 24 + 24] for i in range(minimizers)]
+    runs = [(i % 20, i % minimizers << 30, i, letters[i * 70 : i * 70 + 40] + anchors[i % minimizers] + letters[i * 70 + 40 : i * 70 + 70]) for i in range(120_000)]
+    _, table = part_of(runs)
+    del runs
+    tracemalloc.start()
+    suffix_dedup._decide_blocks(table)  # 11 MB of runs
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250_000_000
+
+
+def test_memory_of_flags():
+    draw = np.random.default_rng(3)
+    keys = [np.unique(draw.integers(0, 1 << 48, 20_000, np.uint64)) for _ in range(100)]
+    keys[1::2] = keys[::2]
+    none = pa.nulls(100, pa.binary())
+    table = pa.table({"part": pa.array([0] * 100, pa.int32()), "grp": pa.array(range(100), pa.int32()), "mu": pa.array([textblocks.pack_sorted(k) for k in keys], pa.binary()), "n": pa.array([textblocks.pack_counts(np.ones(len(k))) for k in keys], pa.binary()), "size": none, "data": none})
+    tracemalloc.start()
+    out = suffix_dedup._flag_minimizers(table)  # 2 million minimizers
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(np.unpackbits(np.frombuffer(x, np.uint8))[: len(k)].all() for x, k in zip(out["state"].to_pylist(), keys, strict=True))
+    assert peak < 100_000_000
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_equal_windows(seed):
     draw = random.Random(seed)
