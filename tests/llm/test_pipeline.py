@@ -1,8 +1,11 @@
 """The pipeline against a brute-force version of every stage, and the registered queries on a folder of tables."""
 
+import contextlib
 import random
+import threading
 
 import numpy as np
+import psutil
 import pytest
 
 import corpus_pipeline
@@ -143,3 +146,30 @@ def test_query_equals_duckdb(spark, folder, name):
     assert sorted(theirs.columns) == columns
     places = [theirs.columns.index(c) for c in columns]
     assert sorted(map(repr, (tuple(r[c] for c in columns) for r in df.collect()))) == sorted(map(repr, (tuple(r[i] for i in places) for r in theirs.fetchall())))
+
+
+def test_memory_of_the_repeats_of_one_phrase(spark):
+    draw = np.random.default_rng(8)
+    letters, phrase = draw.integers(97, 123, 120_000 * 70, np.uint8).tobytes().decode(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+-*/=()[]{}<>"
+    rows = [(i, letters[i * 70 : i * 70 + 40] + phrase + letters[i * 70 + 40 : i * 70 + 70], "en") for i in range(120_000)]  # all meet in one part
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    peak, ended = [0], threading.Event()
+
+    def watch():
+        while not ended.wait(0.02):
+            for p in psutil.Process().children(recursive=True):
+                with contextlib.suppress(psutil.Error):
+                    if "python" in p.name():
+                        peak[0] = max(peak[0], p.memory_info().rss)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeats(spark, docs, None).collect()}
+    finally:
+        ended.set()
+        watcher.join()
+    assert len(got) == len(rows) and got[0] == rows[0][1]
+    firsts = {c: next(i for i, t, _ in rows if t[89] == c) for c in "abc"}  # the phrase and one more letter are 50 bytes
+    assert all((phrase in got[i]) == (i == 0) for i in (0, *range(3000, 3050))) and all(got[i].endswith(rows[i][1][-20:]) for i in firsts.values())
+    assert 0 < peak[0] < 600_000_000, peak
