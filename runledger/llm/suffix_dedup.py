@@ -9,8 +9,8 @@ byte, so common prefixes appear by increasing length, and the search stops at 50
 equal windows, and its smallest key decides. A part is searched by ranges of its minimizers, and a minimizer with more runs than
 a range may hold by ranges of its windows' hashes, so memory follows neither the input nor the most frequent string.
 
-Documents are dealt to groups of some megabytes once and written as a bucketed table; the later passes read it without a
-shuffle. Equal texts are found first and take no part but for the smallest key.
+Documents are dealt to groups of some megabytes once and written as a bucketed table, a file for some groups; the later passes
+read it without a shuffle. Equal texts are found first and take no part but for the smallest key.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from runledger.llm.common import materialised, of_group, of_groups, shared_folde
 LENGTH, ANCHOR = 50, 24
 #: Bytes of text in a group, and bits of a minimizer.
 GROUP_BYTES, MINIMIZER_BITS = 4_000_000, 48
-#: Buckets of the table of groups; Spark takes 100,000 at most, and more groups share buckets.
-MOST_BUCKETS = 50_000
+#: Groups that share a bucket of their table, and buckets up to which each group has its own; Spark takes 100,000 buckets at most.
+BUCKET_GROUPS, OWN_BUCKETS, MOST_BUCKETS = 8, 64, 50_000
 #: Bytes of a composed backward step, and windows that are hashed at a time.
 STRIDE = 7
 SLICE = 1 << 16
@@ -52,23 +52,25 @@ def equal_windows(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray,
     """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     start = np.cumsum(sizes + 1) - sizes - 1
-    symbol = np.zeros(int(sizes.sum()) + len(texts), np.int64)
+    symbol = np.zeros(int(sizes.sum()) + len(texts), np.int16)
     inside = np.ones(len(symbol), bool)
     inside[start + sizes] = False
-    symbol[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1  # 0 parts the texts
+    symbol[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int16) + 1  # 0 parts the texts
+    del inside
     order = _sorted_suffixes(symbol, length)
-    n = len(order)
+    n, places = len(order), order.dtype
     transform = symbol[order - 1]  # the symbol before each suffix in order
-    back = np.argsort(transform.astype(np.int16), kind="stable")  # place j holds c X where place back[j] holds X
+    back = np.argsort(transform, kind="stable").astype(places)  # place j holds c X where place back[j] holds X
     first = symbol[order]
     divided = np.ones(n, bool)
     divided[1:] = first[1:] != first[:-1]
+    del symbol, transform, first
     # Every step extends all intervals backward: a border between two places stays undivided as long as the places that they
     # came from lie in one interval. The first steps are of one byte; seven of them composed make the strides that follow.
     stride_back = back
     for _ in range(STRIDE - 1):
         stride_back = back[stride_back]
-    border, reached = np.flatnonzero(~divided), 1
+    border, reached = np.flatnonzero(~divided).astype(places), 1
     while reached < length and len(border):
         stride = STRIDE if STRIDE <= reached and reached + STRIDE <= length else 1
         origin = stride_back if stride > 1 else back
@@ -83,22 +85,30 @@ def equal_windows(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray,
 
 
 def _sorted_suffixes(symbol: np.ndarray, length: int) -> np.ndarray:
-    """The suffixes in the order of their first `length` symbols (0..256)."""
+    """The suffixes in the order of their first `length` symbols (0..256); places have 32 bits as long as they fit."""
     n, known = len(symbol), 7
-    padded = np.concatenate((symbol, np.zeros(known, np.int64)))
+    places = np.int32 if n < 1 << 31 else np.int64
+    padded = np.concatenate((symbol, np.zeros(known, symbol.dtype)))
     key = np.zeros(n, np.int64)
     for k in range(known):
-        key = (key << 9) | padded[k : k + n]
-    order = np.argsort(key)
+        key <<= 9
+        key |= padded[k : k + n]
+    del padded
+    order = np.argsort(key).astype(places)
     while known < length:
-        rank = np.empty(n, np.int64)
+        rank, new = np.empty(n, places), np.zeros(n, bool)
         ranked = key[order]
-        rank[order] = np.cumsum(np.concatenate(([0], ranked[1:] != ranked[:-1])))
+        new[1:] = ranked[1:] != ranked[:-1]
+        del ranked
+        rank[order] = np.cumsum(new, dtype=places)
+        del order
         step = min(known, length - known)
-        further = np.zeros(n, np.int64)
-        further[: n - step] = rank[step:] + 1 if n > step else 0
-        key = rank * (n + 2) + further
-        order = np.argsort(key)
+        key[:] = rank
+        key *= n + 2
+        if n > step:
+            key[: n - step] += rank[step:]
+            key[: n - step] += 1
+        order = np.argsort(key).astype(places)
         known += step
     return order
 
@@ -426,9 +436,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", gro
         copy = [x in names for x in zip(rows["_key"].to_pylist(), rows["_name"].to_pylist(), strict=True)]
         return rows.append_column("copy", pa.array(copy, pa.bool_())).select(["_key", "_text", "_rest", "copy", "grp"])
 
-    dealt = own.withColumn("grp", grp).groupBy("grp").cogroup(copies.groupBy("grp")).applyInArrow(of_groups(mark), inner)
+    # Some groups share a bucket, and both sides are dealt by bucket: one task writes one file, and the passes have as many tasks.
+    # Each file costs processes where Hadoop sets permissions by commands, and the smaller the files the more requests elsewhere.
+    buckets = min(most_buckets, max(min(groups, OWN_BUCKETS), -(-groups // BUCKET_GROUPS)))
+    by_bucket = own.withColumn("grp", grp).repartition(buckets, "grp").groupBy("grp")
+    dealt = by_bucket.cogroup(copies.repartition(buckets, "grp").groupBy("grp")).applyInArrow(of_groups(mark), inner)
     name = f"repeats_{uuid.uuid4().hex}"
-    dealt.write.format("parquet").bucketBy(min(groups, most_buckets), "grp").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    dealt.write.format("parquet").bucketBy(buckets, "grp").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # from the catalog only: the files stay in the shared folder, and `table` knows them
 

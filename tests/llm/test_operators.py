@@ -6,13 +6,14 @@ import re
 import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from runledger.llm import chat, components, decontam, langid, lm, ngram_join, packing, quality, registry, sharding, suffix_dedup, textblocks, toxicity
+from runledger.llm import chat, common, components, decontam, langid, lm, ngram_join, packing, quality, registry, sharding, suffix_dedup, textblocks, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -315,6 +316,35 @@ def test_memory_of_flags():
     assert peak < 100_000_000
 
 
+def test_groups_share_files(spark):
+    draw = random.Random(9)
+    shared = "".join(draw.choice("abcdefgh ") for _ in range(80))
+    rows = [(i, "".join(draw.choice("xyz ") for _ in range(60)) + shared[i % 7 : 70 + i % 5]) for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    at = Path(common.shared_folder(spark).removeprefix("file:"))
+    before = set(at.iterdir())
+    got = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.remove_repeats(docs, group_bytes=200).collect()}  # about 1,000 groups
+    tables = [p for p in set(at.iterdir()) - before if p.name.startswith("repeats_")]
+    assert len(tables) == 1 and 1 < len(list(tables[0].glob("*.parquet"))) <= 200
+    least = {}
+    for i, t in rows:
+        for p in range(len(t) - 49):
+            least.setdefault(t[p : p + 50], i)
+    for i, t in rows:
+        gone = {p + k for p in range(len(t) - 49) if least[t[p : p + 50]] < i for k in range(50)}
+        assert got[i].decode() == "".join(c for p, c in enumerate(t) if p not in gone)
+
+
+def test_memory_of_equal_windows():
+    letters = np.random.default_rng(3).integers(97, 123, 1_500_000, np.uint8).tobytes()
+    texts = [letters[i * 70 : i * 70 + 40] + letters[i % 500 * 24 : i % 500 * 24 + 24] + letters[i * 70 + 40 : i * 70 + 70] for i in range(21_000)]
+    tracemalloc.start()
+    suffix_dedup.equal_windows(texts)  # 2 MB
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_equal_windows(seed):
     draw = random.Random(seed)
