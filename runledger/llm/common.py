@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def release_memory() -> None:
-    """Gives freed memory of this process back to the system, where the C library can: Python workers live on between tasks."""
+    """Gives freed memory of this process back to the system, Arrow's and, where it can, the C library's: Python workers live on
+    between tasks."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
