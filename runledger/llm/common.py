@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
-import ctypes
 import shutil
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger import ship
+from runledger.batched import release_memory
 
 #: White space between words, as Java, Python and RE2 patterns write it.
 WHITE = r"[\x20\x09-\x0D]"
@@ -24,14 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def release_memory() -> None:
-    """Gives freed memory of this process back to the system, Arrow's and, where it can, the C library's: Python workers live on
-    between tasks."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def in_python(df: DataFrame, f, schema) -> DataFrame:
     """`df.mapInArrow(f, schema)`, with this package at hand on the executors."""
     ship(df.sparkSession)

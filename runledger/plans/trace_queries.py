@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger import ship
+from runledger.batched import over_groups
 from runledger.functions import terms
 from runledger.plans.registry import query
 from runledger.sources import evidence, framing, shell
-from runledger.sources.model import bounded_all, publish
+from runledger.sources.model import bounded_all, publish_all
 from runledger.sources.project import project
 from runledger.tables import table
 
@@ -70,29 +71,28 @@ def _antigravity(conv: int, turns: list[tuple[int, str, str]]) -> list[dict]:
 _WRITERS = {"codex": _codex, "claude": _claude, "pi": _pi, "antigravity": _antigravity}
 
 
-def _path(runtime: str, conv: int) -> str:
-    return f"/brain/{conv:08x}-0000-4000-8000-000000000000/.system_generated/logs/transcript.jsonl" if runtime == "antigravity" else f"/traces/{conv}.jsonl"
+def _path(runtime: str, conv: int | None) -> str:
+    return f"/brain/{(conv or 0) % 2**32:08x}-0000-4000-8000-000000000000/.system_generated/logs/transcript.jsonl" if runtime == "antigravity" else f"/traces/{conv}.jsonl"
 
 
 def projected(spark: SparkSession, sf_dir: str, runtime: str) -> DataFrame:
     """The items of all conversations, written, framed and projected as traces of a runtime."""
-    ship(spark)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("turn")
-        conv = int(rows["conv_id"].iloc[0])
-        values = _WRITERS[runtime](conv, list(zip(rows["turn"].tolist(), rows["role"].tolist(), rows["text"].tolist(), strict=True)))
-        data = b"".join(json.dumps(v, ensure_ascii=False).encode() + b"\n" for v in values)
-        records = list(framing.frame(data))
-        if framing.runtime_of(_path(runtime, conv), records[0].value) != runtime:
-            raise ValueError(f"not told as {runtime}")
-        out = publish(project(runtime, _path(runtime, conv), records))
-        sizes = {b["blob_hash"]: b["full_bytes"] for b in out["blobs"]}
-        items = [(conv, n, i["role"], None if i["loop"] is None else i["loop"] + 1, i["loop_position"], sizes.get(i["blob_hash"]), len(i["records"])) for n, i in enumerate(out["items"])]
-        return pd.DataFrame(items, columns=["conv_id", "item", "role", "loop_no", "loop_position", "text_bytes", "witnesses"]).astype({c: "Int64" for c in ("loop_no", "loop_position", "text_bytes")})
+    def run(sources: list[tuple]):
+        sessions = []
+        for conv, turns in sources:
+            data = b"".join(json.dumps(v, ensure_ascii=False).encode() + b"\n" for v in _WRITERS[runtime](conv, turns))
+            records = list(framing.frame(data))
+            if framing.runtime_of(_path(runtime, conv), records[0].value) != runtime:
+                raise ValueError(f"not told as {runtime}")
+            sessions.append(project(runtime, _path(runtime, conv), records))
+        for (conv, _), out in zip(sources, publish_all(sessions), strict=True):
+            sizes = {b["blob_hash"]: b["full_bytes"] for b in out["blobs"]}
+            for n, i in enumerate(out["items"]):
+                yield conv, n, i["role"], None if i["loop"] is None else i["loop"] + 1, i["loop_position"], sizes.get(i["blob_hash"]), len(i["records"])
 
     rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL AND text <> ''").select("conv_id", "turn", "role", "text")
-    return rows.groupBy("conv_id").applyInPandas(run, _ITEMS)
+    return over_groups(rows, "conv_id", "turn", run, _ITEMS)
 
 
 _SPINE = """t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS item, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE text <> ''),
@@ -143,14 +143,14 @@ def projector_antigravity(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte framing: the last line of each source has no end and is no record."""
-    ship(spark)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        data = "\n".join(t.replace("\n", " ") for t in rows.sort_values("turn")["text"]).encode()
-        found = [(int(rows["conv_id"].iloc[0]), r.position, r.start, r.end) for r in framing.frame(data)]
-        return pd.DataFrame(found, columns=["conv_id", "position", "start", "end"])
+    def run(sources: list[tuple]):
+        for conv, turns in sources:
+            for r in framing.frame("\n".join(text.replace("\n", " ") for _, text in turns).encode()):
+                yield conv, r.position, r.start, r.end
 
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").groupBy("conv_id").applyInPandas(run, "conv_id long, position long, start long, end long")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return over_groups(rows, "conv_id", "turn", run, "conv_id long, position long, start long, end long")
 
 
 def _mapped(df: DataFrame, f, schema: str) -> DataFrame:

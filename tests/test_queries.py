@@ -2,13 +2,17 @@
 
 import glob
 import os
+import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from runledger import batched
 from runledger.functions import classify, terms, text, times
 from runledger.plans import registry, runner, trace_queries  # noqa: F401  (it adds its queries)
+from runledger.sources import framing
 
 DATA = "/root/testdata/sf0.001"
 
@@ -91,6 +95,48 @@ def test_query_equals_duckdb(spark, duck, name):
     assert own == sorted(map(repr, (tuple(r[i] for i in at) for r in theirs.fetchall())))
 
 
+RUNTIMES = ["pi"]
+
+
+@pytest.mark.parametrize("runtime", RUNTIMES)
+def test_projector_over_many_and_long_conversations(spark, tmp_path, runtime):
+    """Sources go through the projector together; one that spans Arrow batches stays whole, and a null id is a source too."""
+    draw, long = random.Random(7), {None: 3, -5: 2, 1000: 11_000}
+    role = lambda t: "user" if t % 2 else "assistant" if t else draw.choice(["user", "system"])
+    rows = [(c, t, role(t), "é" * draw.choice([0, 1, 900][t < 2 or t % 2 :]) + f"{c} {t}" * draw.randint(0, 2)) for c in [*range(300), *long] for t in range(long.get(c, 3))]
+    draw.shuffle(rows)
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    df = registry.QUERIES[f"projector_{runtime}"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    theirs = con.sql(registry.ORACLE_SQL[f"projector_{runtime}"])
+    own = sorted(map(repr, (tuple(r[c] for c in theirs.columns) for r in df.collect())))
+    assert own == sorted(map(repr, theirs.fetchall()))
+
+
+def test_slices_of_batches():
+    batch = pa.RecordBatch.from_pydict({"k": [1, 1, None, None, 4, 4, 4], "t": ["ab", None, "", "x" * 500, "é", "b", "c"]})
+    assert [len(s) for s in batched.slices(batch, 150)] == [2, 1, 3, 1]
+    assert [r for s in batched.slices(batch, 150) for r in s] == list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    assert [len(s) for s in batched.slices(batch)] == [7] and list(batched.slices(batch.slice(0, 0))) == [[]]
+
+
+def test_hashes_of_many_sessions_are_mixed_together(monkeypatch):
+    from runledger.functions import blake3
+    from runledger.sources import model, project
+
+    def session(n):
+        records = [framing.Record(i, 0, 0, b"", value=v) for i, v in enumerate(trace_queries._pi(n, [(0, "user", f"ask {n}"), (1, "assistant", "é" * n), (2, "user", "same")]))]
+        return project.project("pi", "/x.jsonl", records)
+
+    sessions = [session(n) for n in range(1, 150)]
+    each = [model.publish(s) for s in sessions]
+    mixed, real = [], blake3._compress
+    monkeypatch.setattr(blake3, "_compress", lambda *a: mixed.append(a[1].shape[1]) or real(*a))
+    assert model.publish_all(sessions) == each
+    assert len(mixed) < 20 and max(mixed) <= blake3.CHUNKS  # a session took 2 calls at least
+
+
 def _terms_by_character(given):
     """The terms of a text, read character by character."""
     kind = lambda c: "pair" if any(a <= c <= b for a, b in zip(terms.PAIRED[::3], terms.PAIRED[2::3], strict=True)) else "name" if c == "_" or c.isascii() and c.isalnum() else "word" if c.isalnum() and not c.isdecimal() else ""
