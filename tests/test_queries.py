@@ -95,7 +95,7 @@ def test_query_equals_duckdb(spark, duck, name):
     assert own == sorted(map(repr, (tuple(r[i] for i in at) for r in theirs.fetchall())))
 
 
-RUNTIMES = ["pi", "claude", "codex"]
+RUNTIMES = ["pi", "claude", "codex", "antigravity"]
 
 
 @pytest.mark.parametrize("runtime", RUNTIMES)
