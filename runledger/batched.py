@@ -48,6 +48,21 @@ def _batch(rows: Iterable[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
+def mapped(df: DataFrame, f: Callable[[list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+    """Rows of `f(rows)` for slices of the rows."""
+    ship(df.sparkSession)
+    out = _arrow(schema)
+
+    def run(batches):
+        for batch in batches:
+            for rows in slices(batch):
+                yield _batch(f(rows), out)
+            del batch, rows  # else they stay while the next one is read
+            release_memory()
+
+    return df.mapInArrow(run, schema)
+
+
 def over_groups(df: DataFrame, key: str, order: str, f: Callable[[list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
     """Rows of `f(groups)` for lists of whole groups (key, rows by `order`, nulls last): up to GROUPS_BYTES of small groups
     together, and one that goes beyond them. Rows don't hold the key."""

@@ -8,12 +8,10 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger import ship
-from runledger.batched import over_groups
+from runledger.batched import mapped, over_groups
 from runledger.functions import terms
 from runledger.plans.registry import query
 from runledger.sources import evidence, framing, shell
@@ -154,15 +152,8 @@ def framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mapped(df: DataFrame, f, schema: str) -> DataFrame:
-    """Rows of `f(*values)` for each row, Arrow batch by batch."""
-    ship(df.sparkSession)
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches):
-        for batch in batches:
-            yield pd.DataFrame([out for row in batch.itertuples(index=False) for out in f(*row)], columns=names)
-
-    return df.mapInPandas(run, schema)
+    """Rows of `f(*values)` for each row."""
+    return mapped(df, lambda rows: (out for row in rows for out in f(*row)), schema)
 
 
 @query(
@@ -210,18 +201,12 @@ def shell_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blob_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blobs by the hash of the whole text, with bounded prefixes."""
 
-    ship(spark)
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                some = batch.iloc[at : at + 500]
-                blobs = bounded_all(some["text"].tolist(), 4096)
-                cut = [len(b["text"].encode()) < b["full_bytes"] for b in blobs]
-                yield pd.DataFrame({"doc_id": some["doc_id"].tolist(), "blob": [b["blob_hash"] for b in blobs], "full_bytes": [b["full_bytes"] for b in blobs], "cut": cut})
+    def run(some: list[tuple]):
+        for (doc_id, _), b in zip(some, bounded_all([text for _, text in some], 4096), strict=True):
+            yield doc_id, b["blob_hash"], b["full_bytes"], len(b["text"].encode()) < b["full_bytes"]
 
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")
-    rows = docs.mapInPandas(run, "doc_id long, blob string, full_bytes long, cut boolean")
+    rows = mapped(docs, run, "doc_id long, blob string, full_bytes long, cut boolean")
     first = rows.groupBy("blob").agg(F.min("doc_id").alias("first_doc"))
     return rows.join(first, "blob").select("doc_id", "first_doc", "full_bytes", "cut")
 

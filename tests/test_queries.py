@@ -3,6 +3,7 @@
 import glob
 import os
 import random
+import tracemalloc
 
 import duckdb
 import pyarrow as pa
@@ -114,6 +115,28 @@ def test_projector_over_many_and_long_conversations(spark, tmp_path, runtime):
     assert own == sorted(map(repr, theirs.fetchall()))
 
 
+MAPPED = ["record_display"]
+
+
+@pytest.mark.parametrize("name", MAPPED)
+def test_python_memory_does_not_follow_the_batch(spark, monkeypatch, name):
+    class Stepped:
+        """Runs the Python step of a query in this process."""
+
+        sparkSession = spark  # noqa: N815
+        where = select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: lambda batch: sum(b.num_rows for b in run(iter([batch])))  # noqa: N815, E731
+        mapInPandas = lambda self, run, _: lambda batch: sum(map(len, run(map(pa.RecordBatch.to_pandas, [batch]))))  # noqa: N815, E731
+
+    monkeypatch.setattr(trace_queries, "table", lambda *_: Stepped())
+    step = registry.QUERIES[name](None, "")
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(5000), "text": [f"{i} é" + "word " * 800 for i in range(5000)]})
+    tracemalloc.start()
+    rows, (_, peak) = step(batch), tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert rows == 5000 and peak < 10_000_000, peak  # the batch has 20 MB
+
+
 def test_slices_of_batches():
     batch = pa.RecordBatch.from_pydict({"k": [1, 1, None, None, 4, 4, 4], "t": ["ab", None, "", "x" * 500, "é", "b", "c"]})
     assert [len(s) for s in batched.slices(batch, 150)] == [2, 1, 3, 1]
