@@ -115,7 +115,7 @@ def test_projector_over_many_and_long_conversations(spark, tmp_path, runtime):
     assert own == sorted(map(repr, theirs.fetchall()))
 
 
-MAPPED = ["record_display"]
+MAPPED = ["record_display", "mixed_terms"]
 
 
 @pytest.mark.parametrize("name", MAPPED)
