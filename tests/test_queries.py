@@ -130,7 +130,7 @@ def test_python_memory_does_not_follow_the_batch(spark, monkeypatch, name):
 
     monkeypatch.setattr(trace_queries, "table", lambda *_: Stepped())
     step = registry.QUERIES[name](None, "")
-    batch = pa.RecordBatch.from_pydict({"doc_id": range(5000), "text": [f"{i} é" + "word " * 800 for i in range(5000)]})
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(5000), "text": [f"{i} é" + ("w" * 99 + " ") * 40 for i in range(5000)]})
     tracemalloc.start()
     rows, (_, peak) = step(batch), tracemalloc.get_traced_memory()
     tracemalloc.stop()
